@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import licences, lmscore, lzprint, pagetext, quality, secretscan
 from .decontaminate import contamination
 from .linededup import dedup_lines
 from .mix import mix
@@ -20,6 +21,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(docs, _table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.pseudo_likelihood(_table(spark, sf_dir, "documents"))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).drop("source")
 
@@ -28,16 +33,44 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secretscan.digest(secretscan.secrets(_table(spark, sf_dir, "documents")))
+
+
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pagetext.extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    return quality.grade(docs, model).select("doc_id", "expected_grade", "p_good", "keep")
+
+
+def op9_lz_print(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lzprint.edit_likeness(_table(spark, sf_dir, "documents"))
+
+
+def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_lm_score": op2_lm_score,
     "op3_mix": op3_mix,
     "op4_simhash": op4_simhash,
+    "op5_secrets": op5_secrets,
+    "op6_page_text": op6_page_text,
     "op7_line_dedup": op7_line_dedup,
+    "op8_quality": op8_quality,
+    "op9_lz_print": op9_lz_print,
+    "op10_licences": op10_licences,
 }
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -78,4 +111,5 @@ rep AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 40 GROUP B
 m AS (SELECT l.*, rep.key IS NULL OR doc_id = keeper AS stays FROM l LEFT JOIN rep USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op10_licences": licences.oracle(),
 }
