@@ -159,7 +159,7 @@ def f17(p):
 
 
 ATT = """
-att AS (SELECT px.date, px.symbol, px.close, coalesce(c.consensus_score, 0.5) AS consensus_score, round(coalesce(greatest(0.0, least(1.0, ((c.target_mean / px.close - 1) * 100 + 20) / 80)), 0.5) + 1e-9, 6) AS upside_score
+att AS (SELECT px.date, px.symbol, px.close, coalesce(c.consensus_score, 0.5) AS consensus_score, round(CASE WHEN c.target_mean IS NULL THEN 0.5 ELSE greatest(0.0, least(1.0, ((c.target_mean / px.close - 1) * 100 + 20) / 80)) END + 1e-9, 6) AS upside_score
   FROM px ASOF LEFT JOIN (SELECT symbol AS s, report_date AS d, consensus_score, target_mean FROM cons) c ON px.symbol = c.s AND px.date >= c.d)
 """
 
@@ -233,9 +233,9 @@ def l01(p):
     return labels.forward_labels(p.prices, labels.equal_weight_index(p.prices), 21, drawdown=False).drop("max_drawdown_forward")
 
 
-@query("l02_equal_weight_index", "SELECT * FROM ewi", LABELS)
+@query("l02_equal_weight_index", "SELECT date, round(ln(close) + 1e-9, 6) AS log_close FROM ewi", LABELS)
 def l02(p):
-    return labels.equal_weight_index(p.prices)
+    return labels.equal_weight_index(p.prices).select("date", rounded(F.log("close")).alias("log_close"))
 
 
 @query("l03_forward_drawdown", "SELECT date, symbol, max_drawdown_forward FROM lab", LABELS)

@@ -81,7 +81,7 @@ class Panel:
         from pyspark.sql import Window
 
         orders = self.table("orders").join(self.table("customer").select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
-        brand = 11 + 10 * F.floor(F.col("c_nationkey") / 5) + F.col("c_nationkey") % 5
+        brand = F.col("c_nationkey") % 25 + 1
         now = F.round(F.lit(100.0) + F.col("o_totalprice") % 500 / 10 + 1e-9, 4)
         own = orders.select(
             F.col("o_orderkey").alias("report_id"), F.to_date("o_orderdate").alias("report_date"), zfill(brand.cast("string"), 6).alias("symbol"),
@@ -131,7 +131,7 @@ flow AS (SELECT date, symbol, round(sum(CASE WHEN l_returnflag = 'A' THEN v ELSE
   round(sum(CASE WHEN l_returnflag = 'R' THEN v ELSE 0.0 END) + 1e-9, 2) AS retail_net_value FROM (SELECT *, l_extendedprice * CASE WHEN l_linestatus = 'O' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS v FROM lines) GROUP BY date, symbol),
 rep AS (SELECT *, lag(target) OVER (PARTITION BY symbol, analyst ORDER BY report_date, report_id) AS previous_target FROM (
   SELECT report_id, report_date, symbol, broker, analyst, price, round(price * (0.8::DOUBLE + report_id % 100 / 200.0::DOUBLE) + 1e-9, 4) AS target FROM (
-  SELECT o_orderkey AS report_id, CAST(o_orderdate AS DATE) AS report_date, lpad(CAST(11 + 10 * (c_nationkey // 5) + c_nationkey % 5 AS VARCHAR), 6, '0') AS symbol, c_mktsegment AS broker, c_custkey % 40 AS analyst,
+  SELECT o_orderkey AS report_id, CAST(o_orderdate AS DATE) AS report_date, lpad(CAST(c_nationkey % 25 + 1 AS VARCHAR), 6, '0') AS symbol, c_mktsegment AS broker, c_custkey % 40 AS analyst,
   round(100.0::DOUBLE + o_totalprice % 500 / 10 + 1e-9, 4) AS price FROM orders JOIN customer ON o_custkey = c_custkey))),
 posts AS (SELECT event_type AS channel, event_id AS message_id, ts, 'T' || user_id AS ticker, round(value / 250 - 1 + 1e-9, 4) AS sentiment, CASE event_type WHEN 'error' THEN 1.0::DOUBLE WHEN 'purchase' THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END AS urgency,
   CASE event_type WHEN 'view' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS source_weight, event_type || ':' || user_id AS duplicate_key FROM events),
