@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import features, primitives  # noqa: F401
+from . import decisions, features, primitives  # noqa: F401
 from .panel import Panel
 from .registry import ORACLES, QUERIES
 
