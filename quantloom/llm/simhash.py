@@ -51,16 +51,16 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """id and fp (the 64 bits as a signed long) of every row; null or empty text has fp 0."""
+    """id, fp (the 64 bits as a signed long) and h (the text's hash) of every row; null or empty text has fp 0."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
             fps = np.array([fingerprint(t, shingle, seed) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], names=["id", "fp", "h"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).mapInArrow(run, "id long, fp long, h long")
 
 
 def masks(bits: int, weight: int) -> np.ndarray:
@@ -157,7 +157,7 @@ def links(fps: DataFrame, radius: int = RADIUS, leading: tuple[int, ...] = LEADI
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable) of every row.
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) and text_hash of every row.
 
     Null and empty texts have the fingerprint zero, linked like any other.
     Equal rows give equal rows.  A null id takes no part in the smallest id; it
@@ -172,16 +172,17 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = stage(grouped.join(least, "root").select(F.col("fp").alias("c_fp"), "component_id"), "classes")
     unstage(fps, linked, roots, grouped)
-    return own.join(classes, own["fp"] == F.col("c_fp")).select(F.col("id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return own.join(classes, own["fp"] == F.col("c_fp")).select(F.col("id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("h").alias("text_hash"))
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
     """One row of each component stays: that with the smallest id; of rows that repeat it, the one with the smallest text hash.
 
-    Of all components without any id one row stays.
+    Rows without id go if their component has one; if not, one row of each text stays.
     """
     found = near_duplicates(docs, doc_id=doc_id, text=text, radius=radius)
-    kept = found.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(F.coalesce(doc_id, F.lit(NO_ID)).alias("__k")).distinct()
-    rows = docs.withColumn("__k", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))).join(kept, "__k", "left_semi")
-    first = F.row_number().over(Window.partitionBy("__k").orderBy(F.xxhash64(text)))
-    return rows.withColumn("__r", first).where("__r = 1").drop("__r", "__k")
+    id_, of_text = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), lambda h: F.when(F.col(doc_id).isNull(), h).otherwise(0)
+    kept = found.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(id_.alias("__k"), of_text(F.col("text_hash")).alias("__h")).distinct()
+    rows = docs.withColumn("__k", id_).withColumn("__h", of_text(F.xxhash64(text))).join(kept, ["__k", "__h"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("__k", "__h").orderBy(F.xxhash64(text)))
+    return rows.withColumn("__r", first).where("__r = 1").select(*docs.columns)
