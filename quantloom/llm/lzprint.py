@@ -11,78 +11,81 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import SpanHasher
+
 #: Minimum hashes of a signature, of which 16 bits each are kept.
 HASHES = 64
-BLOCK_PHRASES = 4096
+BLOCK_PHRASES = 512
 NO_ID = -(1 << 63)
 _rng = np.random.default_rng(20240229)
-_A = _rng.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, HASHES, np.uint64)
+_A = _rng.integers(0, 1 << 31, (HASHES, 1), np.uint32) * np.uint32(2) + np.uint32(1)
+_B = _rng.integers(0, 1 << 32, (HASHES, 1), np.uint32)
 
 
-def parse(text: str, at: int, known: set[str], stop: int | None = None) -> tuple[int, list[str]]:
-    """Phrases of text[at:], added to ``known``; ends before the first phrase that passes ``stop``, if given.
+def parse(text: str, at: int, known: set[str]) -> tuple[list[int], list[str]]:
+    """Ends of the new phrases of text[at:], and the phrases, which become known.
 
-    Every prefix of a known phrase is known, so the search for the longest one
-    starts at the length of the last phrase and moves up or down.
+    A phrase is the longest known one and one character more; what is left at
+    the end is a known phrase.
     """
-    n, out, length = len(text), [], 4
-    while at < n:
-        end = min(at + length, n)
-        if text[at:end] in known:
-            end += 1
-            while end <= n and text[at:end] in known:
-                end += 1
-        else:
-            end -= 1
-            while end > at and text[at:end] not in known:
-                end -= 1
-            end += 1
-        end = min(end, n)
-        if stop is not None and end > stop:
-            return at, out
-        phrase = text[at:end]
-        known.add(phrase)
-        out.append(phrase)
-        length = end - at
-        at = end
-    return at, out
-
-
-def signature(phrases: list[str], into: np.ndarray | None = None) -> np.ndarray:
-    """The least of each of HASHES hash functions over the phrases; of none: all bits set."""
-    best = np.full(HASHES, (1 << 64) - 1, np.uint64) if into is None else into.copy()
-    digest = xxhash.xxh3_64_intdigest
-    for i in range(0, len(phrases), BLOCK_PHRASES):
-        h = np.array([digest(p.encode("utf-8", "surrogatepass")) for p in phrases[i : i + BLOCK_PHRASES]], np.uint64)
-        np.minimum(best, (h[:, None] * _A + _B).min(axis=0), out=best)
+    ends: list[int] = []
+    new: list[str] = []
+    phrase, i = "", at
+    for c in text[at:] if at else text:
+        i += 1
+        phrase += c
+        if phrase not in known:
+            known.add(phrase)
+            new.append(phrase)
+            ends.append(i)
+            phrase = ""
+    return ends, new
+
+
+def signature(text: str, at: int, ends: list[int], hasher: SpanHasher, into: np.ndarray | None = None) -> np.ndarray:
+    """The least of each of HASHES hash functions over the phrases from ``at`` to each end; of none: all bits set."""
+    best = np.full(HASHES, (1 << 32) - 1, np.uint32) if into is None else into.copy()
+    if not ends:
+        return best
+    points = np.frombuffer(text[at : ends[-1]].encode("utf-32-le", "surrogatepass"), np.uint32)
+    stops = np.array(ends, np.int64) - at
+    h = (hasher.spans(hasher.prefix(points), np.concatenate(([0], stops[:-1])), stops) >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(h), BLOCK_PHRASES):
+        np.minimum(best, (h[i : i + BLOCK_PHRASES] * _A + _B).min(axis=1), out=best)
     return best
 
 
 def short(sig: np.ndarray) -> np.ndarray:
-    return (sig >> np.uint64(48)).astype(">u2")
+    return (sig >> np.uint32(16)).astype(">u2")
 
 
-def fingerprint(text: str | None) -> np.ndarray:
-    return short(signature(parse(text or "", 0, set())[1]))
+def fingerprint(text: str | None, hasher: SpanHasher | None = None) -> np.ndarray:
+    text = text or ""
+    return short(signature(text, 0, parse(text, 0, set())[0], hasher or SpanHasher()))
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
-def both(text: str, cut: int, tail: str) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of ``text`` and of text[:cut] + tail; phrases before the cut are parsed once."""
-    known: set[str] = set()
-    at, shared = parse(text, 0, known, cut)
-    sig = signature(shared)
+def both(text: str, cut: int, tail: str, hasher: SpanHasher | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of ``text`` and of text[:cut] + tail.
+
+    Phrases that end before the cut are parsed once; those of the first tail
+    are forgotten before the second one is parsed.
+    """
+    hasher, known = hasher or SpanHasher(), set()
+    shared, _ = parse(text[:cut], 0, known)
+    at = shared[-1] if shared else 0
+    sig = signature(text, 0, shared, hasher)
+    own, new = parse(text, at, known)
+    known.difference_update(new)
     edited = text[:cut] + tail
-    other = known.copy()
-    return short(signature(parse(text, at, known)[1], sig)), short(signature(parse(edited, at, other)[1], sig))
+    other, _ = parse(edited, at, known)
+    return short(signature(text, at, own, hasher, sig)), short(signature(edited, at, other, hasher, sig))
 
 
 def prints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -91,9 +94,10 @@ def prints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Da
     def run(batches):
         import pyarrow as pa
 
+        hasher = SpanHasher()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array([fingerprint(t).tobytes().hex() for t in texts])], names=["id", "n_chars", "fingerprint"])
+            yield pa.record_batch([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array([fingerprint(t, hasher).tobytes().hex() for t in texts])], names=["id", "n_chars", "fingerprint"])
 
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id long, n_chars long, fingerprint string").withColumnRenamed("id", doc_id)
 
@@ -135,6 +139,7 @@ def edit_likeness(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
         import pyarrow as pa
 
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        hasher = SpanHasher()
         waiting = last = None  # the row that still needs its next one; the one before with its fingerprints
         out = []
 
@@ -143,7 +148,7 @@ def edit_likeness(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
             i, t = row
             k = len(t) // 4
             tail = tail_text[:k]
-            mine, edited = both(t, len(t) - k, tail)
+            mine, edited = both(t, len(t) - k, tail, hasher)
             sha = hashlib.sha256((t[: len(t) - k] + tail).encode("utf-8", "surrogatepass")).hexdigest()
             return mine, [i, len(t), sha, mine.tobytes().hex(), edited.tobytes().hex(), likeness(mine, edited)]
 
@@ -162,7 +167,7 @@ def edit_likeness(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
                     follow(done[0])
                     last, waiting = done, None
                 if ahead:
-                    follow(fingerprint(t))
+                    follow(fingerprint(t, hasher))
                 else:
                     waiting = (i, t)
                 if len(out) >= 1000:
