@@ -126,3 +126,12 @@ def sequences(features: DataFrame, columns: list[str], lookback: int) -> DataFra
     frame = series().rowsBetween(-(lookback - 1), 0)
     seq = F.collect_list(F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in columns])).over(frame)
     return features.select("date", "symbol", seq.alias("sequence")).where(F.size("sequence") == lookback)
+
+#: Signals whose memory is short; models of horizons from LONG_HORIZON days leave them out.
+SHORT_MEMORY = ("overseas_", "social_", "news_", "sector_link_")
+LONG_HORIZON = 126
+
+
+def columns_for(horizon_days: int, columns: list[str]) -> list[str]:
+    """The feature columns that a horizon's model may use."""
+    return [c for c in columns if horizon_days < LONG_HORIZON or not c.startswith(SHORT_MEMORY)]

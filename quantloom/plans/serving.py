@@ -296,3 +296,73 @@ def u04(p):
     old, new = p.table("supplier").select(F.col("s_suppkey").alias("k"), "s_name"), p.table("customer").select(F.col("c_custkey").alias("k"), "c_name")
     updated = old.join(new, "k", "left").select("k", F.coalesce("c_name", "s_name").alias("name"))
     return updated.unionByName(new.join(old, "k", "left_anti").where("k < 500").select("k", F.col("c_name").alias("name")))
+
+
+@query("s10_html_cells", "SELECT page_id, (place - 1)::INT AS place, trim(regexp_replace(cell, '<[^>]+>', '', 'g')) AS cell FROM (SELECT page_id, unnest(c) AS cell, generate_subscripts(c, 1) AS place FROM (SELECT page_id, regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1) AS c FROM pages))")
+def s10(p):
+    from quantloom.sources.tables import html_cells
+
+    return html_cells(p.table("pages").select("page_id", "html"), "html", "li")
+
+
+@query("f21_attach_sector", "SELECT px.date, px.symbol, coalesce(r, 0.0) AS sector_return FROM px JOIN sym USING (symbol) LEFT JOIN (SELECT date, sector, round(avg(r) + 1e-9, 6) AS r FROM (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY date) - 1 AS r FROM px) JOIN sym USING (symbol) GROUP BY date, sector) s ON s.date = px.date AND s.sector = sym.sector")
+def f21(p):
+    from quantloom.functions.windows import change
+
+    own = p.prices.withColumn("r", change(F.col("close"), 1)).join(F.broadcast(p.symbols.select("symbol", "sector")), "symbol")
+    mean = own.groupBy("date", "sector").agg(rounded(F.avg("r")).alias("m"))
+    return own.join(mean, ["date", "sector"], "left").select("date", "symbol", F.coalesce("m", F.lit(0.0)).alias("sector_return"))
+
+
+@query("f23_horizon_columns", "SELECT * FROM (VALUES ('1M', 4), ('6M', 2)) t(horizon, n)")
+def f23(p):
+    known = ["ret_21d", "rsi_14", "news_sentiment", "overseas_impact"]
+    return p.spark.createDataFrame([(h, len(features.columns_for(d, known))) for h, d in (("1M", 21), ("6M", 126))], "horizon string, n int")
+
+
+@query("g08_context_flags", "SELECT message_id, array_to_string(list_sort(list_distinct(list_concat([channel], [x for x in [CASE WHEN urgency >= 0.6 THEN 'urgent' END, CASE WHEN sentiment < 0 THEN 'negative' END] if x IS NOT NULL]))), ',') AS flags FROM posts")
+def g08(p):
+    more = rule_array((F.col("urgency") >= 0.6, "urgent"), (F.col("sentiment") < 0, "negative"))
+    return p.posts.select("message_id", F.array_join(F.array_sort(F.array_union(F.array("channel"), more)), ",").alias("flags"))
+
+
+@query("g17_outlook_ablation", "SELECT date, market, round(0.35::DOUBLE * (up_share - 0.5) + 1e-9, 6) AS delta, CASE WHEN abs(round(0.35::DOUBLE * (up_share - 0.5) + 1e-9, 6)) >= 0.05 THEN 'high' WHEN abs(round(0.35::DOUBLE * (up_share - 0.5) + 1e-9, 6)) >= 0.02 THEN 'medium' ELSE 'low' END AS level FROM od JOIN br USING (date, market) WHERE up_share IS NOT NULL", BREADTH)
+def g17(p):
+    own = market.outlook_dataset(p.index, market.breadth(p.prices, p.symbols)).where("up_share is not null")
+    delta = rounded(0.35 * (F.col("up_share") - 0.5))
+    return own.select("date", "market", delta.alias("delta"), F.when(F.abs(delta) >= 0.05, "high").when(F.abs(delta) >= 0.02, "medium").otherwise("low").alias("level"))
+
+
+@query("m09_registry_upsert", "SELECT broker AS model, max(report_id) AS version, count(*) AS runs FROM rep GROUP BY broker")
+def m09(p):
+    return p.reports.groupBy(F.col("broker").alias("model")).agg(F.max("report_id").alias("version"), F.count(F.lit(1)).alias("runs"))
+
+
+@query("x04_contexts", "SELECT sym.symbol, market, p.close, r.target FROM sym LEFT JOIN (SELECT symbol, arg_max(close, date) AS close FROM px GROUP BY symbol) p USING (symbol) LEFT JOIN (SELECT symbol, arg_max(target, report_date * 1) AS target FROM (SELECT symbol, target, date_diff('day', DATE '1970-01-01', report_date) * 10000000 + report_id AS report_date FROM rep) GROUP BY symbol) r USING (symbol)")
+def x04(p):
+    price = p.prices.groupBy("symbol").agg(F.max_by("close", "date").alias("close"))
+    report = p.reports.groupBy("symbol").agg(F.max_by("target", F.struct("report_date", "report_id")).alias("target"))
+    return p.symbols.select("symbol", "market").join(price, "symbol", "left").join(report, "symbol", "left")
+
+
+@query("o10_outlook_list", "SELECT market, date, return_5d FROM od WHERE return_5d IS NOT NULL ORDER BY date DESC, CASE market WHEN 'MAIN' THEN 0 ELSE 1 END LIMIT 10", BREADTH)
+def o10(p):
+    own = market.outlook_dataset(p.index, market.breadth(p.prices, p.symbols)).where("return_5d is not null")
+    return own.select("market", "date", "return_5d").orderBy(F.desc("date"), F.when(F.col("market") == "MAIN", 0).otherwise(1)).limit(10)
+
+
+@query("d01_snapshot", "SELECT 'prices' AS section, count(*) AS n, max(date) AS latest FROM px UNION ALL SELECT 'reports', count(*), max(report_date) FROM rep UNION ALL SELECT 'flows', count(*), max(date) FROM flow UNION ALL SELECT 'news', count(*), max(pub_date) FROM news")
+def d01(p):
+    part = lambda name, df, c: df.agg(F.count(F.lit(1)).alias("n"), F.max(c).alias("latest")).select(F.lit(name).alias("section"), "n", "latest")
+    return part("prices", p.prices, "date").unionByName(part("reports", p.reports, "report_date")).unionByName(part("flows", p.flows, "date")).unionByName(part("news", p.news, "pub_date"))
+
+
+@query("d14_ordered_explanations", "SELECT symbol, move FROM mv ORDER BY abs(move) DESC, symbol LIMIT 12", MOVES)
+def d14(p):
+    return market.moves(p.prices).select("symbol", "move").orderBy(F.desc(F.abs("move")), "symbol").limit(12)
+
+
+@query("d13_today", "SELECT market, count(*) AS n, round(avg(move) + 1e-9, 6) AS mean_move, max(date) AS date FROM mv JOIN sym USING (symbol) GROUP BY market", MOVES)
+def d13(p):
+    own = market.moves(p.prices).join(F.broadcast(p.symbols.select("symbol", "market")), "symbol")
+    return own.groupBy("market").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("move")).alias("mean_move"), F.max("date").alias("date"))

@@ -61,3 +61,14 @@ def failure_rows(df: DataFrame, step: str, source: str, bad) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("overwrite").format(fmt).save(path)
+
+
+def read_delimited(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """CSV files with a header row; values that do not fit the schema are NULL."""
+    return spark.read.option("header", True).option("mode", "PERMISSIVE").schema(schema).csv(path)
+
+
+def html_cells(pages: DataFrame, html: str, tag: str) -> DataFrame:
+    """Every element of a tag as a row: its place in the page and its text without inner markup."""
+    found = F.regexp_extract_all(F.col(html), F.lit(f"(?s)<{tag}[^>]*>(.*?)</{tag}>"), 1)
+    return pages.select("*", F.posexplode(found).alias("place", "cell")).drop(html).withColumn("cell", F.trim(F.regexp_replace("cell", "<[^>]+>", "")))
