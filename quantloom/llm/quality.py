@@ -23,9 +23,9 @@ from .common import LOWERED, SpanHasher, text_slices, word_spans
 
 #: The documented bound on labelled rows that the fit reads.
 TRAIN_ROWS = 12_000
-BITS, GRADES, EPOCHS, BATCH, RATE, L1, LEAST_DOCS = 20, 3, 6, 64, 0.3, 2e-3, 3
+BITS, GRADES, EPOCHS, BATCH, RATE, L1, LEAST_DOCS = 20, 3, 10, 64, 0.3, 1.5e-3, 3
 #: Small sets are passed over until the fit has seen so many rows.
-LEAST_SEEN = 60_000
+LEAST_SEEN = 100_000
 #: Documents stay if P(good) reaches this.
 MIN_GOOD = 0.5
 PREFIXES = (4, 5)
