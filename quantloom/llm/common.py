@@ -15,6 +15,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # --- staging ---------------------------------------------------------------
 
 
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a temporary one only for unset local sessions."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,9 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="quantloom-stage-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if "dir" not in _local:
+        _local["dir"] = "file://" + tempfile.mkdtemp(prefix="quantloom-stage-")
+    return _local["dir"]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
