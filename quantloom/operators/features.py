@@ -107,8 +107,8 @@ def feature_matrix(prices: DataFrame, metrics: DataFrame, flows: DataFrame, cons
     own = price_features(prices).join(market_features(metrics), keys, "left").join(flow_features(flows, prices, metrics), keys, "left")
     own = attach_consensus(own, consensus) if consensus is not None else own
     neutral = ["momentum_score", "supply_demand_score", "value_score", "quality_score", "liquidity_score", "consensus_score", "upside_score", "reliability_score", "sentiment_score"]
-    for c in neutral:
-        own = own.withColumn(c, F.coalesce(F.col(c), F.lit(0.5)) if c in own.columns else F.lit(0.5))
+    known = set(own.columns)
+    own = own.withColumns({c: F.coalesce(F.col(c), F.lit(0.5)) if c in known else F.lit(0.5) for c in neutral})
     risk = row_mean(F.col("risk_score"), clip(F.col("retail_overheat")), 1 - F.col("supply_demand_score"))
     return own.withColumn("risk_score", rounded(F.coalesce(risk, F.lit(0.5))))
 
