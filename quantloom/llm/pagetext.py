@@ -3,14 +3,15 @@
 A page is a stream of structural tokens with text slots.  Repeats beside each
 other fold into repeated groups; the folded streams of a host are aligned one
 after the other, and what does not match becomes an optional group.  The
-result is a union-free regular expression, the host's wrapper.  Its slots say
-which containers hold the host's articles; pages then keep the text of those
-containers, without the boilerplate inside them.
-
-Hot hosts: equal folded streams of a host count once, wrappers are inferred in
-salted groups and then merged, and slot sizes are summed before the shuffle.
-Wrappers are joined to the pages by host: Spark broadcasts them if they are
-below its threshold and else splits hot hosts.
+result is a union-free regular expression, the host's wrapper.  Every page is
+matched against it, which gives each text a slot.  A slot whose text is the
+same on nearly all pages that have it is the template's; all other slots are
+article text, unless marked as boilerplate.
+
+Hot hosts: equal folded streams of a host count once, wrappers are merged in
+rounds of salted groups of bounded size, and slots are counted by their text
+first.  Wrappers are joined to the pages by host: Spark broadcasts them if
+they are below its threshold and else splits hot hosts.
 """
 
 from __future__ import annotations
@@ -18,13 +19,18 @@ from __future__ import annotations
 import html
 import re
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, unstage
 
 SALTS = 32
+#: Streams that a group merges on average, in each round.
+FAN = 64
+#: A slot is constant if so many different pages have it and this share of them has the same text in it.
+CONSTANT_PAGES, CONSTANT_SHARE = 3, 0.9
 #: Longest run of tokens that one repeated group has.
 GROUP = 8
 
@@ -54,9 +60,9 @@ def _marks(attrs: str) -> str:
     return ".".join(WORDS.findall(" ".join(a or b or c for a, b, c in MARKED.findall(attrs)).lower())) if attrs else ""
 
 
-def blocks(page: str | None) -> tuple[list[tuple[str, bool, str]], list[str]]:
-    """Text blocks as (container, inside boilerplate, text), and the page's structural tokens."""
-    out: list[tuple[str, bool, str]] = []
+def blocks(page: str | None) -> tuple[list[tuple[str, bool, str, int]], list[str]]:
+    """Text blocks as (container, inside boilerplate, text, place of its slot's token), and the page's structural tokens."""
+    out: list[tuple[str, bool, str, int]] = []
     tokens: list[str] = []
     stack: list[tuple[str, str, bool]] = []  # tag, name with marks, boilerplate
     text: list[str] = []
@@ -71,7 +77,7 @@ def blocks(page: str | None) -> tuple[list[tuple[str, bool, str]], list[str]]:
                 if not tokens or tokens[-1] != "<#>":
                     tokens.append("<#>")
                 holder = next((n for t, n, _ in reversed(stack) if t in MAIN), None) or next((n for t, n, _ in reversed(stack) if t not in TEXTUAL), "body")
-                out.append((holder, any(x for _, _, x in stack), own))
+                out.append((holder, any(x for _, _, x in stack), own, len(tokens) - 1))
 
     for m in TOKEN.finditer(page):
         tag = m[3]
@@ -116,18 +122,36 @@ _REPEAT = re.compile(r"((?:\([^()]*\)\+|<[^>]*>){1,%d}?)\1+" % GROUP)
 _SINGLE = re.compile(r"<(p|li|tr|dt|dd)><#></\1>(?!\)\+)")
 
 
-def fold(tokens: list[str]) -> str:
-    """Repeats beside each other as one group with a plus; lone paragraphs and list items too."""
-    line = _SINGLE.sub(r"(<\1><#></\1>)+", "".join(tokens))
+_ITEM = re.compile(r"\([^()]*\)[+?*]|<[^>]*>")
+
+
+def _folded(line: str, spans: list[tuple[int, int]], pattern: re.Pattern, group) -> tuple[str, list[tuple[int, int]]]:
+    """The line with each match written as one group, and the tokens that each item covers."""
+    out, own, at, k = [], [], 0, 0
+    for m in pattern.finditer(line):
+        before, inside = len(_ITEM.findall(line, at, m.start())), len(_ITEM.findall(m[0]))
+        own += spans[k : k + before]
+        k += before
+        own.append((spans[k][0], spans[k + inside - 1][1]))
+        k += inside
+        out += (line[at : m.start()], group(m))
+        at = m.end()
+    return "".join([*out, line[at:]]), own + spans[k:]
+
+
+def fold_spans(tokens: list[str]) -> tuple[str, list[tuple[int, int]]]:
+    """Repeats beside each other as one group with a plus; lone paragraphs and list items too.  With the tokens of each item."""
+    line, spans = _folded("".join(tokens), [(i, i + 1) for i in range(len(tokens))], _SINGLE, lambda m: f"(<{m[1]}><#></{m[1]}>)+")
     for _ in range(GROUP):
-        short = _REPEAT.sub(lambda m: m[1] if m[1].startswith("(") and m[1].count("(") == 1 and m[1].endswith(")+") else f"({m[1].replace('(', '').replace(')+', '')})+", line)
+        short, own = _folded(line, spans, _REPEAT, lambda m: m[1] if m[1].startswith("(") and m[1].count("(") == 1 and m[1].endswith(")+") else f"({m[1].replace('(', '').replace(')+', '')})+")
         if short == line:
             break
-        line = short
-    return line
+        line, spans = short, own
+    return line, spans
 
 
-_ITEM = re.compile(r"\([^()]*\)[+?*]|<[^>]*>")
+def fold(tokens: list[str]) -> str:
+    return fold_spans(tokens)[0]
 
 
 def _items(wrapper: str) -> list[tuple[str, bool]]:
@@ -171,65 +195,119 @@ def align(a: str, b: str) -> str:
     return _written(out)
 
 
-def _merged(groups: DataFrame, keys: list[str]) -> DataFrame:
-    """One wrapper for each key, aligned in order of text."""
+@lru_cache(1 << 12)
+def places(line: str, wrapper: str) -> list[int] | None:
+    """The wrapper's item for each item of a folded stream: the first ones with which all of the wrapper matches; None if it does not."""
+    have, items = [x for x, _ in _items(line)], _items(wrapper)
+    n, m = len(have), len(items)
+    ok = [bytearray(m + 1) for _ in range(n + 1)]  # whether the stream from i matches the wrapper from j
+    ok[n][m] = 1
+    for i in range(n, -1, -1):
+        row, x, after = ok[i], have[i] if i < n else None, ok[i + 1] if i < n else None
+        for j in range(m - 1, -1, -1):
+            row[j] = (items[j][1] and row[j + 1]) or (x == items[j][0] and after[j + 1])
+    if not ok[0][0]:
+        return None
+    out, j = [], 0
+    for i in range(n):
+        while not (items[j][0] == have[i] and ok[i + 1][j + 1]):
+            j += 1
+        out.append(j)
+        j += 1
+    return out
+
+
+def slots(page: str | None, wrapper: str | None) -> list[tuple[str, bool, str, str | None]]:
+    """Text blocks as (container, inside boilerplate, text, slot); the slot is the wrapper's item, in groups with the tag before the text."""
+    found, tokens = blocks(page)
+    line, spans = fold_spans(tokens)
+    at = places(line, wrapper) if wrapper is not None and found else None
+    if at is None:
+        return [(c, bad, t, None) for c, bad, t, _ in found]
+    out, k = [], 0
+    for c, bad, t, place in found:
+        while spans[k][1] <= place:
+            k += 1
+        single = spans[k][1] - spans[k][0] == 1
+        out.append((c, bad, t, str(at[k]) if single else f"{at[k]}{tokens[place - 1]}"))
+    return out
+
+
+def article(found: list[tuple[str, bool, str, str | None]]) -> list[tuple[str, bool, str, str | None]]:
+    """The blocks outside boilerplate; of a page whose article or main elements have any, those of them."""
+    own = [x for x in found if not x[1]]
+    return [x for x in own if x[0].split(".")[0] in MAIN] or own
+
+
+def _merged(lines: DataFrame, salts: int, fan: int) -> DataFrame:
+    """One wrapper for each host, from its distinct streams, in rounds that merge groups of about ``fan``."""
 
     def merge(key, frame):
         import pandas as pd
 
-        lines = sorted(frame["wrapper"].tolist())
-        wrapper = lines[0]
-        for line in lines[1:]:
+        own = sorted(frame["wrapper"].tolist())
+        wrapper = own[0]
+        for line in own[1:]:
             wrapper = align(wrapper, line)
-        return pd.DataFrame([(*key, wrapper)], columns=[*keys, "wrapper"])
+        return pd.DataFrame([(key[0], wrapper)], columns=["host", "wrapper"])
 
-    return groups.groupBy(*keys).applyInPandas(merge, ", ".join(f"{k} {'string' if k == 'host' else 'int'}" for k in keys) + ", wrapper string")
+    most = lambda df: df.groupBy("host").count().agg(F.max("count")).first()[0] or 0
+    parts, left = salts, most(lines)
+    while left > 1:
+        parts = max(parts, -(-left // fan))
+        salted = lines.select("host", F.pmod(F.xxhash64("wrapper"), F.lit(parts)).cast("int").alias("salt"), "wrapper")
+        merged = stage(salted.groupBy("host", "salt").applyInPandas(merge, "host string, wrapper string").distinct(), "wrappers-merged")
+        unstage(lines)
+        lines, before, left = merged, left, most(merged)
+        parts = 1 if left <= fan or left >= before else -(-left // fan)
+    return lines
 
 
-def wrappers(pages: DataFrame, *, url: str = "url", page: str = "html", salts: int = SALTS) -> DataFrame:
-    """host, wrapper, containers: the containers whose slots are the host's articles.
+def wrappers(pages: DataFrame, *, url: str = "url", page: str = "html", salts: int = SALTS, fan: int = FAN) -> DataFrame:
+    """host, wrapper, template: the slots of the wrapper whose text is constant.
 
-    They are the article and main elements if a page of the host has any with
-    text; else the container with the most text outside boilerplate.
+    Equal pages of a host count once.  ``salts`` is the least number of groups
+    in the first round; more are made if the streams of a host need them.
     """
+    own = pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("t"))
+
+    def lines(batches):
+        import pyarrow as pa
 
-    def slots(batches):
+        for batch in batches:
+            rows = list(dict.fromkeys((host, fold(blocks(source)[1])) for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)))
+            yield pa.record_batch([pa.array([r[k] for r in rows], pa.string()) for k in range(2)], names=["host", "wrapper"])
+
+    streams = stage(own.mapInArrow(lines, "host string, wrapper string").distinct(), "streams")
+    merged = _merged(streams, salts, fan)
+
+    def fills(batches):
         import pyarrow as pa
+        import xxhash
 
-        names = ["host", "wrapper", "container", "chars"]
+        digest = lambda t: xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)
         for batch in batches:
             rows = []
-            for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found, tokens = blocks(source)
-                size: dict[str, int] = {}
-                for container, bad, own in found:
-                    if not bad:
-                        size[container] = size.get(container, 0) + len(own)
-                rows.append((host, fold(tokens), None, None))
-                rows += [(host, None, c, n) for c, n in size.items()]
-            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], names=names)
-
-    seen = pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("t")).mapInArrow(slots, "host string, wrapper string, container string, chars long")
-    seen = stage(seen.groupBy("host", "wrapper", "container").agg(F.sum("chars").alias("chars")), "page-slots")
-    salted = seen.where("wrapper is not null").select("host", F.pmod(F.xxhash64("wrapper"), F.lit(salts)).cast("int").alias("salt"), "wrapper")
-    merged = _merged(_merged(salted, ["host", "salt"]).select("host", "wrapper"), ["host"])
-    main = F.col("container").rlike(r"^(article|main)(\.|$)")
-    sized = seen.where("container is not null").groupBy("host").agg(F.collect_set(F.when(main, F.col("container"))).alias("main"), F.max_by("container", F.struct("chars", "container")).alias("most"))
-    return merged.join(sized, "host", "left").select("host", "wrapper", F.when(F.size("main") > 0, F.col("main")).otherwise(F.array_compact(F.array("most"))).alias("containers"))
-
-
-def main_text(page: str | None, containers: list[str] | None) -> str:
-    found, _ = blocks(page)
-    own = set(containers or ())
-    kept = [t for c, bad, t in found if not bad and c in own]
-    if not kept:  # a page unlike the others of its host: its own article, or its largest container
-        size: dict[str, int] = {}
-        for c, bad, t in found:
-            if not bad:
-                size[c] = size.get(c, 0) + len(t)
-        best = [c for c in size if c.split(".")[0] in MAIN] or sorted(size, key=lambda c: (-size[c], c))[:1]
-        kept = [t for c, bad, t in found if not bad and c in best]
-    return "\n".join(kept)
+            for host, source, wrapper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                texts: dict[str, list[str]] = {}
+                for _, _, text, slot in article(slots(source, wrapper)):
+                    if slot is not None:
+                        texts.setdefault(slot, []).append(text)
+                name = digest(source or "")
+                rows += [(host, slot, digest("\n".join(t)), name) for slot, t in texts.items()]
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["host", "slot", "fill", "page"])
+
+    filled = own.join(merged, "host").select("host", "t", "wrapper").mapInArrow(fills, "host string, slot string, fill long, page long").distinct()
+    counted = filled.groupBy("host", "slot", "fill").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "slot").agg(F.max("n").alias("same"), F.sum("n").alias("all"))
+    constant = counted.where((F.col("all") >= CONSTANT_PAGES) & (F.col("same") >= CONSTANT_SHARE * F.col("all"))).groupBy("host").agg(F.collect_list("slot").alias("template"))
+    return merged.join(constant, "host", "left").select("host", "wrapper", F.coalesce("template", F.array().cast("array<string>")).alias("template"))
+
+
+def main_text(page: str | None, wrapper: str | None, template: list[str] | None) -> str:
+    """The page's texts in article slots; those in constant slots stay only if it has no others."""
+    own = article(slots(page, wrapper))
+    constant = set(template or ())
+    return "\n".join([t for _, _, t, slot in own if slot not in constant] or [t for _, _, t, _ in own])
 
 
 def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", page: str = "html", salts: int = SALTS) -> DataFrame:
@@ -238,7 +316,7 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", pag
     Null and empty pages give an empty text; pages without host share one
     wrapper.  Repeated rows repeat their result.  Other columns are ignored.
     """
-    known = stage(wrappers(pages, url=url, page=page, salts=salts).select("host", "containers"), "wrappers")
+    known = stage(wrappers(pages, url=url, page=page, salts=salts), "wrappers")
     kind = pages.schema[page_id].dataType.simpleString()
     own = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), F.col(page).alias("t"), host_of(F.col(url)).alias("host"))
 
@@ -246,8 +324,8 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", pag
         import pyarrow as pa
 
         for batch in batches:
-            texts = [main_text(t, c) for t, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [main_text(*x) for x in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["id", "url", "text", "n_chars"])
 
-    out = own.join(known, "host", "left").select("id", "url", "t", "containers").mapInArrow(run, f"id {kind}, url string, text string, n_chars long")
+    out = own.join(known, "host", "left").select("id", "url", "t", "wrapper", "template").mapInArrow(run, f"id {kind}, url string, text string, n_chars long")
     return out.withColumnRenamed("id", page_id)

@@ -275,6 +275,23 @@ def test_alignment_makes_optional_and_repeated_groups():
     assert pagetext.align(pagetext.align(a, b), "<div></div>") == "<div>(<h1><#></h1>)?(<p><#></p>)*</div>"
 
 
+def test_page_text_follows_the_wrappers_slots(spark):
+    body = lambda i, more="": f"<div class='top'>Site of things</div><ul><li>one<li>two</ul><div class='a'><p>Start {i}</p></div><div class='promo-free'><p>Read on below</p></div>{more}<div class='b'><p>Longer second section {i} of it</p><p>end {i}</p></div><div class='end'>Bye</div>"
+    rows = [(i, f"http://split.example.org/{i}", body(i, f"<section><p>extra {i}</p></section>" if i % 5 == 0 else "")) for i in range(30)]
+    rows += [(100 + i, f"http://art.example.org/{i}", f"<article><h1>H {i}</h1><div class='note'>Same for all</div><p>t {i}</p></article>") for i in range(5)]
+    rows += [(200, "http://lone.example.org/", "<div class='a'>part one</div><div class='b'>part two</div>")]
+    rows += [(300 + i, "http://copies.example.org/", "<div class='a'>copied text</div>") for i in range(5)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = {r.page_id: r.text for r in pagetext.extract(table).collect()}
+    assert all(got[i] == "\n".join([f"Start {i}"] + [f"extra {i}"] * (i % 5 == 0) + [f"Longer second section {i} of it", f"end {i}"]) for i in range(30))
+    assert all(got[100 + i] == f"H {i}\nt {i}" for i in range(5))
+    assert got[200] == "part one\npart two" and all(got[300 + i] == "copied text" for i in range(5))
+    odd = [(i, "http://odd.example.org/", "".join(f"<{t}>x{i}</{t}>" for k, t in enumerate(("h1", "h2", "h3", "h4", "h5", "div", "section")) if i >> k & 1)) for i in range(1, 100)]
+    table = spark.createDataFrame(odd, "page_id long, url string, html string")
+    (one,) = pagetext.wrappers(table, salts=1, fan=4).collect()
+    assert all(pagetext.places(pagetext.fold(pagetext.blocks(h)[1]), one.wrapper) is not None for _, _, h in odd)
+
+
 def test_quality(spark, empty):
     bad = [f"vile{chr(97 + i)}" for i in range(12)]
     rows, marks = [], []
