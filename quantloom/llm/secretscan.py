@@ -24,9 +24,11 @@ BASE = KINDS[:3]
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of [0-9a-f]+ with at least 32 characters
-JWT = re.compile(r"(?<![A-Za-z0-9_-])ey[A-Za-z0-9_-]+\.ey[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+ANY_HEX, UPPER_HEX = re.compile(r"[0-9A-Fa-f]{32,}"), re.compile(r"[0-9A-F]{32,}")  # candidates of added kinds
+PARTS = re.compile(r"\.[A-Za-z0-9_-]+\.")  # any dotted run of three parts has one
+DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)++\.?")  # runs of base64url parts
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 
 SEQUENCE, INTEGER, OCTETS, OID, CONTEXT = 0x30, 0x02, 0x04, 0x06, 0xA0
 OPENSSH = b"openssh-key-v1\0"
@@ -127,20 +129,34 @@ def is_signed_token(token: str) -> bool:
     return not signature if head["alg"].lower() == "none" else len(decode64(signature) or b"") >= 16
 
 
+def signed_tokens(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the signed tokens: any three parts of a dotted run, from left to right, none in two tokens."""
+    out = []
+    for m in DOTTED.finditer(text) if PARTS.search(text) else ():
+        parts, at, k = m[0].split("."), m.start(), 0
+        while k + 2 < len(parts):
+            size = sum(map(len, parts[k : k + 3])) + 2
+            step = 3 if is_signed_token(".".join(parts[k : k + 3])) else 1
+            if step == 3:
+                out.append((at, at + size))
+            at += sum(map(len, parts[k : k + step])) + step
+            k += step
+    return out
+
+
 def scan(text: str | None) -> list[tuple[int, int, int]]:
     """(start, kind, end) in order; kind is a place in KINDS; offsets in code points, end exclusive."""
     text = text or ""
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
-    hexes = [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    out += hexes
-    out += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
+    out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
+    out += [(a, 3, b) for a, b in signed_tokens(text)]
     framed = [m.span() for m in PEM.finditer(text) if is_key(decode64(re.sub(r"(?m)^[A-Za-z-]+:.*$", "", m[2])))]
     keys = set(framed)
     for m in BASE64.finditer(text):
         if not any(a <= m.start() < b for a, b in framed) and is_key(decode64(m[0])):
             keys.add(m.span())
-    for a, _, b in hexes:
+    for a, b in {m.span() for run in ANY_HEX.finditer(text) for p in (ANY_HEX, HEX, UPPER_HEX) for m in p.finditer(text, *run.span())}:
         if (b - a) % 2 == 0 and is_key(bytes.fromhex(text[a:b])):
             keys.add((a, b))
     return sorted(out + [(a, 4, b) for a, b in keys])

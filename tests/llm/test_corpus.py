@@ -243,6 +243,23 @@ def test_secrets(spark, docs):
     assert secretscan.secrets(docs).count() == len(ROWS)
 
 
+def test_secrets_are_judged_by_structure():
+    part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    kinds = lambda t: [(secretscan.KINDS[k], a, b) for a, k, b in secretscan.scan(t) if k >= 3]
+    for name in ("KEY=", "export PRIVATE_KEY=", "KEY: ", "KEY = ", "AAAA=="):
+        assert kinds(name + b64(PKCS1) + "\n") == [("key", len(name), len(name) + len(b64(PKCS1)))]
+    pretty = ".".join(part(json.dumps(x, indent=2).encode()) for x in ({"alg": "HS256"}, {"sub": "1"})) + "." + part(bytes(32))
+    spaced = ".".join(part(b"\n" + json.dumps(x).encode()) for x in ({"alg": "none"}, {"sub": "1"})) + "."
+    for token in (pretty, spaced, JWT):
+        for before in ("", "id=", "a.", "www.example.org ", "a.b.c."):
+            assert kinds(before + token + " x") == [("jwt", len(before), len(before) + len(token))]
+    assert kinds("x" + pretty) == kinds("www.example.com.") == kinds("a.b.c.d.e") == [] and len(kinds(f"{JWT}.{pretty}")) == 2
+    mixed = "".join(c.upper() if i % 3 else c for i, c in enumerate(SEC1.hex()))
+    for text in (SEC1.hex(), SEC1.hex().upper(), mixed, "ABC" + SEC1.hex()):
+        assert [x[0] for x in kinds(text)] == ["key"]
+    assert kinds(SEC1.hex().upper()[:-2]) == []
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{{}}</style><script>var x="<p>no</p>";</script></head><body><header>Site</header><nav><ul>{menu}</ul></nav><div class="cookie-notice">We use</div>
 <{main}><h1>Head {i}</h1><p>First <b>bold</b>&nbsp;text {i}.<br><p>Second   line
 {i}</p><div class="ad">BUY</div>{more}</{main}><aside>side</aside><section class="comments"><article class="comment">nice {i}</article></section><form>f</form><footer>&copy; foot</footer>"""
