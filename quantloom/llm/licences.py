@@ -1,72 +1,170 @@
 """License scans by sentence rules.
 
-A text is cut into sentences, each normalised; known licence sentences have
-identifiers, and the sequence of a text's identifiers is matched against
-ordered licence rules.  All of it is column functions on one row, so nothing
-is shuffled, joined or broadcast.
+A text is normalised to words with two kinds of marks: hard ones where a
+sentence must end (a full stop, a line without words) and soft ones where it
+may (a line end, a colon, a semicolon, a list number).  A known sentence is
+recognised if it starts and ends at marks; soft marks inside it do not matter,
+so wrapped, indented and commented licence texts read like plain ones.  The
+sequence of a text's sentence identifiers is matched against ordered rules.
+All of it is column functions on one row, so nothing is shuffled, joined or
+broadcast.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower
 
-# Normalised licence sentences and their identifiers.
+# Sentences of published licences and notices, as they are written there, and their identifiers.
+# <*> stands for up to twenty words, <year> for a year; both stay within one sentence.
 SENTENCES = (
-    ("MitRelease", "released under the mit license"),
-    ("MitRelease", "licensed under the mit license"),
-    ("MitRelease", "this project is licensed under the mit license"),
-    ("MitTitle", "mit license"),
-    ("MitTitle", "the mit license"),
-    ("MitGrant", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
-    ("MitNotice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("MitWarranty", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
-    ("ApacheTitle", "apache license"),
-    ("ApacheRef2", "licensed under the apache license version 2 0"),
-    ("ApacheRef2", "licensed under the apache license version 2 0 the license"),
-    ("ApacheUse", "you may not use this file except in compliance with the license"),
-    ("ApacheCopy", "you may obtain a copy of the license at"),
-    ("ApacheWarranty", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
-    ("ApacheTerms", "see the license for the specific language governing permissions and limitations under the license"),
-    ("GplRef3", "this work is licensed under the gnu general public license version 3"),
-    ("GplRef3", "licensed under the gnu general public license version 3"),
-    ("GplRef2", "this work is licensed under the gnu general public license version 2"),
-    ("GplRef2", "licensed under the gnu general public license version 2"),
-    ("GplFree", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
-    ("GplFree2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
-    ("GplWarranty", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
-    ("GplReceived", "you should have received a copy of the gnu general public license along with this program"),
-    ("BsdGrant", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("BsdSource", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
-    ("BsdBinary", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
-    ("BsdName", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("MplRef2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("CcBy4", "licensed under cc by 4 0"),
-    ("CcBySa4", "licensed under cc by sa 4 0"),
-    ("CcByNc4", "licensed under cc by nc 4 0"),
-    ("CcByNd4", "licensed under cc by nd 4 0"),
-    ("Cc0", "licensed under cc0 1 0"),
-    ("Rights", "all rights reserved"),
+    ("MitTitle", "MIT License"),
+    ("MitTitle", "The MIT License"),
+    ("MitTitle", "The MIT License (MIT)"),
+    ("MitRelease", "Released under the MIT License"),
+    ("MitRelease", "Licensed under the MIT License"),
+    ("MitRelease", "This project is licensed under the MIT License"),
+    ("MitRelease", "Distributed under the MIT License"),
+    ("MitGrant", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("MitNotice", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    ("MitNotice", "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software."),
+    ("MitWarranty", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'),
+    ("IscTitle", "ISC License"),
+    ("IscTitle", "The ISC License"),
+    ("IscGrant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("IscGrant", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("ZeroBsdGrant", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
+    ("IscWarranty", 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'),
+    ("ApacheTitle", "Apache License"),
+    ("ApacheVersion2", "Version 2.0, January 2004"),
+    ("ApacheTitle2", "Apache License Version 2.0, January 2004"),
+    ("ApacheConditions", "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("ApacheRef2", "Licensed under the Apache License, Version 2.0"),
+    ("ApacheRef2", 'Licensed under the Apache License, Version 2.0 (the "License")'),
+    ("ApacheRef2", "Released under the Apache License, Version 2.0"),
+    ("ApacheRef2", "This project is licensed under the Apache License, Version 2.0"),
+    ("ApacheRef2", "Licensed under the Apache License 2.0"),
+    ("ApacheRef2", "This project is licensed under the Apache License 2.0"),
+    ("ApacheUse", "you may not use this file except in compliance with the License."),
+    ("ApacheUse", "You may not use this file except in compliance with the License"),
+    ("ApacheCopy", "You may obtain a copy of the License at"),
+    ("ApacheWarranty", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
+    ("ApacheTerms", "See the License for the specific language governing permissions and limitations under the License."),
+    ("GplTitle", "GNU GENERAL PUBLIC LICENSE"),
+    ("LgplTitle", "GNU LESSER GENERAL PUBLIC LICENSE"),
+    ("AgplTitle", "GNU AFFERO GENERAL PUBLIC LICENSE"),
+    ("Version3June2007", "Version 3, 29 June 2007"),
+    ("Version3Nov2007", "Version 3, 19 November 2007"),
+    ("Version2June1991", "Version 2, June 1991"),
+    ("Version21Feb1999", "Version 2.1, February 1999"),
+    ("GplRef3", "This work is licensed under the GNU General Public License, version 3"),
+    ("GplRef3", "Licensed under the GNU General Public License, version 3"),
+    ("GplRef3", "Released under the GNU General Public License, version 3"),
+    ("GplRef2", "This work is licensed under the GNU General Public License, version 2"),
+    ("GplRef2", "Licensed under the GNU General Public License, version 2"),
+    ("GplRef2", "Released under the GNU General Public License, version 2"),
+    ("GplLater3", "<*> is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GplOnly3", "<*> is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License."),
+    ("GplOnly3", "<*> is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3."),
+    ("GplOnly3", "<*> is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation."),
+    ("GplLater2", "<*> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GplOnly2", "<*> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License."),
+    ("GplOnly2", "<*> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2."),
+    ("GplOnly2", "<*> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("LgplLater3", "<*> is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("LgplOnly3", "<*> is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, version 3 of the License."),
+    ("LgplLater21", "<*> is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LgplOnly21", "<*> is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; version 2.1 of the License."),
+    ("AgplLater3", "<*> is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AgplOnly3", "<*> is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, version 3 of the License."),
+    ("GnuWarranty", "<*> is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."),
+    ("GnuDetails", "See the GNU <*> Public License for more details."),
+    ("GnuReceived", "You should have received a copy of the GNU <*> Public License along with <*>"),
+    ("BsdTitle3", "BSD 3-Clause License"),
+    ("BsdTitle2", "BSD 2-Clause License"),
+    ("BsdGrant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BsdSource", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("BsdBinary", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BsdName", "Neither the name of <*> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BsdName", "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BsdAdvert", "All advertising materials mentioning features or use of this software must display the following acknowledgement:"),
+    ("BsdWarranty", 'THIS SOFTWARE IS PROVIDED BY <*> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.'),
+    ("MplRef2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MplRef2", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
+    ("MplCopy", "If a copy of the MPL was not distributed with this file, You can obtain one at <*>"),
+    ("MplTitle2", "Mozilla Public License Version 2.0"),
+    ("UnlicenseGrant", "This is free and unencumbered software released into the public domain."),
+    ("UnlicenseUse", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("BoostTitle", "Boost Software License - Version 1.0 - August 17th, 2003"),
+    ("BoostRef", "Distributed under the Boost Software License, Version 1.0."),
+    ("ZlibWarranty", "This software is provided 'as-is', without any express or implied warranty."),
+    ("ZlibGrant", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("EplRef2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 <*>"),
+    ("EplRef2", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 <*>"),
+    ("EplRef1", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 <*>"),
+    ("CcBy4", "Licensed under CC BY 4.0"),
+    ("CcBySa4", "Licensed under CC BY-SA 4.0"),
+    ("CcByNc4", "Licensed under CC BY-NC 4.0"),
+    ("CcByNd4", "Licensed under CC BY-ND 4.0"),
+    ("CcByNcSa4", "Licensed under CC BY-NC-SA 4.0"),
+    ("CcByNcNd4", "Licensed under CC BY-NC-ND 4.0"),
+    ("CcBy4", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("CcBySa4", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("CcByNc4", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("Cc0", "Licensed under CC0 1.0"),
+    ("Cc0", "CC0 1.0 Universal"),
+    ("Copyright", "Copyright <*> <year> <*>"),
+    ("Copyright", "(c) <*> <year> <*>"),
+    ("Rights", "All rights reserved"),
 )
-#: Sentences with a free part, by pattern.
-PATTERNS = (("Copyright", r"^(copyright|c|copr) .*\d{4}"),)
 
 # Ordered rules; the identifiers must follow each other in this order, others may stand between.
 RULES = (
     ("Apache-2.0", ("ApacheRef2", "ApacheUse", "ApacheWarranty", "ApacheTerms")),
+    ("Apache-2.0", ("ApacheTitle", "ApacheVersion2", "ApacheConditions")),
+    ("Apache-2.0", ("ApacheTitle2", "ApacheConditions")),
     ("Apache-2.0", ("ApacheRef2",)),
     ("MIT", ("MitGrant", "MitNotice", "MitWarranty")),
     ("MIT", ("MitRelease",)),
     ("MIT", ("MitTitle", "MitGrant")),
-    ("GPL-3.0-or-later", ("GplFree", "GplWarranty")),
-    ("GPL-2.0-or-later", ("GplFree2", "GplWarranty")),
+    ("MIT", ("MitTitle", "Copyright")),
+    ("ISC", ("IscGrant", "IscWarranty")),
+    ("ISC", ("IscGrant",)),
+    ("0BSD", ("ZeroBsdGrant",)),
+    ("AGPL-3.0-or-later", ("AgplLater3",)),
+    ("AGPL-3.0-only", ("AgplOnly3",)),
+    ("AGPL-3.0-only", ("AgplTitle", "Version3Nov2007")),
+    ("LGPL-3.0-or-later", ("LgplLater3",)),
+    ("LGPL-3.0-only", ("LgplOnly3",)),
+    ("LGPL-3.0-only", ("LgplTitle", "Version3June2007")),
+    ("LGPL-2.1-or-later", ("LgplLater21",)),
+    ("LGPL-2.1-only", ("LgplOnly21",)),
+    ("LGPL-2.1-only", ("LgplTitle", "Version21Feb1999")),
+    ("GPL-3.0-or-later", ("GplLater3",)),
+    ("GPL-3.0-only", ("GplOnly3",)),
     ("GPL-3.0-only", ("GplRef3",)),
+    ("GPL-3.0-only", ("GplTitle", "Version3June2007")),
+    ("GPL-2.0-or-later", ("GplLater2",)),
+    ("GPL-2.0-only", ("GplOnly2",)),
     ("GPL-2.0-only", ("GplRef2",)),
+    ("GPL-2.0-only", ("GplTitle", "Version2June1991")),
+    ("BSD-4-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdAdvert", "BsdName")),
     ("BSD-3-Clause", ("BsdGrant", "BsdSource", "BsdBinary", "BsdName")),
     ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary")),
     ("MPL-2.0", ("MplRef2",)),
+    ("MPL-2.0", ("MplTitle2",)),
+    ("Unlicense", ("UnlicenseGrant", "UnlicenseUse")),
+    ("BSL-1.0", ("BoostTitle",)),
+    ("BSL-1.0", ("BoostRef",)),
+    ("Zlib", ("ZlibWarranty", "ZlibGrant")),
+    ("EPL-2.0", ("EplRef2",)),
+    ("EPL-1.0", ("EplRef1",)),
+    ("CC-BY-NC-SA-4.0", ("CcByNcSa4",)),
+    ("CC-BY-NC-ND-4.0", ("CcByNcNd4",)),
     ("CC-BY-NC-4.0", ("CcByNc4",)),
     ("CC-BY-SA-4.0", ("CcBySa4",)),
     ("CC-BY-ND-4.0", ("CcByNd4",)),
@@ -76,22 +174,85 @@ RULES = (
     ("UnmatchedLicence", ()),
 )
 
+#: What is no word: ASCII other than letters and digits.
+NO_WORD = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
+# The steps of the normalisation, in order: pattern and replacement.
+STEPS = (
+    (r"[/|\x{201C}\x{201D}\x{2018}\x{2019}\x{AB}\x{BB}\x{2013}\x{2014}\x{2026}\x{A0}\x{2022}]", " "),
+    (r"\x{A9}", " c "),
+    (r"\r\n?", "\n"),
+    (r"(^|[^0-9a-z])v\.[ \n]", "$1v "),
+    (rf"(^|[\n:;])([{NO_WORD}&&[^\n:;]]*)([0-9]{{1,2}}|[a-z]|[ivx]{{2,4}})[.)][ \t]", "$1$2 $3 ; "),
+    (r"[.!?]+[\x22')\]*]*(\s|$)", " | $1"),
+    (rf"\n(?:[{NO_WORD}&&[^\n|]]*\n)+", " | "),
+    (r"[\n:;]", " / "),
+    (rf"[{NO_WORD}&&[^/|]]+", " "),
+    (r"(?:/ )+", "/ "),
+)
+# A licence tag names its licence itself, or several with operators.
+TAG_NAME = r"[A-Za-z0-9][A-Za-z0-9.+-]*"
+TAG = rf"(?:SPDX|spdx)-[Ll]icense-[Ii]dentifier:[ \t]*(\(*{TAG_NAME}\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*{TAG_NAME}\)*)*)"
+
+
+def marked(text: Column) -> Column:
+    """The text as lower-case words between marks: ``| w w / w | w |``."""
+    out = ascii_lower(F.coalesce(text, F.lit("")))
+    for pattern, by in STEPS:
+        out = F.regexp_replace(out, pattern, by)
+    return F.concat(F.lit("| "), F.trim(out), F.lit(" |"))
+
+
+def plain_words(sentence: str) -> list[str]:
+    """A table sentence's words; slots stay as they are."""
+    text = re.sub(r"\bv\. ", "v ", sentence.lower().replace("/", " "))
+    return re.findall(r"<\*>|<year>|[0-9a-z]+", text)
+
+
+_GAP = r" (?:/ )?"
+_SLOT = r"[^ |]+(?: [^ |]+){0,19}?"
+_YEAR = r"(?:19|20)[0-9][0-9]"
+
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: cut at line ends, ; : and at . ! ? before white space or the end; only a-z, 0-9 and beyond-ASCII words stay."""
-    low = ascii_lower(F.coalesce(text, F.lit("")))
-    cut = F.regexp_replace(low, r"[.!?]+(\s|$)|[;:]", "\n")
-    clean = F.regexp_replace(cut, r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " ")
-    return F.split(clean, "\n")
+def sentence_pattern(sentence: str, gap: str = _GAP) -> str:
+    """Pattern of a table sentence without a slot at its start; a slot takes its gap with it and may be empty."""
+    words = plain_words(sentence.removeprefix("<*>"))
+    last = len(words) - 1
+    out = words[0]
+    for i, w in enumerate(words[1:], 1):
+        out += {"<*>": f"(?: {_SLOT})?" if i == last else f"(?:{gap}{_SLOT})?", "<year>": gap + _YEAR}.get(w, gap + w)
+    return out
+
+
+def _alternation(known) -> str:
+    """One pattern: by first word, longest first; sentences with a slot at the start share it."""
+    heads: dict[str, list[str]] = {}
+    for _, s in known:
+        heads.setdefault(plain_words(s)[0], []).append(sentence_pattern(s))
+    grouped = {h: "(?:" + "|".join(sorted(own, key=len, reverse=True)) + ")" for h, own in heads.items()}
+    free = grouped.pop("<*>", None)
+    return "|".join([*grouped.values(), *([f"(?:{_SLOT} )?{free}"] if free else [])])
+
+
+def recognised(text: Column, known=SENTENCES) -> Column:
+    """The known sentences of a text in order, without soft marks; of those that start at one mark the longest."""
+    found = F.regexp_extract_all(marked(text), F.lit(rf"(?<=[|/] )(?:{_alternation(known)})(?= [|/])"), F.lit(0))
+    return F.transform(found, lambda s: F.regexp_replace(s, " / ", " "))
 
 
-def identifiers(text: Column, known=SENTENCES, patterns=PATTERNS) -> Column:
+def identifiers(text: Column, known=SENTENCES) -> Column:
     """Identifiers of the known sentences of a text, in order."""
-    table = F.create_map(*[F.lit(x) for name, sentence in {s: (n, s) for n, s in known}.values() for x in (sentence, name)])
-    names = [s for _, s in known]
-    name_of = lambda s: F.coalesce(*[F.when(s.rlike(p), F.lit(n)) for n, p in patterns], F.element_at(table, s))
-    is_known = lambda s: F.trim(s).isin(*names) | F.coalesce(*[F.when(s.rlike(p), True) for _, p in patterns], F.lit(False))
-    return F.transform(F.filter(sentences(text), is_known), lambda s: name_of(F.trim(s)))
+    fixed = {" ".join(plain_words(s)): n for n, s in known if "<" not in s}
+    free = [(n, s) for n, s in known if "<" in s]
+    table = F.create_map(*[F.lit(x) for pair in fixed.items() for x in pair])
+    name = lambda s: F.coalesce(F.try_element_at(table, s), *[F.when(s.rlike(f"{'' if p.startswith('<*>') else '^'}{sentence_pattern(p, ' ')}$"), F.lit(n)) for n, p in free])
+    return F.filter(F.transform(recognised(text, known), name), lambda x: x.isNotNull())
+
+
+def tagged(text: Column) -> Column:
+    """Names in the licence tags of a text, in order; operators of their expressions are left out."""
+    lines = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TAG), F.lit(1))
+    names = F.flatten(F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(TAG_NAME), F.lit(0))))
+    return F.filter(names, lambda x: ~F.upper(x).isin("AND", "OR", "WITH"))
 
 
 def rule_pattern(seq: tuple[str, ...]) -> str:
@@ -102,47 +263,31 @@ def _line(ids: Column) -> Column:
     return F.concat(F.lit(" "), F.array_join(ids, " "), F.lit(" "))
 
 
-def licence_of(ids: Column, rules=RULES) -> Column:
-    """The first rule whose identifiers occur in their order; null without any identifier."""
-    out = F.when(F.size(ids) == 0, F.lit(None).cast("string"))
+def licence_of(ids: Column, tags: Column, rules=RULES) -> Column:
+    """The first tag; without one, the first rule whose identifiers occur in their order; null without either."""
+    out = F.when(F.size(tags) > 0, F.get(tags, F.lit(0))).when(F.size(ids) == 0, F.lit(None).cast("string"))
     for name, seq in rules:
         out = out.when(_line(ids).rlike(rule_pattern(seq)) if seq else F.lit(True), F.lit(name))
     return out
 
 
-def licences_of(ids: Column, rules=RULES) -> Column:
-    """Names of all rules that hold, sorted."""
+def licences_of(ids: Column, tags: Column, rules=RULES) -> Column:
+    """Names of all tags and of all rules that hold, sorted."""
     held = F.array(*[F.when(_line(ids).rlike(rule_pattern(seq)), F.lit(name)) for name, seq in rules if seq])
-    return F.array_sort(F.array_distinct(F.filter(held, lambda x: x.isNotNull())))
+    return F.array_sort(F.array_distinct(F.concat(tags, F.filter(held, lambda x: x.isNotNull()))))
 
 
 def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, licence (null if no licence sentence is known), licences (of all rules that hold), n_sentences, sentence_ids.
+    """doc_id, licence, licences (of all tags and rules that hold), n_sentences, sentence_ids.
 
-    Null and empty texts have no sentences.  Rows are judged one by one, so
-    repeated rows repeat their result.  Other columns are ignored.
+    The licence is null if no licence sentence is known and there is no tag;
+    known sentences that fit no rule give ``UnmatchedLicence``.  Null and empty
+    texts have no sentences.  Rows are judged one by one, so repeated rows
+    repeat their result; an empty table gives an empty one.  Other columns are
+    ignored.
     """
-    found = docs.select(F.col(doc_id).alias("__id"), identifiers(F.col(text)).alias("__ids"))
+    found = docs.select(F.col(doc_id).alias("__id"), identifiers(F.col(text)).alias("__ids"), tagged(F.col(text)).alias("__tags"))
     return found.select(
-        F.col("__id").alias(doc_id), licence_of(F.col("__ids")).alias("licence"), F.array_join(licences_of(F.col("__ids")), ",").alias("licences"),
+        F.col("__id").alias(doc_id), licence_of(F.col("__ids"), F.col("__tags")).alias("licence"), F.array_join(licences_of(F.col("__ids"), F.col("__tags")), ",").alias("licences"),
         F.size("__ids").cast("long").alias("n_sentences"), F.array_join("__ids", ",").alias("sentence_ids"),
     )
-
-
-def oracle() -> str:
-    """DuckDB SQL of ``scan`` over documents."""
-    known = {s: n for n, s in reversed(SENTENCES)}
-    values = ", ".join(f"('{n}', '{s}')" for s, n in known.items())
-    free = "".join(f"WHEN regexp_matches(s, '{p}') THEN '{n}' " for n, p in PATTERNS)
-    case = "".join(f"WHEN regexp_matches(line, '{rule_pattern(seq)}') THEN '{name}' " if seq else f"ELSE '{name}' " for name, seq in RULES)
-    held = ", ".join(f"CASE WHEN regexp_matches(line, '{rule_pattern(seq)}') THEN '{name}' END" for name, seq in RULES if seq)
-    return rf"""
-WITH t AS (SELECT doc_id, regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.!?]+(\s|$)|[;:]', chr(10), 'g') AS t FROM documents),
-l AS (SELECT doc_id, string_split(regexp_replace(t, '[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), chr(10)) AS l FROM t),
-s AS (SELECT doc_id, trim(unnest(l)) AS s, generate_subscripts(l, 1) AS pos FROM l),
-k(n, s) AS (VALUES {values}),
-i AS (SELECT doc_id, pos, CASE {free}ELSE n END AS id FROM s LEFT JOIN k USING (s)),
-g AS (SELECT doc_id, coalesce(list(id ORDER BY pos) FILTER (id IS NOT NULL), []) AS ids FROM i GROUP BY doc_id),
-r AS (SELECT *, ' ' || array_to_string(ids, ' ') || ' ' AS line FROM g)
-SELECT doc_id, CASE WHEN len(ids) = 0 THEN NULL {case}END AS licence,
-  array_to_string(list_sort(list_distinct([x for x in [{held}] if x IS NOT NULL])), ',') AS licences, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids FROM r"""

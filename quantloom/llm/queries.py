@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import licences, lmscore, lzprint, pagetext, quality, secretscan
 from .decontaminate import contamination
+from .licence_sql import oracle as licence_oracle
 from .linededup import dedup_lines
 from .mix import mix
 from .simhash import near_duplicates
@@ -111,5 +112,5 @@ rep AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 40 GROUP B
 m AS (SELECT l.*, rep.key IS NULL OR doc_id = keeper AS stays FROM l LEFT JOIN rep USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
-    "op10_licences": licences.oracle(),
+    "op10_licences": licence_oracle(),
 }
