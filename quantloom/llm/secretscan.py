@@ -3,17 +3,20 @@
 Base kinds are patterns alone.  Further kinds decode a base64 or hex candidate
 and report it only if its structure holds to the last byte: ``jwt`` (three
 parts, a JSON header that names an algorithm, a JSON claim set) and ``key``
-(private keys in PKCS#1, PKCS#8, SEC1 or OpenSSH encoding: nested lengths that
-end where their parent ends; a PEM frame may surround them).
+(private keys in PKCS#1, PKCS#8, SEC1, DSA or OpenSSH encoding: nested lengths
+that end where their parent ends, and the key inside a PKCS#8 wrapping in its
+algorithm's own form).  A PEM frame may surround a key, its base64 may be
+wrapped over lines with or without a frame, and PEM's own encryption is judged
+by its headers and block lengths.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
-import hashlib
 import json
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,11 +30,19 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of [0-9a-f]+ with at least 32 cha
 ANY_HEX, UPPER_HEX = re.compile(r"[0-9A-Fa-f]{32,}"), re.compile(r"[0-9A-F]{32,}")  # candidates of added kinds
 PARTS = re.compile(r"\.[A-Za-z0-9_-]+\.")  # any dotted run of three parts has one
 DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)++\.?")  # runs of base64url parts
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
+FRAME = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
+HEADER = re.compile(r"(?m)^[ \t]*([A-Za-z-]+):[ \t]*(.*?)[ \t\r]*$")
+CIPHER = re.compile(r"([A-Z0-9-]+),([0-9A-F]+|[0-9a-f]+)")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++={0,2})++")  # base64 lines below each other
+LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
 
 SEQUENCE, INTEGER, OCTETS, OID, CONTEXT = 0x30, 0x02, 0x04, 0x06, 0xA0
 OPENSSH = b"openssh-key-v1\0"
+# Object identifiers, DER-encoded.
+RSA, DSA, EC = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce380401"), bytes.fromhex("2a8648ce3d0201")
+EDWARDS = {bytes.fromhex("2b656e"): 32, bytes.fromhex("2b656f"): 56, bytes.fromhex("2b6570"): 32, bytes.fromhex("2b6571"): 57}
+PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))  # PKCS#5, PKCS#12
 
 
 def decode64(text: str) -> bytes | None:
@@ -71,47 +82,83 @@ def children(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] |
     return out
 
 
-def is_private_der(data: bytes) -> bool:
-    """Whether data is one DER private key: PKCS#1, PKCS#8 (plain or encrypted) or SEC1."""
-    top = tlv(data, 0, len(data))
-    if top is None or top[0] != SEQUENCE or top[2] != len(data):
+def _fields(data: bytes, start: int, end: int) -> list[tuple[int, int, int]]:
+    """Elements of the one SEQUENCE that data[start:end] is; empty if it is none."""
+    top = tlv(data, start, end)
+    return (children(data, top[1], top[2]) or []) if top and top[0] == SEQUENCE and top[2] == end else []
+
+
+def _is_pkcs1(data: bytes, parts) -> bool:
+    """Version 0 or 1 and eight numbers; a multi-prime key has further parts."""
+    return [t for t, _, _ in parts[:9]] == [INTEGER] * 9 and data[parts[0][1] : parts[0][2]] in (b"\0", b"\1")
+
+
+def _is_sec1(data: bytes, parts) -> bool:
+    """Version 1, the number, and tagged parts."""
+    tags = [t for t, _, _ in parts]
+    return tags[:2] == [INTEGER, OCTETS] and all(t & 0xF0 == CONTEXT for t in tags[2:]) and data[parts[0][1] : parts[0][2]] == b"\1" and 16 <= parts[1][2] - parts[1][1] <= 72
+
+
+def _is_dsa(data: bytes, parts) -> bool:
+    """Version 0, p, q, g, y, x."""
+    size = [b - a for _, a, b in parts]
+    return [t for t, _, _ in parts] == [INTEGER] * 6 and data[parts[0][1] : parts[0][2]] == b"\0" and size[1] >= 64 and 16 <= size[2] <= 65
+
+
+def _is_inner_key(data: bytes, algorithm: bytes, start: int, end: int) -> bool:
+    """Whether a PKCS#8 wrapping's data[start:end] has the form of its algorithm's keys; of unknown ones, one whole element."""
+    if algorithm == RSA:
+        return _is_pkcs1(data, _fields(data, start, end))
+    if algorithm == EC:
+        return _is_sec1(data, _fields(data, start, end))
+    one = tlv(data, start, end)
+    if one is None or one[2] != end:
         return False
-    parts = children(data, top[1], top[2])
+    if algorithm == DSA:
+        return one[0] == INTEGER
+    return algorithm not in EDWARDS or (one[0] == OCTETS and one[2] - one[1] == EDWARDS[algorithm])
+
+
+def is_private_der(data: bytes) -> bool:
+    """Whether data is one DER private key: PKCS#1, DSA, SEC1 or PKCS#8, plain or encrypted."""
+    parts = _fields(data, 0, len(data))
     if not parts:
         return False
     tags = [t for t, _, _ in parts]
-    if tags[:9] == [INTEGER] * 9:  # PKCS#1: version and eight numbers
+    if _is_pkcs1(data, parts) or _is_dsa(data, parts) or _is_sec1(data, parts):
         return True
-    if tags[:3] == [INTEGER, SEQUENCE, OCTETS]:  # PKCS#8: the algorithm is an object identifier
+    if tags[:3] == [INTEGER, SEQUENCE, OCTETS]:  # PKCS#8
         inner = children(data, *parts[1][1:])
-        return bool(inner) and inner[0][0] == OID
-    if tags[:2] == [INTEGER, OCTETS] and all(t & 0xF0 == CONTEXT for t in tags[2:]):  # SEC1: version 1
-        return data[parts[0][1] : parts[0][2]] == b"\x01" and 16 <= parts[1][2] - parts[1][1] <= 72
-    if tags == [SEQUENCE, OCTETS]:  # encrypted PKCS#8
+        return bool(inner) and inner[0][0] == OID and _is_inner_key(data, data[inner[0][1] : inner[0][2]], *parts[2][1:])
+    if tags == [SEQUENCE, OCTETS]:  # encrypted PKCS#8: by a password-based scheme, or it is some other record
         inner = children(data, *parts[0][1:])
-        return bool(inner) and inner[0][0] == OID
+        return bool(inner) and inner[0][0] == OID and data[inner[0][1] : inner[0][2]].startswith(PASSWORD_BASED)
     return False
 
 
-def is_openssh(data: bytes) -> bool:
-    """OpenSSH private key: magic, three length-prefixed strings, a count, then that many strings and one more."""
+def openssh_end(data: bytes) -> int | None:
+    """Where an OpenSSH private key ends: magic, three length-prefixed strings, a count, then that many strings and one more."""
     if not data.startswith(OPENSSH):
-        return False
+        return None
     at, strings = len(OPENSSH), 3
     for step in range(2):
         for _ in range(strings):
             if at + 4 > len(data):
-                return False
+                return None
             at += 4 + int.from_bytes(data[at : at + 4], "big")
             if at > len(data):
-                return False
+                return None
         if step == 0:
             if at + 4 > len(data):
-                return False
+                return None
             strings, at = int.from_bytes(data[at : at + 4], "big") + 1, at + 4
             if not 2 <= strings <= 65:
-                return False
-    return at == len(data)
+                return None
+    return at
+
+
+def is_openssh(data: bytes) -> bool:
+    return openssh_end(data) == len(data)
 
 
 def is_key(data: bytes | None) -> bool:
@@ -135,15 +182,65 @@ def signed_tokens(text: str) -> list[tuple[int, int]]:
     for m in DOTTED.finditer(text) if PARTS.search(text) else ():
         parts, at, k = m[0].split("."), m.start(), 0
         while k + 2 < len(parts):
-            size = sum(map(len, parts[k : k + 3])) + 2
-            step = 3 if is_signed_token(".".join(parts[k : k + 3])) else 1
+            # the shortest header that names an algorithm has 14 characters, an empty claim set 3
+            step = 3 if len(parts[k]) >= 14 and len(parts[k + 1]) >= 3 and is_signed_token(".".join(parts[k : k + 3])) else 1
             if step == 3:
-                out.append((at, at + size))
+                out.append((at, at + sum(map(len, parts[k : k + 3])) + 2))
             at += sum(map(len, parts[k : k + step])) + step
             k += step
     return out
 
 
+def framed_keys(text: str) -> list[tuple[int, int]]:
+    """(start, end) of PEM frames with a key inside; a frame ends at the next five dashes or not at all."""
+    out, m = [], FRAME.search(text)
+    while m:
+        label, body = m[1], m.end()
+        stop = text.find("-----", body)
+        end = f"-----END {label}-----"
+        if stop < 0:
+            break
+        if text.startswith(end, stop):
+            inner = text[body:stop].replace("\\r", "").replace("\\n", "\n")  # line ends may be escaped
+            headers = dict(HEADER.findall(inner))
+            data = decode64(HEADER.sub("", inner))
+            cipher = CIPHER.fullmatch(headers.get("DEK-Info", ""))
+            encrypted = headers.get("Proc-Type") == "4,ENCRYPTED" and cipher and data
+            if (encrypted and len(data) >= 32 and len(data) % (len(cipher[2]) // 2 or 1) == 0 and len(cipher[2]) in (16, 32)) or is_key(data):
+                out.append((m.start(), stop + len(end)))
+            stop += len(end)
+        m = FRAME.search(text, stop)
+    return out
+
+
+def wrapped_keys(text: str) -> list[tuple[int, int]]:
+    """(start, end) of keys whose base64 is wrapped over lines, without a frame; the encoding's own length says where they end."""
+    out = []
+    for run in WRAPPED.finditer(text):
+        lines = [(m.start(), m.end()) for m in LINE.finditer(text, *run.span())]
+        k = 0
+        while k < len(lines) - 1:
+            head = decode64(text[lines[k][0] : min(lines[k][0] + 16, lines[k][1])]) or b""
+            size = None
+            if head[:1] == b"\x30":
+                first = tlv(head + bytes(1 << 16), 0, 1 << 16)  # lengths beyond 64 KiB are no key's
+                size = first and first[2]
+                if size and head[first[1] : first[1] + 1] not in (b"\x02", b"\x30"):
+                    size = None
+            elif head == OPENSSH[: len(head)] and head:
+                size = openssh_end(decode64("".join(text[a:b] for a, b in lines[k:]).split("=")[0][: 1 << 18]) or b"")
+            last, chars = k, 0
+            if size:
+                need = -(-size * 8 // 6)
+                while last < len(lines) and (chars := chars + len(text[slice(*lines[last])].rstrip("="))) < need:
+                    last += 1
+                if k < last < len(lines) and chars == need and is_key(decode64("".join(text[a:b] for a, b in lines[k : last + 1]))):
+                    out.append((lines[k][0], lines[last][1]))
+                    k = last
+            k += 1
+    return out
+
+
 def scan(text: str | None) -> list[tuple[int, int, int]]:
     """(start, kind, end) in order; kind is a place in KINDS; offsets in code points, end exclusive."""
     text = text or ""
@@ -151,11 +248,11 @@ def scan(text: str | None) -> list[tuple[int, int, int]]:
     out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     out += [(a, 3, b) for a, b in signed_tokens(text)]
-    framed = [m.span() for m in PEM.finditer(text) if is_key(decode64(re.sub(r"(?m)^[A-Za-z-]+:.*$", "", m[2])))]
-    keys = set(framed)
-    for m in BASE64.finditer(text):
-        if not any(a <= m.start() < b for a, b in framed) and is_key(decode64(m[0])):
-            keys.add(m.span())
+    framed = framed_keys(text)
+    starts = [a for a, _ in framed]
+    inside = lambda at: bool(starts) and (i := bisect_right(starts, at)) > 0 and at < framed[i - 1][1]
+    keys = {*framed, *(x for x in wrapped_keys(text) if not inside(x[0]))}
+    keys.update(m.span() for m in BASE64.finditer(text) if not inside(m.start()) and is_key(decode64(m[0])))
     for a, b in {m.span() for run in ANY_HEX.finditer(text) for p in (ANY_HEX, HEX, UPPER_HEX) for m in p.finditer(text, *run.span())}:
         if (b - a) % 2 == 0 and is_key(bytes.fromhex(text[a:b])):
             keys.add((a, b))
@@ -170,7 +267,8 @@ def secrets(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> D
     """doc_id and spans (array of kind, start, end) of every row, in order of start and kind.
 
     Null text counts as empty.  Rows are judged one by one, so repeated rows
-    repeat their result.  Other columns are ignored.
+    repeat their result; an empty table gives an empty one.  Other columns are
+    ignored.
     """
 
     def run(batches):
@@ -192,7 +290,3 @@ def digest(found: DataFrame) -> DataFrame:
     base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select(*[c for c in found.columns if c != "spans"], *[count(k) for k in BASE], F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
-
-
-def base_sha256(spans: list[tuple[int, int, int]]) -> str:
-    return hashlib.sha256(joined([s for s in spans if s[1] < len(BASE)]).encode()).hexdigest()
