@@ -143,6 +143,26 @@ def text_slices(column, limit: int = SLICE_BYTES):
         row = stop
 
 
+def text_pieces(column, limit: int = SLICE_BYTES):
+    """Like ``text_slices``, but a longer text comes in several runs of at most ``limit`` bytes, each with its row's number.
+
+    Pieces are cut where a word starts, or anywhere in a word longer than a piece.
+    """
+    for row, raw, bounds in text_slices(column, limit):
+        if len(raw) <= limit or len(bounds) > 2:
+            yield row, raw, bounds
+            continue
+        at = 0
+        while at < len(raw):
+            stop = min(at + limit, len(raw))
+            if stop < len(raw):
+                inside = IS_WORD[raw[at : stop + 1]]
+                starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+                stop = at + int(starts[-1]) if len(starts) else stop
+            yield row, raw[at:stop], np.array([0, stop - at])
+            at = stop
+
+
 def word_spans(buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words (letters, digits, anything beyond ASCII) and the text of each; none spans two texts."""
     inside = IS_WORD[buf]

@@ -7,8 +7,9 @@ one the tail probability P(good), by which documents are selected.
 
 Features are the distinct words of the whole text, their first 4 and 5 bytes,
 and the characters between words, hashed to 2**20 places.  The model is fitted
-on at most TRAIN_ROWS labelled documents, chosen by a hash of their id; it is
-a fixed number of floats, whatever the corpus.
+on at most TRAIN_ROWS labelled documents with at most TRAIN_PLACES feature
+places in all, chosen by a hash of their id; it is a fixed number of floats,
+whatever the corpus.
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructType
 
-from .common import LOWERED, SpanHasher, text_slices, word_spans
+from .common import LOWERED, SpanHasher, stage, text_pieces, unstage, word_spans
 
-#: The documented bound on labelled rows that the fit reads.
-TRAIN_ROWS = 12_000
+#: The documented bounds on labelled rows that the fit reads, and on their feature places (4 bytes each).
+TRAIN_ROWS, TRAIN_PLACES = 12_000, 24_000_000
 BITS, GRADES, EPOCHS, BATCH, RATE, L1, LEAST_DOCS = 20, 3, 10, 64, 0.3, 1.5e-3, 3
 #: Small sets are passed over until the fit has seen so many rows.
 LEAST_SEEN = 100_000
@@ -34,8 +36,8 @@ PREFIXES = (4, 5)
 def features(column, bits: int = BITS):
     """Arrow strings to (places, bounds): the distinct feature places of each text, one text after the other."""
     hasher, mask = SpanHasher(), np.uint64((1 << bits) - 1)
-    places, counts = [], []
-    for _, raw, bounds in text_slices(column):
+    places, counts, last = [], [], -1
+    for row, raw, bounds in text_pieces(column):
         buf = LOWERED[raw]
         starts, ends, of = word_spans(raw, bounds)
         prefix = hasher.prefix(buf)
@@ -57,8 +59,14 @@ def features(column, bits: int = BITS):
         owner.append(gap_of[some])
         h = np.concatenate(hashed) & mask
         pairs = np.unique((np.concatenate(owner).astype(np.uint64) << np.uint64(bits)) | h)
-        places.append((pairs & mask).astype(np.int32))
-        counts.append(np.bincount((pairs >> np.uint64(bits)).astype(np.int64), minlength=len(bounds) - 1))
+        own = (pairs & mask).astype(np.int32)
+        if row == last:  # a further piece of a long text
+            places[-1] = np.union1d(places[-1], own)
+            counts[-1] = np.array([len(places[-1])])
+        else:
+            places.append(own)
+            counts.append(np.bincount((pairs >> np.uint64(bits)).astype(np.int64), minlength=len(bounds) - 1))
+        last = row
     if not places:
         return np.zeros(0, np.int32), np.zeros(1, np.int64)
     return np.concatenate(places), np.concatenate(([0], np.cumsum(np.concatenate(counts))))
@@ -128,8 +136,16 @@ def grade_of(quality: str = "quality", toxic: str = "toxic"):
     return F.when(F.col(toxic) > 0, 0).when(F.col(toxic).isNotNull() & F.col(quality).isNotNull(), F.when(F.col(quality) > 0, 2).otherwise(1)).cast("int")
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", toxic: str = "toxic", rows: int = TRAIN_ROWS) -> Ordinal | None:
-    """A model from at most ``rows`` graded documents; a document with several grades counts with the lowest."""
+def train(
+    docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", toxic: str = "toxic",
+    rows: int = TRAIN_ROWS, places: int = TRAIN_PLACES,
+) -> Ordinal | None:
+    """A model from at most ``rows`` graded documents with at most ``places`` feature places; None if there is none.
+
+    Documents are taken in order of a hash of their id while both bounds hold.
+    One with several grades counts with the lowest; of several texts with one
+    id, that with the smallest hash counts.
+    """
     graded = labels.select(F.col(doc_id).alias("id"), grade_of(quality, toxic).alias("grade")).where("id is not null and grade is not null")
     chosen = graded.groupBy("id").agg(F.min("grade").alias("grade")).orderBy(F.xxhash64("id"), "id").limit(rows)
 
@@ -137,28 +153,28 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
         import pyarrow as pa
 
         for batch in batches:
-            places, bounds = features(batch.column(1))
-            own = [places[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(own, pa.binary())], names=["id", "grade", "places"])
+            found, bounds = features(batch.column(1))
+            own = [found[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.record_batch([batch.column(0), batch.column(2), pa.array(own, pa.binary()), batch.column(3)], names=["id", "grade", "places", "h"])
 
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
     kind = docs.schema[doc_id].dataType.simpleString()
-    seen = own.join(F.broadcast(chosen), "id").select("id", "t", "grade").mapInArrow(run, f"id {kind}, grade int, places binary")  # the broadcast has at most `rows` rows
-    got = sorted(((r.id, r.grade, bytes(r.places)) for r in seen.collect()), key=lambda r: (r[0], r[2]))
+    found = own.join(F.broadcast(chosen), "id")  # the broadcast has at most `rows` rows
+    seen = found.select("id", "t", "grade", F.xxhash64("t").alias("h")).mapInArrow(run, f"id {kind}, grade int, places binary, h long")
+    one = seen.groupBy("id").agg(F.min(F.struct("h", "grade", "places")).alias("r")).select("id", "r.grade", "r.places")
+    kept = stage(one, "graded-places")
+    before = F.sum(F.octet_length("places")).over(Window.orderBy(F.xxhash64("id"), "id"))  # at most `rows` rows
+    within = kept.select("id", before.alias("n")).where(F.col("n") <= 4 * places).select("id")
+    got = sorted(((r.id, r.grade, bytes(r.places)) for r in kept.join(within, "id").collect()), key=lambda r: r[0])
+    unstage(kept)
     return fit([(g, np.frombuffer(p, np.int32)) for _, g, p in got if p])
 
 
-def grade(docs: DataFrame, model: Ordinal | None, *, text: str = "text", min_good: float = MIN_GOOD) -> DataFrame:
-    """``docs`` with expected_grade, p_good and keep.
-
-    Null and empty texts are scored by the thresholds alone.  Without a model
-    (no labels) the scores are null and every row is kept.  Columns named like
-    the new ones are replaced.
-    """
-    docs = docs.drop("expected_grade", "p_good", "keep")
+def _graded(docs: DataFrame, model: Ordinal | None, text: str, min_good: float) -> DataFrame:
+    """``docs`` with __expected, __good and __keep."""
     if model is None:
         none = F.lit(None).cast("double")
-        return docs.select("*", none.alias("expected_grade"), none.alias("p_good"), F.lit(True).alias("keep"))
+        return docs.select("*", none.alias("__expected"), none.alias("__good"), F.lit(True).alias("__keep"))
     sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds, model.bits))  # 2**bits floats
     at = docs.columns.index(text)
 
@@ -169,15 +185,25 @@ def grade(docs: DataFrame, model: Ordinal | None, *, text: str = "text", min_goo
         for batch in batches:
             tails = own.tails(own.score(*features(batch.column(at), own.bits)))
             more = [pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= min_good)]
-            yield pa.record_batch([*batch.columns, *more], names=[*batch.schema.names, "expected_grade", "p_good", "keep"])
-
-    from pyspark.sql.types import BooleanType, DoubleType, StructType
+            yield pa.record_batch([*batch.columns, *more], names=[*batch.schema.names, "__expected", "__good", "__keep"])
 
-    schema = StructType([*docs.schema.fields]).add("expected_grade", DoubleType()).add("p_good", DoubleType()).add("keep", BooleanType())
+    schema = StructType([*docs.schema.fields]).add("__expected", DoubleType()).add("__good", DoubleType()).add("__keep", BooleanType())
     return docs.mapInArrow(run, schema)
 
 
+def grade(docs: DataFrame, model: Ordinal | None, *, doc_id: str = "doc_id", text: str = "text", min_good: float = MIN_GOOD) -> DataFrame:
+    """doc_id, expected_grade, p_good and keep of every row.
+
+    Null and empty texts are scored by the thresholds alone; a tie with
+    ``min_good`` is kept.  Without a model (no labels) the scores are null and
+    every row is kept.  Rows are judged one by one, so repeated rows repeat
+    their result; an empty table gives an empty one.  Other columns are ignored.
+    """
+    own = _graded(docs.select(doc_id, text), model, text, min_good)
+    return own.select(doc_id, F.col("__expected").alias("expected_grade"), F.col("__good").alias("p_good"), F.col("__keep").alias("keep"))
+
+
 def select_good(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_good: float = MIN_GOOD) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, columns as given."""
+    """The rows of ``docs`` that the classifier keeps; all columns as given, whatever their names."""
     model = train(docs, labels, doc_id=doc_id, text=text)
-    return grade(docs, model, text=text, min_good=min_good).where("keep").select(*docs.columns)
+    return _graded(docs, model, text, min_good).where("__keep").select(*docs.columns)

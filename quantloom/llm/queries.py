@@ -50,7 +50,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
-    return quality.grade(docs, model).select("doc_id", "expected_grade", "p_good", "keep")
+    return quality.grade(docs, model)
 
 
 def op9_lz_print(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -329,11 +329,34 @@ def test_quality(spark, empty):
     held = [(got[i].keep, i % 5) for i in range(600, 900)]
     assert np.mean([k == (kind > 1) for k, kind in held]) > 0.95 and not any(k for k, kind in held if kind == 0)
     assert all(0 <= got[i].expected_grade <= 2 and 0 <= got[i].p_good <= 1 for i in got)
-    kept = quality.select_good(docs, labels)
-    assert kept.columns == docs.columns
+    odd = docs.withColumns({"p_good": F.lit(5), "expected_grade": F.lit("y")})
+    kept = quality.select_good(odd, labels)
+    assert kept.dtypes == odd.dtypes and {(r.keep, r.p_good, r.expected_grade) for r in kept.collect()} == {("x", 5, "y")}
     assert quality.grade(docs, quality.train(docs, labels.where("false"))).where("keep").count() == 900
     odd = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
-    assert quality.grade(odd, model).count() == 2 and quality.grade(empty.drop("keep"), model).count() == 0
+    assert quality.grade(odd, model).count() == 2 and quality.grade(empty, model).count() == 0
+    # a labelled id with many rows counts once, and feature places are bounded
+    many = docs.unionByName(docs.where("doc_id = 7").crossJoin(spark.range(500).select(F.col("id").alias("__n"))).drop("__n"))
+    again = quality.train(many, labels)
+    assert np.array_equal(again.weights, model.weights) and np.allclose(again.thresholds, model.thresholds)
+    few = quality.train(docs, labels, places=2000)
+    assert few is not None and not np.array_equal(few.weights, model.weights)
+
+
+def test_features_of_long_texts_come_in_pieces(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array([r[1] for r in ROWS] + ["a" * 5000 + " é, b" * 40])
+    whole = quality.features(texts)
+    monkeypatch.setattr(quality, "text_pieces", lambda c: common.text_pieces(c, 6000))
+    parts = quality.features(texts)
+    assert np.array_equal(whole[1], parts[1]) and np.array_equal(whole[0], parts[0])
+    got = {}
+    for row, raw, bounds in common.text_pieces(texts, 700):
+        assert len(raw) <= 700 or len(bounds) > 2
+        for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            got[row + k] = got.get(row + k, b"") + bytes(raw[a:b])
+    assert [got[i].decode() for i in range(len(texts))] == [t or "" for t in texts.to_pylist()]
 
 
 def plain_features(text):
