@@ -28,7 +28,7 @@ def oracle() -> str:
     name = "[A-Za-z0-9][A-Za-z0-9.+-]*"
     tag = rf"(?:SPDX|spdx)-[Ll]icense-[Ii]dentifier:[ \t]*(\(*{name}\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*{name}\)*)*)"
     steps = (
-        (r"[/|\x{201C}\x{201D}\x{2018}\x{2019}\x{AB}\x{BB}\x{2013}\x{2014}\x{2026}\x{A0}\x{2022}]", " "),
+        (r"[/|\x{A0}\x{AB}\x{BB}\x{2010}-\x{2027}]", " "),
         (r"\x{A9}", " c "), (r"\r\n?", "\n"), (r"(^|[^0-9a-z])v\.[ \n]", r"\1v "),
         (r"(^|[\n:;])([\x00-\x09\x0B-\x2F\x3C-\x60\x7B-\x7F]*)([0-9]{1,2}|[a-z]|[ivx]{2,4})[.)][ \t]", r"\1\2 \3 ; "),
         (r"[.!?]+[\x22\x27)\]*]*([\t\n\v\f\r ]|$)", r" | \1"), (r"\n(?:[\x00-\x09\x0B-\x2F\x3A-\x60\x7B\x7D-\x7F]*\n)+", " | "),

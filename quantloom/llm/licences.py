@@ -13,6 +13,8 @@ broadcast.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,7 +120,6 @@ SENTENCES = (
     ("Cc0", "Licensed under CC0 1.0"),
     ("Cc0", "CC0 1.0 Universal"),
     ("Copyright", "Copyright <*> <year> <*>"),
-    ("Copyright", "(c) <*> <year> <*>"),
     ("Rights", "All rights reserved"),
 )
 
@@ -178,10 +179,10 @@ RULES = (
 NO_WORD = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 # The steps of the normalisation, in order: pattern and replacement.
 STEPS = (
-    (r"[/|\x{201C}\x{201D}\x{2018}\x{2019}\x{AB}\x{BB}\x{2013}\x{2014}\x{2026}\x{A0}\x{2022}]", " "),
-    (r"\x{A9}", " c "),
+    (r"[/|\xA0\xAB\xBB\x{2010}-\x{2027}]", " "),
+    (r"\xA9", " c "),
     (r"\r\n?", "\n"),
-    (r"(^|[^0-9a-z])v\.[ \n]", "$1v "),
+    (r"v\.(?<![0-9a-z]v\.)[ \n]", "v "),
     (rf"(^|[\n:;])([{NO_WORD}&&[^\n:;]]*)([0-9]{{1,2}}|[a-z]|[ivx]{{2,4}})[.)][ \t]", "$1$2 $3 ; "),
     (r"[.!?]+[\x22')\]*]*(\s|$)", " | $1"),
     (rf"\n(?:[{NO_WORD}&&[^\n|]]*\n)+", " | "),
@@ -194,6 +195,17 @@ TAG_NAME = r"[A-Za-z0-9][A-Za-z0-9.+-]*"
 TAG = rf"(?:SPDX|spdx)-[Ll]icense-[Ii]dentifier:[ \t]*(\(*{TAG_NAME}\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*{TAG_NAME}\)*)*)"
 
 
+def clues(known) -> list[str]:
+    """Parts of words of which every known sentence has one: a text without any of them has no known sentence."""
+    left, out = [plain_words(s) for _, s in known], []
+    while left:
+        has = Counter(w for words in left for w in {w for w in words if len(w) >= 7})
+        best = min(has, key=lambda w: (-has[w], w))
+        out.append(best)
+        left = [words for words in left if not any(best in w for w in words)]
+    return out
+
+
 def marked(text: Column) -> Column:
     """The text as lower-case words between marks: ``| w w / w | w |``."""
     out = ascii_lower(F.coalesce(text, F.lit("")))
@@ -235,7 +247,9 @@ def _alternation(known) -> str:
 
 def recognised(text: Column, known=SENTENCES) -> Column:
     """The known sentences of a text in order, without soft marks; of those that start at one mark the longest."""
-    found = F.regexp_extract_all(marked(text), F.lit(rf"(?<=[|/] )(?:{_alternation(known)})(?= [|/])"), F.lit(0))
+    low = ascii_lower(F.coalesce(text, F.lit("")))
+    some = reduce(lambda a, b: a | b, [low.contains(c) for c in clues(known)])
+    found = F.regexp_extract_all(F.when(some, marked(text)).otherwise(""), F.lit(rf"(?<=[|/] )(?:{_alternation(known)})(?= [|/])"), F.lit(0))
     return F.transform(found, lambda s: F.regexp_replace(s, " / ", " "))
 
 
