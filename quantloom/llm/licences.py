@@ -207,8 +207,8 @@ def clues(known) -> list[str]:
 
 
 def marked(text: Column) -> Column:
-    """The text as lower-case words between marks: ``| w w / w | w |``."""
-    out = ascii_lower(F.coalesce(text, F.lit("")))
+    """A lower-cased text as words between marks: ``| w w / w | w |``."""
+    out = text
     for pattern, by in STEPS:
         out = F.regexp_replace(out, pattern, by)
     return F.concat(F.lit("| "), F.trim(out), F.lit(" |"))
@@ -247,9 +247,9 @@ def _alternation(known) -> str:
 
 def recognised(text: Column, known=SENTENCES) -> Column:
     """The known sentences of a text in order, without soft marks; of those that start at one mark the longest."""
-    low = ascii_lower(F.coalesce(text, F.lit("")))
-    some = reduce(lambda a, b: a | b, [low.contains(c) for c in clues(known)])
-    found = F.regexp_extract_all(F.when(some, marked(text)).otherwise(""), F.lit(rf"(?<=[|/] )(?:{_alternation(known)})(?= [|/])"), F.lit(0))
+    some = lambda low: reduce(lambda a, b: a | b, [low.contains(c) for c in clues(known)])
+    text = F.get(F.transform(F.array(ascii_lower(F.coalesce(text, F.lit("")))), lambda low: F.when(some(low), low)), F.lit(0))  # lower-cased once
+    found = F.regexp_extract_all(F.when(text.isNotNull(), marked(text)).otherwise(""), F.lit(rf"(?<=[|/] )(?:{_alternation(known)})(?= [|/])"), F.lit(0))
     return F.transform(found, lambda s: F.regexp_replace(s, " / ", " "))
 
 
