@@ -12,11 +12,12 @@ most 2,081 fingerprints can meet.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage, unstage
@@ -25,8 +26,6 @@ from .components import components, local_roots
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Leading bits that the variants shuffle by, at first and for values with more than BLOCK_ROWS fingerprints.
 LEADING, BLOCK_ROWS = (16, 32, 64), 100_000
-#: Stands for a null id where rows are matched by id.
-NO_ID = -(1 << 63)
 #: Variants that a task holds at once.
 BLOCK_VARIANTS = 2_000_000
 #: Shingles that are counted at once.
@@ -63,6 +62,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).mapInArrow(run, "id long, fp long, h long")
 
 
+@lru_cache
 def masks(bits: int, weight: int) -> np.ndarray:
     """All values of so many bits with at most so many of them set, by weight."""
     return np.array([sum(1 << i for i in c) for w in range(weight + 1) for c in combinations(range(bits), w)], np.uint64)
@@ -94,30 +94,50 @@ def _meet(keys: np.ndarray, fps: np.ndarray, lead: int, half: int) -> tuple[np.n
     return local_roots(a[near], b[near])
 
 
-def _meet_all(lead: int, half: int):
-    """Reads rows sorted by (key, fp); blocks are whole keys, or one key in passes over its variants."""
-    per_row = len(masks(64 - lead, half))
+def _variants(keys: np.ndarray, fps: np.ndarray, lead: int, half: int) -> int:
+    """How many variants the rows have below their keys."""
+    left = half - np.bitwise_count(fps >> np.uint64(64 - lead) ^ keys).astype(np.int64)
+    size = np.array([len(masks(64 - lead, r)) for r in range(half + 1)])
+    return int(size[left[left >= 0]].sum())
+
+
+def _meet_in_passes(keys: np.ndarray, fps: np.ndarray, lead: int, half: int, most: int):
+    """``_meet`` with at most so many variants at once: more are taken in passes over the next four bits of the variants."""
+    if not len(keys):
+        return
+    if lead == 64 or _variants(keys, fps, lead, half) <= most:
+        yield _meet(keys, fps, lead, half)
+        return
+    after = lead + 4
+    top = fps >> np.uint64(64 - after)
+    for low in range(16):
+        own = keys << np.uint64(4) | np.uint64(low)
+        reached = np.bitwise_count(top ^ own) <= half
+        yield from _meet_in_passes(own[reached], fps[reached], after, half, most)
+
+
+def _meet_all(lead: int, half: int, most: int = BLOCK_VARIANTS):
+    """Reads rows sorted by (key, fp), in blocks of whole keys; ``most`` bounds the variants that a task holds."""
 
     def run(batches):
         import pyarrow as pa
 
         def out(keys, fps):
-            a, b = _meet(keys, fps, lead, half)
-            return pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            for a, b in _meet_in_passes(keys, fps, lead, half, most):
+                yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-        most = max(1, BLOCK_VARIANTS // per_row * 8)  # most rows are a bit or two away and have few variants
+        rows = max(1, most // len(masks(64 - lead, half)) * 8)  # most rows are a bit or two away and have few variants
         keys, fps = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         for batch in batches:
             keys = np.concatenate((keys, batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)))
             fps = np.concatenate((fps, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-            while len(keys) > most:
-                cut = int(np.searchsorted(keys.view(np.int64), keys.view(np.int64)[most], "left")) or int(np.searchsorted(keys.view(np.int64), keys.view(np.int64)[0], "right"))
+            while len(keys) > rows:
+                cut = int(np.searchsorted(keys.view(np.int64), keys.view(np.int64)[rows], "left")) or int(np.searchsorted(keys.view(np.int64), keys.view(np.int64)[0], "right"))
                 if cut == len(keys):
                     break
-                yield out(keys[:cut], fps[:cut])
+                yield from out(keys[:cut], fps[:cut])
                 keys, fps = keys[cut:], fps[cut:]
-        if len(keys):
-            yield out(keys, fps)
+        yield from out(keys, fps)
 
     return run
 
@@ -159,8 +179,9 @@ def links(fps: DataFrame, radius: int = RADIUS, leading: tuple[int, ...] = LEADI
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) and text_hash of every row.
 
-    Null and empty texts have the fingerprint zero, linked like any other.
-    Equal rows give equal rows.  A null id takes no part in the smallest id; it
+    Ids are whole numbers.  Null and empty texts have the fingerprint zero,
+    linked like any other.  Equal rows give equal rows; an empty table gives an
+    empty one.  A null id takes no part in the smallest id; it
     is null only in a component without any id.  Other columns are ignored.
     """
     own = stage(fingerprints(docs, doc_id=doc_id, text=text, shingle=shingle), "fingerprints")
@@ -173,16 +194,3 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     classes = stage(grouped.join(least, "root").select(F.col("fp").alias("c_fp"), "component_id"), "classes")
     unstage(fps, linked, roots, grouped)
     return own.join(classes, own["fp"] == F.col("c_fp")).select(F.col("id").alias(doc_id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("h").alias("text_hash"))
-
-
-def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row of each component stays: that with the smallest id; of rows that repeat it, the one with the smallest text hash.
-
-    Rows without id go if their component has one; if not, one row of each text stays.
-    """
-    found = near_duplicates(docs, doc_id=doc_id, text=text, radius=radius)
-    id_, of_text = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)), lambda h: F.when(F.col(doc_id).isNull(), h).otherwise(0)
-    kept = found.where(F.col(doc_id).eqNullSafe(F.col("component_id"))).select(id_.alias("__k"), of_text(F.col("text_hash")).alias("__h")).distinct()
-    rows = docs.withColumn("__k", id_).withColumn("__h", of_text(F.xxhash64(text))).join(kept, ["__k", "__h"], "left_semi")
-    first = F.row_number().over(Window.partitionBy("__k", "__h").orderBy(F.xxhash64(text)))
-    return rows.withColumn("__r", first).where("__r = 1").select(*docs.columns)

@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -122,9 +123,6 @@ def test_near_duplicates(docs, empty):
     want = sorted((str(i), f"{fps[i, t]:016x}", str(least.get(root[fps[i, t]]))) for i, t, _ in ROWS)
     got = sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash.near_duplicates(docs).collect())
     assert got == want
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(set(least.values()))
-    assert kept.where("doc_id is null").count() == sum(i is None and root[fps[i, t]] not in least for i, t, _ in ROWS)
     assert simhash.near_duplicates(empty).count() == 0
 
 
@@ -142,6 +140,25 @@ def test_links_with_crowded_values(spark):
         assert {n: found.get(n, n) for n in want} == want
 
 
+def test_variants_of_one_prefix_are_taken_in_passes():
+    """100,000 fingerprints with one leading value meet in bounded passes, and find the links that one block finds."""
+    draw = np.random.default_rng(3)
+    fps = np.unique(draw.integers(0, 1 << 48, 3000, np.uint64))
+    fps = np.unique(np.concatenate((fps, fps ^ np.uint64(5), fps[:500] ^ np.uint64(0b1111 << 30))))
+    keys = np.zeros(len(fps), np.uint64)
+    whole = components.local_roots(*simhash._meet(keys, fps, 16, 2))
+    parts = list(simhash._meet_in_passes(keys, fps, 16, 2, 100_000))
+    assert len(parts) > 10
+    again = components.local_roots(np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts]))
+    assert np.array_equal(whole[0], again[0]) and np.array_equal(whole[1], again[1])
+    tracemalloc.start()
+    many = np.unique(draw.integers(0, 1 << 48, 100_000, np.uint64))
+    for _ in zip(simhash._meet_in_passes(np.zeros(len(many), np.uint64), many, 16, 2, simhash.BLOCK_VARIANTS), range(3), strict=False):
+        pass
+    assert tracemalloc.get_traced_memory()[1] < 1 << 30
+    tracemalloc.stop()
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 150)] + [(7, 7)]
     found = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
