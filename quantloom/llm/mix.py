@@ -6,7 +6,8 @@ once for each integer boundary that its share of the line crosses.  Documents
 stand in order of size class, so neighbours are of like size and the words
 taken come near the target.  The prefix sum is taken in two levels, within
 (source, size class, salt) and over those groups' counts, so that no task
-orders a whole source.
+orders a whole source.  A class has as many salts as its rows need, and equal
+rows are counted before they meet.
 """
 
 from __future__ import annotations
@@ -14,7 +15,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WEIGHTS, SHARE, MAX_COPIES, SALTS = (3.0, 1.0, 2.0), 1.5, 2.0, 64
+from .common import stage
+
+WEIGHTS, SHARE, MAX_COPIES = (3.0, 1.0, 2.0), 1.5, 2.0
+#: Rows of a source and size class that share a salt, on average.
+SALT_ROWS = 50_000
 TOKEN_BREAK = r"[\x20\x09-\x0D]+"
 
 
@@ -53,27 +58,36 @@ def offset_of(source: Column, seed: int) -> Column:
 
 def mix(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS,
-    share: float = SHARE, max_copies: float = MAX_COPIES, salts: int = SALTS, seed: int = 7,
+    share: float = SHARE, max_copies: float = MAX_COPIES, salt_rows: int = SALT_ROWS, seed: int = 7,
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken of every row.
 
     Null sources are one source, the last; null and empty texts have size 0 and
     may be emitted without adding words.  Rows that repeat an id are told apart
-    by nothing but their place, and each is drawn on its own.  A source whose
-    texts are all empty has target 0.  Other columns are ignored.
+    by their text, and each is drawn on its own; equal rows take places beside
+    each other.  A source whose texts are all empty has target 0.  An empty
+    table gives an empty one.  Ids are of any type that casts to string.  Other
+    columns are ignored.
     """
-    own = docs.select(F.col(doc_id).alias("id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"))
-    # size class: a quarter of a doubling; salt: splits hot sources and ties
-    own = own.withColumn("class", F.floor(F.log2(F.col("size") + 1) * 4 + 1e-9).cast("int")).withColumn("salt", F.pmod(F.coalesce(F.col("id"), F.lit(0)), F.lit(salts)))
-    groups = own.groupBy("source", "class", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
-    plan = targets(groups.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_copies)
-    place = Window.partitionBy("source").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    placed = groups.withColumn("before", F.coalesce(F.sum("n").over(place), F.lit(0))).drop("n", "words")
+    name = F.md5(F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
+    own = docs.select(F.col(doc_id).alias("id"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), name.alias("name"))
+    # size class: a quarter of a doubling
+    own = stage(own.groupBy("source", F.floor(F.log2(F.col("size") + 1) * 4 + 1e-9).cast("int").alias("class"), "name", "id", "size").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    classes = own.groupBy("source", "class").agg(F.sum("n").alias("c_rows"), F.sum(F.col("n") * F.col("size")).alias("c_words"))
     same = lambda a, b, cols: [a[c].eqNullSafe(b[c]) for c in cols]
+    rule = stage(classes.select(F.col("source").alias("c_source"), F.col("class").alias("c_class"), F.ceil(F.col("c_rows") / salt_rows).cast("long").alias("salts"), "c_words"), "classes")
+    hashed = F.conv(F.substring("name", 1, 8), 16, 10).cast("long")
+    salted = own.join(rule, own["source"].eqNullSafe(rule["c_source"]) & (own["class"] == rule["c_class"])).select("id", "source", "size", "class", "name", "n", F.pmod(hashed, F.col("salts")).alias("salt"))
+    plan = targets(rule.groupBy(F.col("c_source").alias("source")).agg(F.sum("c_words").alias("source_size")), weights, share, max_copies)
+    groups = salted.groupBy("source", "class", "salt").agg(F.sum("n").alias("g_rows"))
+    place = Window.partitionBy("source").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    placed = groups.withColumn("before", F.coalesce(F.sum("g_rows").over(place), F.lit(0)))
     ruled = placed.join(plan, same(placed, plan, ["source"])).select(placed["source"].alias("g_source"), F.col("class").alias("g_class"), F.col("salt").alias("g_salt"), "before", "source_size", "target", "copies")
-    row = F.row_number().over(Window.partitionBy("source", "class", "salt").orderBy("id", "size"))
-    ranked = own.withColumn("row", row)
+    upto = F.sum("n").over(Window.partitionBy("source", "class", "salt").orderBy("name", "size").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = salted.withColumn("last", upto)
     both = ranked.join(ruled, ranked["source"].eqNullSafe(ruled["g_source"]) & (ranked["class"] == ruled["g_class"]) & (ranked["salt"] == ruled["g_salt"]))
-    rank, u = F.col("before") + F.col("row"), offset_of(F.col("source"), seed)
-    crossed = (F.floor(rank * F.col("copies") + u) - F.floor((rank - 1) * F.col("copies") + u)).cast("long")
-    return both.select(F.col("id").alias(doc_id), "source", "size", "source_size", "target", crossed.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+    ranks = F.explode(F.sequence(F.col("last") - F.col("n") + 1, F.col("last"))).alias("rank")
+    each = both.select("id", "source", "size", "source_size", "target", "copies", "before", ranks).withColumn("rank", F.col("before") + F.col("rank"))
+    u = offset_of(F.col("source"), seed)
+    crossed = (F.floor(F.col("rank") * F.col("copies") + u) - F.floor((F.col("rank") - 1) * F.col("copies") + u)).cast("long")
+    return each.select(F.col("id").alias(doc_id), "source", "size", "source_size", "target", crossed.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))

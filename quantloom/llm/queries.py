@@ -92,7 +92,7 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)""",
     "op3_mix": r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS name FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3] AS w, 2.0::DOUBLE * source_size AS cap FROM s),
 f AS (SELECT *, cap / w AS fill FROM w),
@@ -100,9 +100,9 @@ l AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ()) - coalesce(sum(cap) OV
   FROM f WINDOW o AS (ORDER BY fill, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, least(cap, w * coalesce((SELECT arg_min(level, fill) FROM l WHERE level <= fill), 'inf'::DOUBLE)) AS target FROM l),
 r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS copies,
-  row_number() OVER (PARTITION BY d.source ORDER BY floor(log2(size + 1) * 4 + 1e-9), ((coalesce(doc_id, 0) % 64) + 64) % 64, doc_id NULLS FIRST, size) AS rank,
+  row_number() OVER (PARTITION BY d.source ORDER BY class, ('0x' || substr(name, 1, 8))::BIGINT % ceil(c_rows / 50000)::BIGINT, name, size) AS rank,
   ('0x' || substr(md5(coalesce('7:' || d.source, '7/')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+  FROM (SELECT *, floor(log2(size + 1) * 4 + 1e-9) AS class, count(*) OVER (PARTITION BY source, floor(log2(size + 1) * 4 + 1e-9)) AS c_rows FROM d) AS d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (floor(rank * copies + u) - floor((rank - 1) * copies + u))::BIGINT AS copies,
   (floor(rank * copies + u) - floor((rank - 1) * copies + u))::BIGINT * size AS taken FROM r""",
     "op7_line_dedup": r"""

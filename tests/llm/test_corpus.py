@@ -57,8 +57,8 @@ def words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
 
 
-@pytest.mark.parametrize("block", [100_000, 7])
-def test_contamination(spark, docs, block):
+@pytest.mark.parametrize(("block", "size"), [(100_000, 1 << 25), (7, 1 << 25), (100_000, 300)])
+def test_contamination(spark, docs, block, size):
     items = [(1, ITEM), (2, "short one"), (3, VOCAB[5]), (None, None), (4, ""), (5, ITEM), (6, prose(13))]
     table = spark.createDataFrame(items, "item_id long, text string").withColumn("words", F.lit(1))
     wins = defaultdict(set)
@@ -76,7 +76,7 @@ def test_contamination(spark, docs, block):
                     hit |= set(range(s, s + n))
                     found |= wins[k]
         want[i, t] = (len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
-    out = decontaminate.contamination(docs, table, block_windows=block)
+    out = decontaminate.contamination(docs, table, block_windows=block, block_bytes=size)
     hashes = {(r.doc_id, r.text): r.h64 for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h64")).collect()}
     got = {(r.doc_id, r.text_hash): (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out.collect()}
     assert all(got[k[0], hashes[k]] == v for k, v in want.items())
@@ -216,8 +216,15 @@ def test_mix(docs, empty):
     for r in rows:
         biggest[r.source] = max(biggest[r.source], r.size)
     assert all(abs(taken[s] - target[s]) <= 2 * biggest[s] for s in order)
-    again = lambda: sorted((str(r.doc_id), r.size, r.copies) for r in mix.mix(docs.repartition(3)).collect())
-    assert again() == sorted((str(r.doc_id), r.size, r.copies) for r in rows)
+    shown = lambda df: sorted((str(r.doc_id), r.size, r.copies) for r in df.collect())
+    assert shown(mix.mix(docs.repartition(3))) == sorted((str(r.doc_id), r.size, r.copies) for r in rows)
+    # many salts and many equal rows: the words taken stay near the target
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")).unionByName(docs.withColumn("doc_id", F.lit(None).cast("string")).where("text is null or doc_id = 153"))
+    for salt_rows in (50_000, 3):
+        got = mix.mix(named, salt_rows=salt_rows)
+        assert got.count() == named.count()
+        words = got.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("w"), F.max("size").alias("m")).collect()
+        assert all(abs(r.t - r.w) <= 2 * r.m for r in words)
     assert mix.mix(empty).count() == 0
 
 
