@@ -93,7 +93,7 @@ def _seen(docs: DataFrame, min_chars: int, bits: int, shards: int) -> DataFrame:
 
 
 def twice_seen(docs: DataFrame, min_chars: int, bits: int = FILTER_BITS, shards: int = SHARDS) -> DataFrame:
-    """(shard, twice): the twice-seen filter's set bits, packed, in at most so many rows."""
+    """(shard, twice): the twice-seen filter's bits, packed and compressed; a bit of the filter is at most a bit here."""
     per_shard = bits // shards
 
     def run(batches):
@@ -108,7 +108,7 @@ def twice_seen(docs: DataFrame, min_chars: int, bits: int = FILTER_BITS, shards:
                 twice[s][a[once[s][a]]] = True
                 twice[s][b] = True
                 once[s][a] = True
-        rows = [(s, _note(np.flatnonzero(x).astype(np.uint32))) for s, x in twice.items()]
+        rows = [(s, zlib.compress(np.packbits(x).tobytes(), 1)) for s, x in twice.items()]
         yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "twice"])
 
     return _seen(docs, min_chars, bits, shards).repartition(shards, "shard").mapInArrow(run, "shard int, twice binary")
@@ -122,17 +122,17 @@ def _suspects(docs: DataFrame, twice: list[tuple[int, bytes]], min_chars: int, b
     def run(batches):
         import pyarrow as pa
 
-        suspected = np.zeros(bits // 8, np.uint8)
-        for s, note in sent.value:
-            at = _read(note).astype(np.int64) + s * per_shard
-            np.bitwise_or.at(suspected, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        suspected = np.zeros((shards, -(-per_shard // 8)), np.uint8)
+        for s, packed in sent.value:
+            suspected[s] = np.frombuffer(zlib.decompress(packed), np.uint8)
         for batch in batches:
             keys, ids = [], []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = list(_keys(t, min_chars))
                 if own:
                     at = np.array([_bit(k, bits) for k in own], np.int64)
-                    hit = np.flatnonzero(suspected[at >> 3] >> (at & 7) & 1)
+                    place = at % per_shard
+                    hit = np.flatnonzero(suspected[at // per_shard, place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1)
                     keys += [digest(own[j]) for j in hit]
                     ids += [i] * len(hit)
             yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], names=["key", "id"])

@@ -9,6 +9,7 @@ compression-like likeness.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -19,6 +20,8 @@ from .common import SpanHasher
 #: Minimum hashes of a signature, of which 16 bits each are kept.
 HASHES = 64
 BLOCK_PHRASES = 512
+#: Bucket bounds that a row is compared with at once.
+BLOCK_BOUNDS = 64
 NO_ID = -(1 << 63)
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(0, 1 << 31, (HASHES, 1), np.uint32) * np.uint32(2) + np.uint32(1)
@@ -102,25 +105,48 @@ def prints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Da
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(run, "id long, n_chars long, fingerprint string").withColumnRenamed("id", doc_id)
 
 
+def _bounds(docs: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """(key, h) at which buckets begin: quantiles of the keys; a key that is several quantiles is cut by its texts' hashes."""
+    at = [i / parts for i in range(1, parts)] or [0.5]
+    keys = Counter(b for b in docs.agg(F.percentile_approx("key", at, 10_000).alias("q")).first()["q"] or [] if b is not None)
+    whole = 1 << 64
+    return sorted((key, -(whole >> 1) + (whole * i // n if n > 1 else 0)) for key, n in keys.items() for i in range(n))
+
+
 def _with_next(docs: DataFrame, parts: int) -> DataFrame:
-    """bucket, ahead, id, key, t: rows in ascending order within buckets of ids, each bucket followed by the next one's first row.
+    """bucket, ahead, id, key, h, t: rows in ascending order within buckets, each bucket followed by the next one's first row.
 
-    Bucket bounds and each bucket's smallest id are a few numbers for each
-    partition.  Texts move once; a bucket's first row moves twice.
+    Rows stand in order of key, then of the hash of their text.  Bucket bounds
+    and each bucket's first place are a few numbers for each partition.  Texts
+    move once; a bucket's first row moves twice.
     """
-    at = [i / parts for i in range(1, parts)] or [0.5]
-    bounds = sorted({b for b in docs.agg(F.percentile_approx("key", at, 10_000).alias("q")).first()["q"] or [] if b is not None})
-    bucket = F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("key"))) if bounds else F.lit(0)
+    bounds = _bounds(docs, parts)
+    place = lambda k, h: F.struct(F.lit(k).cast("long").alias("key"), F.lit(h).cast("long").alias("h"))
+    mine = F.struct("key", "h")
+    before = lambda places: F.size(F.filter(F.array(*places), lambda b: b <= mine))
+    bucket = F.lit(0)
+    if bounds:  # the block of bounds first, then the place in it
+        blocks = [bounds[i : i + BLOCK_BOUNDS] for i in range(0, len(bounds), BLOCK_BOUNDS)]
+        block = before([place(*b[0]) for b in blocks])
+        within = F.when(F.lit(False), 0)
+        for i, own in enumerate(blocks, 1):
+            within = within.when(F.col("block") == i, before([place(*x) for x in own]))
+        docs = docs.withColumn("block", block)
+        bucket = F.when(F.col("block") == 0, 0).otherwise((F.col("block") - 1) * BLOCK_BOUNDS + within)
     dealt = docs.withColumn("bucket", bucket.cast("int"))
-    heads = {r["bucket"]: r["head"] for r in dealt.groupBy("bucket").agg(F.min("key").alias("head")).collect()}
+    heads = {r["bucket"]: r["head"] for r in dealt.groupBy("bucket").agg(F.min(mine).alias("head")).collect()}
     order = sorted(heads)
-    before = {b: order[i - 1] for i, b in enumerate(order)}
     n = len(bounds) + 1
-    head = F.element_at(F.array(*[F.lit(heads.get(b)).cast("long") for b in range(n)]), F.col("bucket") + 1)
-    back = F.element_at(F.array(*[F.lit(before.get(b)).cast("int") for b in range(n)]), F.col("bucket") + 1)
-    places = F.array(F.struct(F.col("bucket"), F.lit(False).alias("ahead")), F.when(F.col("key") == head, F.struct(back.alias("bucket"), F.lit(True).alias("ahead"))))
-    rows = dealt.select(F.explode(F.filter(places, lambda p: p.isNotNull())).alias("place"), "id", "key", "t").select("place.bucket", "place.ahead", "id", "key", "t")
-    return rows.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "ahead", "key", "t")
+    # few rows: a head for each bucket, and the bucket before it
+    rows = [(b, heads[b]["key"], heads[b]["h"], order[i - 1]) for i, b in enumerate(order)]
+    first = docs.sparkSession.createDataFrame(rows, "b int, b_key long, b_h long, back int") if rows else None
+    if first is None:
+        return dealt.select("bucket", F.lit(False).alias("ahead"), "id", "key", "h", "t")
+    known = dealt.join(F.broadcast(first), F.col("bucket") == F.col("b"))  # a row for each bucket
+    is_head = (F.col("key") == F.col("b_key")) & (F.col("h") == F.col("b_h"))
+    places = F.array(F.struct(F.col("bucket"), F.lit(False).alias("ahead")), F.when(is_head, F.struct(F.col("back").alias("bucket"), F.lit(True).alias("ahead"))))
+    out = known.select(F.explode(F.filter(places, lambda p: p.isNotNull())).alias("place"), "id", "key", "h", "t").select("place.bucket", "place.ahead", "id", "key", "h", "t")
+    return out.repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket", "ahead", "key", "h", "t")
 
 
 def edit_likeness(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", parts: int | None = None) -> DataFrame:
@@ -128,11 +154,13 @@ def edit_likeness(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
     The edited text has its last quarter (rounded down) replaced by as many
     first characters of the next row, or all it has, in ascending order of id,
-    after the last the first.  Rows without id come first; rows that repeat an
-    id stand in order of text.  Null counts as empty.  Other columns are ignored.
+    after the last the first.  Ids are whole numbers.  Rows without id come
+    first; rows that repeat an id stand in order of a hash of their text.  Null
+    counts as empty; an empty table gives an empty one.  Other columns are
+    ignored.
     """
     parts = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    own = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("t")).withColumn("h", F.xxhash64("t"))
     names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def run(batches):
@@ -159,9 +187,9 @@ def edit_likeness(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
                 last = None
 
         for batch in batches:
-            for ahead, i, t in zip(*(batch.column(c).to_pylist() for c in (1, 2, 4)), strict=True):
+            for ahead, i, t in zip(*(batch.column(c).to_pylist() for c in (1, 2, 5)), strict=True):
                 if ahead and waiting is None:
-                    continue  # further rows that repeat the next bucket's first id
+                    continue  # further rows that repeat the next bucket's first place
                 if waiting is not None:
                     done = close(waiting, t)
                     follow(done[0])

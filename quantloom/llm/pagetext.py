@@ -40,11 +40,16 @@ RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "obje
 OUTSIDE = frozenset("nav footer aside form button dialog menu input".split())
 MAIN = ("article", "main")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+# Words beside which a mark is still one (``site-header``, ``ad-box``); beside any other it is not (``entry-header``).
+NEUTRAL = frozenset("site page main global top bottom left right upper lower inner outer primary secondary container wrapper wrap holder box bar block section area region zone list lists link links item items module unit slot panel group row col column content body title text icon button btn the id no js x xs sm md lg".split())
 # Words of a class or id that mark menus, headers, sidebars, notices, adverts, forms and comments.
 MARKS = frozenset("ad ads advert adverts advertisement advertising banner promo promoted promotion sponsor sponsored nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments disqus reply replies related recommended recommendations pagination pager toolbar form search".split())
 # Tags that only frame others; a slot's container is the nearest tag beyond them.
 TEXTUAL = frozenset("p br h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tr td th figure figcaption hr center".split())
 
+# Marks that an article may use for parts of its own.
+OWN_PARTS = frozenset("header masthead banner".split())
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
 MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[a-z0-9]+")
@@ -60,6 +65,17 @@ def _marks(attrs: str) -> str:
     return ".".join(WORDS.findall(" ".join(a or b or c for a, b, c in MARKED.findall(attrs)).lower())) if attrs else ""
 
 
+@lru_cache(1 << 12)
+def marked(attrs: str, within: bool = False) -> bool:
+    """Whether a class, id or role consists of marks and neutral words only; ``within`` an article its own parts do not count."""
+    for a, b, c in MARKED.findall(attrs):
+        for name in (a or b or c).lower().split():
+            words = set(WORDS.findall(name))
+            if words and words <= MARKS | NEUTRAL and words & (MARKS - OWN_PARTS if within else MARKS):
+                return True
+    return False
+
+
 def blocks(page: str | None) -> tuple[list[tuple[str, bool, str, int]], list[str]]:
     """Text blocks as (container, inside boilerplate, text, place of its slot's token), and the page's structural tokens."""
     out: list[tuple[str, bool, str, int]] = []
@@ -111,43 +127,57 @@ def blocks(page: str | None) -> tuple[list[tuple[str, bool, str, int]], list[str
             stack.pop()
             tokens.append(f"</{tag}>")
         within = any(t in MAIN for t, _, _ in stack)
-        bad = tag in OUTSIDE or (tag == "header" and not within) or (tag not in ("html", "body") and not MARKS.isdisjoint(marks.split(".")))
+        bad = tag in OUTSIDE or (tag == "header" and not within) or (tag not in ("html", "body") and marked(m[4], within))
         stack.append((tag, name, bad))
         tokens.append(f"<{name}>")
     flush()
     return out, tokens
 
 
-_REPEAT = re.compile(r"((?:\([^()]*\)\+|<[^>]*>){1,%d}?)\1+" % GROUP)
-_SINGLE = re.compile(r"<(p|li|tr|dt|dd)><#></\1>(?!\)\+)")
-
-
+#: Elements that may stand alone where others of the host's pages repeat them.
+SINGLE = ("p", "li", "tr", "dt", "dd")
 _ITEM = re.compile(r"\([^()]*\)[+?*]|<[^>]*>")
 
 
-def _folded(line: str, spans: list[tuple[int, int]], pattern: re.Pattern, group) -> tuple[str, list[tuple[int, int]]]:
-    """The line with each match written as one group, and the tokens that each item covers."""
-    out, own, at, k = [], [], 0, 0
-    for m in pattern.finditer(line):
-        before, inside = len(_ITEM.findall(line, at, m.start())), len(_ITEM.findall(m[0]))
-        own += spans[k : k + before]
-        k += before
-        own.append((spans[k][0], spans[k + inside - 1][1]))
-        k += inside
-        out += (line[at : m.start()], group(m))
-        at = m.end()
-    return "".join([*out, line[at:]]), own + spans[k:]
+def _grouped(items: list[str]) -> str:
+    """Items as one repeated group; a group alone stays as it is."""
+    return items[0] if len(items) == 1 and items[0][0] == "(" else "(" + "".join(x[1:-2] if x[0] == "(" else x for x in items) + ")+"
+
+
+def _fold_once(items: list[str], spans: list[tuple[int, int]]) -> tuple[list[str], list[tuple[int, int]]]:
+    """Runs of equal neighbours, of one up to GROUP items, as one group each, from left to right."""
+    out, own, i = [], [], 0
+    while i < len(items):
+        for n in range(1, min(GROUP, (len(items) - i) // 2) + 1):
+            unit, j = items[i : i + n], i + n
+            while items[j : j + n] == unit:
+                j += n
+            if j > i + n:
+                out.append(_grouped(unit))
+                own.append((spans[i][0], spans[j - 1][1]))
+                i = j
+                break
+        else:
+            out.append(items[i])
+            own.append(spans[i])
+            i += 1
+    return out, own
 
 
 def fold_spans(tokens: list[str]) -> tuple[str, list[tuple[int, int]]]:
     """Repeats beside each other as one group with a plus; lone paragraphs and list items too.  With the tokens of each item."""
-    line, spans = _folded("".join(tokens), [(i, i + 1) for i in range(len(tokens))], _SINGLE, lambda m: f"(<{m[1]}><#></{m[1]}>)+")
+    items, spans, i = [], [], 0
+    while i < len(tokens):
+        alone = i + 2 < len(tokens) and tokens[i + 1] == "<#>" and tokens[i][1:-1] in SINGLE and tokens[i + 2] == f"</{tokens[i][1:-1]}>"
+        items.append(_grouped(tokens[i : i + 3]) if alone else tokens[i])
+        spans.append((i, i + 3 if alone else i + 1))
+        i = spans[-1][1]
     for _ in range(GROUP):
-        short, own = _folded(line, spans, _REPEAT, lambda m: m[1] if m[1].startswith("(") and m[1].count("(") == 1 and m[1].endswith(")+") else f"({m[1].replace('(', '').replace(')+', '')})+")
-        if short == line:
+        before = len(items)
+        items, spans = _fold_once(items, spans)
+        if len(items) == before:
             break
-        line, spans = short, own
-    return line, spans
+    return "".join(items), spans
 
 
 def fold(tokens: list[str]) -> str:

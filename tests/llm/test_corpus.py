@@ -462,7 +462,8 @@ def test_lz_prints(docs, empty):
 
     for _, t, _ in ROWS[:40]:
         assert set(lzprint.parse(t or "", 0, set())[1]) == plain(t or "")
-    place = lambda r: (-(1 << 63) if r[0] is None else r[0], r[1] or "")
+    h64 = {r.t: r.h64 for r in docs.select(F.coalesce("text", F.lit("")).alias("t")).distinct().select("t", F.xxhash64("t").alias("h64")).collect()}
+    place = lambda r: (-(1 << 63) if r[0] is None else r[0], h64[r[1] or ""], r[1] or "")
     rows = sorted(ROWS, key=place)
     want = []
     for j, (i, t, _) in enumerate(rows):
@@ -471,10 +472,14 @@ def test_lz_prints(docs, empty):
         edited = t[: len(t) - k] + after[:k]
         a, b, c = map(lzprint.fingerprint, (t, edited, after))
         want.append((str(i), len(t), hashlib.sha256(edited.encode()).hexdigest(), a.tobytes().hex(), b.tobytes().hex(), lzprint.likeness(a, b), lzprint.likeness(a, c)))
-    for parts in (1, 6):
+    for parts in (1, 6, 150):
         got = [(str(r.doc_id), r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in lzprint.edit_likeness(docs, parts=parts).collect()]
         assert sorted(got) == sorted(want)
     assert lzprint.edit_likeness(empty, parts=3).count() == 0
+    hot = docs.select("text").withColumn("doc_id", F.lit(None).cast("long"))  # all rows without id: cut by their texts' hashes
+    keyed = hot.select(F.lit(lzprint.NO_ID).alias("key"))
+    assert len(set(lzprint._bounds(keyed, 8))) == 7
+    assert sorted(r.n_chars for r in lzprint.edit_likeness(hot, parts=8).collect()) == sorted(len(t or "") for _, t, _ in ROWS)
     one = lzprint.edit_likeness(docs.where("doc_id = 140"), parts=3).collect()
     assert len(one) == 1 and one[0].near_next == 1
     assert lzprint.prints(docs).count() == len(ROWS)
