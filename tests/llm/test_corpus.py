@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quantloom.llm import common, components, decontaminate, licences, linededup, lmscore, lzprint, mix, pagetext, quality, secretscan, simhash
+from quantloom.llm import common, components, decontaminate, licences, linededup, lzprint, mix, pagetext, quality, secretscan, simhash
 
 LOW = {i: i + 32 for i in range(65, 91)}
 rng = random.Random(3)
@@ -410,46 +410,6 @@ def test_word_spans_match_a_plain_split():
     assert at == len(texts) and len(set(seen.values())) == len(seen)
 
 
-def test_pseudo_likelihood(spark, docs, empty):
-    model = lmscore.fit(docs)
-    classes, inside, logp = model
-    assert np.allclose(np.exp(logp).sum(axis=1), 1, atol=1e-4)
-    assert np.bincount(classes, np.exp(inside.astype(float)), lmscore.CLASSES)[1:].max() == pytest.approx(1, abs=1e-3)
-    got = {(r.doc_id, r.n_tokens): r for r in lmscore.score(docs, model).collect()}
-    hasher = common.SpanHasher()
-    for i, t, _ in ROWS[:70]:
-        c = []
-        total = 0.0
-        buckets = []
-        for w in words(t):
-            raw = np.frombuffer(w.encode(), np.uint8)
-            buckets.append(int(hasher.spans(hasher.prefix(raw), np.array([0]), np.array([len(raw)]))[0]) & (lmscore.BUCKETS - 1))
-        c = [0, *(int(classes[b]) for b in buckets), 0]
-        total = sum(float(logp[c[k], c[k + 1], c[k + 2]]) + float(inside[b]) for k, b in enumerate(buckets))
-        row = got[i, len(buckets)]
-        assert row.log_likelihood == pytest.approx(total, abs=1e-3)
-        assert (row.mean_log_likelihood is None) == (not buckets)
-    assert lmscore.pseudo_likelihood(empty).count() == 0
-
-
-def test_pseudo_likelihood_prefers_held_out_text_in_order(spark):
-    follow = {w: rng.sample(VOCAB[:60], 3) for w in VOCAB[:60]}
-
-    def chain(n):
-        out = [rng.choice(VOCAB[:60])]
-        while len(out) < n:
-            out.append(rng.choice(follow[out[-1]]))
-        return out
-
-    seen = [(i, " ".join(chain(80))) for i in range(300)]
-    model = lmscore.fit(spark.createDataFrame(seen, "doc_id long, text string"))
-    held = [chain(60) for _ in range(50)]
-    mixed = [rng.sample(x, len(x)) for x in held]
-    table = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(held + mixed)], "doc_id long, text string")
-    s = {r.doc_id: r.log_likelihood for r in lmscore.score(table, model).collect()}
-    assert np.mean([s[i] > s[50 + i] for i in range(50)]) > 0.95
-
-
 def test_lz_prints(docs, empty):
     def plain(text):
         known, phrase = set(), ""
