@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from quantloom.sources.staging import staged
+
 
 def by(*keys: str) -> WindowSpec:
     return Window.partitionBy(*keys)
@@ -16,10 +18,27 @@ def series(key: str = "symbol", order: str = "date") -> WindowSpec:
 
 def pct_rank(x: Column, *keys: str, ascending: bool = True) -> Column:
     """Average-tie rank over the number of non-NULL values; NULL for NULL."""
-    order = x.asc_nulls_last() if ascending else x.desc_nulls_last()
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, x))
-    rank = F.rank().over(Window.partitionBy(*keys).orderBy(order))
-    return F.when(x.isNotNull(), (rank + (ties - 1) / 2.0) / F.count(x).over(Window.partitionBy(*keys)))
+    spec = Window.partitionBy(*keys).orderBy(x.asc_nulls_last() if ascending else x.desc_nulls_last())
+    ties = F.count(F.lit(1)).over(spec.rangeBetween(Window.currentRow, Window.currentRow))  # one sort for rank and ties
+    return F.when(x.isNotNull(), (F.rank().over(spec) + (ties - 1) / 2.0) / F.count(x).over(Window.partitionBy(*keys)))
+
+
+def with_pooled_ranks(df: DataFrame, **ranks: str) -> DataFrame:
+    """``df`` with each new column as the average-tie rank of a column over all rows, by the number of its values.
+
+    No task orders all rows: values are counted first, ordered within range
+    partitions, and each partition starts after the counts of those before it.
+    """
+    for name, column in ranks.items():
+        values = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+        placed = staged(values.repartitionByRange("__v").select("__v", "__n", F.spark_partition_id().alias("__part")), "ranked-values")
+        parts = placed.groupBy("__part").agg(F.sum("__n").alias("__size"), F.min("__v").alias("__low"))
+        order = Window.orderBy("__low")  # a row for each partition
+        starts = parts.select("__part", (F.sum("__size").over(order) - F.col("__size")).alias("__start"), F.sum("__size").over(Window.partitionBy()).alias("__all"))
+        upto = F.sum("__n").over(Window.partitionBy("__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        place = placed.withColumn("__upto", upto).join(starts, "__part").select("__v", ((F.col("__start") + F.col("__upto") - (F.col("__n") - 1) / 2.0) / F.col("__all")).alias(name))
+        df = df.join(place, F.col(column) == F.col("__v"), "left").drop("__v")
+    return df
 
 
 def rolling(agg, x: Column, n: int, least: int | None = None, key: str = "symbol", order: str = "date") -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import rounded, rule_array, weighted
-from quantloom.functions.windows import compounded, drawdown, first_rank, pct_rank
+from quantloom.functions.windows import compounded, drawdown, first_rank, pct_rank, with_pooled_ranks
 
 SCORE = {"pred_prob_top20": 0.30, "return_rank": 0.20, "momentum_score": 0.15, "supply_demand_score": 0.15, "value_score": 0.10, "quality_score": 0.10, "risk_score": -0.20}
 
@@ -92,9 +92,12 @@ def gate(candidate: DataFrame, baseline: DataFrame, *, excess: float = 0.01, hit
 
 def long_short(scored: DataFrame, *, longs: int = 3, shorts: int = 2, gross: float = 1.0) -> DataFrame:
     """Legs of each date and market: the best names, then the worst of the others, weighted evenly."""
-    up = scored.withColumn("rank", first_rank(F.col("final_score"), "date", "market"))
-    low = up.where(F.col("rank") > longs).withColumn("rank", first_rank(F.col("final_score"), "date", "market", ascending=True)).where(F.col("rank") <= shorts)
-    legs = up.where(F.col("rank") <= longs).withColumn("side", F.lit("long")).unionByName(low.withColumn("side", F.lit("short")))
+    # one pass: the second rank puts the names of the first leg last
+    up = scored.withColumn("__up", first_rank(F.col("final_score"), "date", "market"))
+    last = Window.partitionBy("date", "market").orderBy(F.col("__up") <= longs, F.col("final_score").asc_nulls_last(), "symbol")
+    place = up.withColumn("__low", F.row_number().over(last))
+    side = F.when(F.col("__up") <= longs, "long").when(F.col("__low") <= shorts, "short")
+    legs = place.withColumn("side", side).where("side is not null").withColumn("rank", F.when(F.col("side") == "long", F.col("__up")).otherwise(F.col("__low")))
     n = F.count(F.lit(1)).over(Window.partitionBy("date", "market", "side"))
     return legs.select("date", "market", "symbol", "side", F.col("rank").cast("long").alias("rank"), rounded(F.when(F.col("side") == "long", gross / n).otherwise(-gross / n)).alias("weight"), "future_return")
 
@@ -135,8 +138,7 @@ def backtest_results(scored: DataFrame, horizon_days: int) -> DataFrame:
 
 def performance(results: DataFrame) -> DataFrame:
     """One row: hit and win rates, mean and median return, rank correlation of prediction and outcome."""
-    a, b = (pct_rank(F.col(c)) for c in ("pred_return", "future_return"))
-    own = results.withColumn("__a", a).withColumn("__b", b)
+    own = with_pooled_ranks(results, __a="pred_return", __b="future_return")
     return own.agg(
         F.count(F.lit(1)).alias("n"), rounded(F.avg(F.col("is_hit").cast("double"))).alias("hit_rate"), rounded(F.avg(F.col("is_outperform").cast("double"))).alias("win_rate"), rounded(F.avg("future_return")).alias("mean_return"),
         rounded(F.median("future_return")).alias("median_return"), rounded(F.avg(F.when(F.col("is_top"), F.col("is_hit").cast("double")))).alias("top_precision"), rounded(F.corr("__a", "__b"), 5).alias("rank_ic"),

@@ -18,7 +18,7 @@ def social_signal(posts: DataFrame, asof: str) -> DataFrame:
     weight = F.when(now, F.col("source_weight"))
     one = own.groupBy("ticker").agg(
         F.count_if(now).alias("n24"), F.count_if(~now).alias("n_before"), F.count_if(F.col("age") < 1).alias("n1"), F.try_divide(F.sum(weight * (0.65 * (F.col("sentiment") + 1) / 2 + 0.35 * F.col("urgency"))), F.sum(weight)).alias("weighted"),
-        F.avg(F.when(now, F.col("urgency"))).alias("urgency"), F.size(F.collect_set(F.when(now, F.col("duplicate_key")))).alias("keys"),
+        F.avg(F.when(now, F.col("urgency"))).alias("urgency"), F.count_distinct(F.when(now, F.col("duplicate_key"))).alias("keys"),
     )
     delta = clip(F.when(F.col("n_before") > 0, (F.col("n24") - F.col("n_before")) / F.col("n_before")).otherwise(F.col("n24").cast("double")), -1, 10)
     copies = 1 - F.try_divide(F.col("keys"), F.col("n24"))
@@ -86,7 +86,7 @@ def causes(links: DataFrame) -> Column:
 
 def breadth(prices: DataFrame, symbols: DataFrame) -> DataFrame:
     """Shares of rising symbols and mean change of each date and market."""
-    own = prices.withColumn("r", change(F.col("close"), 1)).join(F.broadcast(symbols.select("symbol", "market")), "symbol")  # a row for each symbol
+    own = prices.withColumn("r", change(F.col("close"), 1)).join(symbols.select("symbol", "market"), "symbol")
     up = lambda c: F.avg(F.when(F.col("r").isNotNull(), (c).cast("double")))
     return own.groupBy("date", "market").agg(rounded(up(F.col("r") > 0)).alias("up_share"), rounded(up(F.col("r") < -0.02)).alias("down_share"), rounded(F.avg("r")).alias("mean_return"))
 

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import clip, rounded
-from quantloom.functions.windows import first_rank, pct_rank
+from quantloom.functions.windows import first_rank, pct_rank, with_pooled_ranks
 
 
 def split_dates(dataset: DataFrame, share: float = 0.2) -> DataFrame:
     """``dataset`` with is_valid: whether the row's date is among the last share of dates."""
-    days = dataset.select("date").distinct().select("date", F.percent_rank().over(Window.orderBy("date")).alias("__p"))
-    return dataset.join(F.broadcast(days.select("date", (F.col("__p") > 1 - share).alias("is_valid"))), "date")  # a row for each date
+    days = dataset.select("date").distinct().select("date", F.percent_rank().over(Window.orderBy("date")).alias("__p"))  # a row for each date
+    return dataset.join(days.select("date", (F.col("__p") > 1 - share).alias("is_valid")), "date")
 
 
 def fit_trees(train: DataFrame, columns: list[str], label: str, *, depth: int = 3, rounds: int = 5, seed: int = 42):
@@ -53,7 +53,7 @@ def evaluate(predictions: DataFrame, k: int) -> DataFrame:
     """One row: mean precision of the k best of each date, rank correlation and error against the excess return."""
     own = predictions.where("excess_return is not null").withColumn("__r", first_rank(F.col("pred_prob_top20"), "date"))
     each = own.where(F.col("__r") <= k).groupBy("date").agg(F.avg(F.col("is_top20pct").cast("double")).alias("p"))
-    ranked = own.withColumn("__a", pct_rank(F.col("pred_prob_top20"))).withColumn("__b", pct_rank(F.col("excess_return")))
+    ranked = with_pooled_ranks(own, __a="pred_prob_top20", __b="excess_return")
     error = F.col("pred_return") - F.col("excess_return")
     whole = ranked.agg(F.count(F.lit(1)).alias("n"), rounded(F.corr("__a", "__b"), 5).alias("rank_ic"), rounded(F.sqrt(F.avg(error * error)), 5).alias("rmse"))
     return whole.join(F.broadcast(each.agg(rounded(F.avg("p")).alias("precision"))))  # one row each

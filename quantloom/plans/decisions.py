@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.columns import rounded
 from quantloom.operators import decisions as D
 from quantloom.operators import features
+from quantloom.sources.staging import staged
 
 from .features import ALL, BASE, LABELS, _rank, label_frame, matrix
 from .registry import query
@@ -27,11 +28,18 @@ def scored(p):
 
 
 def labelled(p):
+    """Scores with labels, staged once for each panel."""
+    if "labelled" not in p.kept:
+        p.kept["labelled"] = staged(_labelled(p), "labelled")
+    return p.kept["labelled"]
+
+
+def _labelled(p):
     keep = ["date", "symbol", "future_return", "benchmark_return", "is_top20pct"]
     from quantloom.operators import labels
 
     lab = labels.forward_labels(p.prices, labels.equal_weight_index(p.prices), 21, drawdown=False).select(*keep)
-    return scored(p).join(lab, ["date", "symbol"]).join(F.broadcast(p.symbols.select("symbol", "market", "sector")), "symbol")
+    return scored(p).join(lab, ["date", "symbol"]).join(p.symbols.select("symbol", "market", "sector"), "symbol")
 
 
 @query("m10_scored_predictions", "SELECT date, symbol, return_rank, final_score FROM sc", *CTES)
@@ -70,9 +78,9 @@ def m16(p):
 
 
 @query("m17_capped_portfolio", """SELECT date, symbol, sector, weight, round(1 - sum(weight) OVER (PARTITION BY date) + 1e-9, 4) AS cash FROM (SELECT date, symbol, sector, round(CASE WHEN s > 0.3 THEN w * 0.3::DOUBLE / s ELSE w END + 1e-9, 4) AS weight FROM (SELECT *, sum(w) OVER (PARTITION BY date, sector) AS s FROM (
-SELECT date, symbol, sector, least(final_score / sum(final_score) OVER (PARTITION BY date) * 0.9::DOUBLE, 0.15::DOUBLE) AS w FROM sc JOIN sym USING (symbol) WHERE date >= DATE '2001-10-01')))""", *CTES)
+SELECT date, symbol, sector, least(final_score / sum(final_score) OVER (PARTITION BY date) * 0.9::DOUBLE, 0.15::DOUBLE) AS w FROM sc JOIN sym USING (symbol))))""", *CTES)
 def m17(p):
-    own = scored(p).where("date >= '2001-10-01'").join(F.broadcast(p.symbols.select("symbol", "sector")), "symbol")
+    own = scored(p).join(p.symbols.select("symbol", "sector"), "symbol")
     return D.capped_portfolio(own)
 
 
@@ -167,13 +175,13 @@ def b12(p):
 
 
 @query("b13_performance", f"""SELECT count(*) AS n, round(avg(is_hit::INT::DOUBLE) + 1e-9, 6) AS hit_rate, round(avg(is_outperform::INT::DOUBLE) + 1e-9, 6) AS win_rate, round(avg(future_return) + 1e-9, 6) AS mean_return, round(median(future_return) + 1e-9, 6) AS median_return,
-round(avg(is_hit::INT::DOUBLE) FILTER (is_top) + 1e-9, 6) AS top_precision, round(corr(a, b) + 1e-9, 5) AS rank_ic FROM (SELECT *, {_rank('pred_return', 'is_hit IS NULL')} AS a, {_rank('future_return', 'is_hit IS NULL')} AS b FROM res WHERE rank_no <= 10 AND date >= DATE '2001-01-01')""", *CTES, RES)
+round(avg(is_hit::INT::DOUBLE) FILTER (is_top) + 1e-9, 6) AS top_precision, round(corr(a, b) + 1e-9, 5) AS rank_ic FROM (SELECT *, {_rank('pred_return', 'is_hit IS NULL')} AS a, {_rank('future_return', 'is_hit IS NULL')} AS b FROM res WHERE rank_no <= 10)""", *CTES, RES)
 def b13(p):
-    return D.performance(D.backtest_results(labelled(p), 30).where("rank_no <= 10 and date >= '2001-01-01'"))
+    return D.performance(D.backtest_results(labelled(p), 30).where("rank_no <= 10"))
 
 
 GAP = """
-g0 AS (SELECT date AS asof_date, symbol, pred_return FROM pred WHERE date >= DATE '2001-06-01'),
+g0 AS (SELECT date AS asof_date, symbol, pred_return FROM pred),
 g1 AS (SELECT g0.*, q.close AS entry FROM g0 ASOF LEFT JOIN (SELECT symbol AS s, date AS d, close FROM px) q ON symbol = s AND asof_date <= d),
 g2 AS (SELECT g1.*, q.close AS target FROM g1 ASOF LEFT JOIN (SELECT symbol AS s, date AS d, close FROM px) q ON symbol = s AND asof_date + 30 <= d),
 gap AS (SELECT asof_date, symbol, pred_return, entry, target, CASE WHEN entry IS NULL THEN 'missing_price' WHEN target IS NULL THEN 'pending' ELSE 'completed' END AS status, round(target / nullif(entry, 0) - 1 + 1e-9, 6) AS realised,
@@ -182,7 +190,7 @@ gap AS (SELECT asof_date, symbol, pred_return, entry, target, CASE WHEN entry IS
 
 
 def _gap(p):
-    return D.price_gap(features.factor_baseline(matrix(p)).where("date >= '2001-06-01'"), p.prices, days=30)
+    return D.price_gap(features.factor_baseline(matrix(p)), p.prices, days=30)
 
 
 @query("b15_price_gap", "SELECT * FROM gap", *ALL, BASE, GAP)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.columns import rounded
 from quantloom.operators import analyst, asof, features, labels
+from quantloom.sources.staging import staged
 
 from .registry import query
 
@@ -180,12 +181,19 @@ ALL = (FEAT, MARKET, FLOW, TARGET, CONS, ATT, MATRIX)
 
 
 def matrix(p):
+    """The feature matrix, staged once for each panel."""
+    if "matrix" not in p.kept:
+        p.kept["matrix"] = staged(_matrix(p), "matrix")
+    return p.kept["matrix"]
+
+
+def _matrix(p):
     return features.feature_matrix(p.prices, p.metrics, p.flows, analyst.consensus(p.reports)).select(*MATRIX_COLUMNS)
 
 
 @query("f22_feature_matrix", "SELECT * FROM mat", *ALL)
 def f22(p):
-    return matrix(p)
+    return _matrix(p)
 
 
 _PROB = " + ".join(f"{w}::DOUBLE * {c}" for c, w in features.FACTORS.items()) + f" + {features.RISK_WEIGHT}::DOUBLE * (1 - risk_score)"

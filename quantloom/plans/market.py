@@ -76,7 +76,7 @@ def g10(p):
 def g13(p):
     from quantloom.functions.windows import change
 
-    own = p.prices.withColumn("r", change(F.col("close"), 1)).join(F.broadcast(p.symbols.select("symbol", "sector")), "symbol")
+    own = p.prices.withColumn("r", change(F.col("close"), 1)).join(p.symbols.select("symbol", "sector"), "symbol")
     return own.groupBy("date", "sector").agg(rounded(F.avg("r")).alias("sector_return"), F.count("r").alias("n"))
 
 
@@ -175,7 +175,7 @@ def x06(p):
 
 @query("x05_market_rows", "SELECT market, round(median(move) + 1e-9, 6) AS median_move, count(*) FILTER (move > 0) AS up, count(*) FILTER (move < 0) AS down FROM mv JOIN sym USING (symbol) GROUP BY market", MOVES)
 def x05(p):
-    own = M.moves(p.prices).join(F.broadcast(p.symbols.select("symbol", "market")), "symbol")
+    own = M.moves(p.prices).join(p.symbols.select("symbol", "market"), "symbol")
     return own.groupBy("market").agg(rounded(F.median("move")).alias("median_move"), F.count_if(F.col("move") > 0).alias("up"), F.count_if(F.col("move") < 0).alias("down"))
 
 

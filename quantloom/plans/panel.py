@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import rounded, zfill
+from quantloom.sources.staging import staged
 
 
 def _brand(col: str = "p_brand"):
@@ -28,6 +29,7 @@ class Panel:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
+        self.kept: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -48,33 +50,51 @@ class Panel:
         return kinds.withColumn("rn", best).where("rn = 1").select("symbol", F.concat(F.lit("Brand "), "symbol").alias("name"), market.alias("market"), "sector")
 
     @cached_property
-    def prices(self) -> DataFrame:
+    def facts(self) -> DataFrame:
+        """Prices, metrics and flows of each (date, symbol) from one pass over the lines, staged: a row a day and symbol."""
         unit = F.col("l_extendedprice") / F.col("l_quantity")
         first = F.min_by(unit, F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-        return self.lines.groupBy("date", "symbol").agg(
-            _unit(first).alias("open"), _unit(F.max(unit)).alias("high"), _unit(F.min(unit)).alias("low"), _unit(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"),
-            F.sum("l_quantity").alias("volume"), rounded(F.sum("l_extendedprice"), 2).alias("trading_value"),
-        )
+        signed = F.col("l_extendedprice") * F.when(F.col("l_linestatus") == "O", 1.0).otherwise(-1.0)
+        net = lambda flag, name: rounded(F.sum(F.when(F.col("l_returnflag") == flag, signed).otherwise(0.0)), 2).alias(f"{name}_net_value")
+        total, quantity = F.sum("l_extendedprice"), F.sum("l_quantity")
+        close = _unit(total / quantity)
+        own = self.lines.groupBy("date", "symbol").agg(
+            _unit(first).alias("open"),
+            _unit(F.max(unit)).alias("high"),
+            _unit(F.min(unit)).alias("low"),
+            close.alias("close"),
+            quantity.alias("volume"),
+            rounded(total, 2).alias("trading_value"),
+            total.alias("total"),
+            rounded(F.sum(F.col("p_retailprice") * F.col("l_quantity")), 2).alias("market_cap"),
+            rounded(close / F.avg("p_size")).alias("per"),
+            rounded(close / F.avg("p_retailprice")).alias("pbr"),
+            rounded(F.avg("l_tax")).alias("eps"),
+            rounded(F.avg(F.col("l_discount") + F.col("l_tax"))).alias("bps"),
+            rounded(F.avg("l_discount")).alias("dividend_yield"),
+            net("A", "foreign"),
+            net("N", "institution"),
+            net("R", "retail"),
+        )
+        return staged(own, "facts")
+
+    @cached_property
+    def prices(self) -> DataFrame:
+        return self.facts.select("date", "symbol", "open", "high", "low", "close", "volume", "trading_value")
 
     @cached_property
     def index(self) -> DataFrame:
         """benchmark (market) and close by date."""
-        own = self.lines.join(F.broadcast(self.symbols.select("symbol", "market")), "symbol")  # a row for each brand
-        return own.groupBy("date", F.col("market").alias("benchmark")).agg(_unit(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"))
+        own = self.facts.join(self.symbols.select("symbol", "market"), "symbol")
+        return own.groupBy("date", F.col("market").alias("benchmark")).agg(_unit(F.sum("total") / F.sum("volume")).alias("close"))
 
     @cached_property
     def metrics(self) -> DataFrame:
-        close = _unit(F.sum("l_extendedprice") / F.sum("l_quantity"))
-        return self.lines.groupBy("date", "symbol").agg(
-            rounded(F.sum(F.col("p_retailprice") * F.col("l_quantity")), 2).alias("market_cap"), rounded(close / F.avg("p_size")).alias("per"), rounded(close / F.avg("p_retailprice")).alias("pbr"),
-            rounded(F.avg("l_tax")).alias("eps"), rounded(F.avg(F.col("l_discount") + F.col("l_tax"))).alias("bps"), rounded(F.avg("l_discount")).alias("dividend_yield"),
-        )
+        return self.facts.select("date", "symbol", "market_cap", "per", "pbr", "eps", "bps", "dividend_yield")
 
     @cached_property
     def flows(self) -> DataFrame:
-        signed = F.col("l_extendedprice") * F.when(F.col("l_linestatus") == "O", 1.0).otherwise(-1.0)
-        net = lambda flag, name: rounded(F.sum(F.when(F.col("l_returnflag") == flag, signed).otherwise(0.0)), 2).alias(f"{name}_net_value")
-        return self.lines.groupBy("date", "symbol").agg(net("A", "foreign"), net("N", "institution"), net("R", "retail"))
+        return self.facts.select("date", "symbol", "foreign_net_value", "institution_net_value", "retail_net_value")
 
     @cached_property
     def reports(self) -> DataFrame:

@@ -27,9 +27,9 @@ def s07(p):
     return features.factor_baseline(matrix(p)).join(label_frame(p), ["date", "symbol"]).select("date", "symbol", "pred_prob_top20", "excess_return", "is_top20pct")
 
 
-@query("s08_prediction_set", "SELECT date, symbol, coalesce(name, symbol) AS name, pred_return, future_return FROM pred LEFT JOIN lab USING (date, symbol) LEFT JOIN sym USING (symbol) WHERE date >= DATE '2001-06-01'", *ALL, BASE, LABELS)
+@query("s08_prediction_set", "SELECT date, symbol, coalesce(name, symbol) AS name, pred_return, future_return FROM pred LEFT JOIN lab USING (date, symbol) LEFT JOIN sym USING (symbol)", *ALL, BASE, LABELS)
 def s08(p):
-    own = features.factor_baseline(matrix(p)).where("date >= '2001-06-01'").join(label_frame(p).select("date", "symbol", "future_return"), ["date", "symbol"], "left").join(F.broadcast(p.symbols), "symbol", "left")
+    own = features.factor_baseline(matrix(p)).join(label_frame(p).select("date", "symbol", "future_return"), ["date", "symbol"], "left").join(p.symbols, "symbol", "left")
     return own.select("date", "symbol", F.coalesce("name", "symbol").alias("name"), "pred_return", "future_return")
 
 
@@ -66,7 +66,7 @@ def s24(p):
 @query("f19_attach_daily", "SELECT px.date, px.symbol, coalesce(impact, 0.5) AS impact FROM px JOIN sym USING (symbol) LEFT JOIN link ON link.date = px.date AND benchmark = market", BARS, LINK)
 def f19(p):
     link = market.overseas_link(p.index, market.daily_bars(p.world).where("symbol = 'R0'")).select("date", F.col("benchmark").alias("market"), "impact")
-    own = p.prices.join(F.broadcast(p.symbols), "symbol").join(link, ["date", "market"], "left")
+    own = p.prices.join(p.symbols, "symbol").join(link, ["date", "market"], "left")
     return own.select("date", "symbol", F.coalesce("impact", F.lit(0.5)).alias("impact"))
 
 
@@ -130,9 +130,9 @@ def m04(p):
 
 
 @query("m05_evaluation", f"""SELECT n, rank_ic, rmse, precision FROM (SELECT count(*) AS n, round(corr(a, b) + 1e-9, 5) AS rank_ic, round(sqrt(avg((pred_return - excess_return) ** 2)) + 1e-9, 5) AS rmse FROM (SELECT *, {_rank('pred_prob_top20', 'excess_return IS NULL')} AS a, {_rank('excess_return', 'excess_return IS NULL')} AS b FROM ev)),
-(SELECT round(avg(p) + 1e-9, 6) AS precision FROM (SELECT date, avg(is_top20pct::INT::DOUBLE) AS p FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY pred_prob_top20 DESC, symbol) AS r FROM ev) WHERE r <= 5 GROUP BY date))""", *ALL, BASE, LABELS, "ev AS (SELECT date, symbol, pred_prob_top20, pred_return, excess_return, is_top20pct FROM pred JOIN lab USING (date, symbol) WHERE excess_return IS NOT NULL AND date >= DATE '2001-01-01')")
+(SELECT round(avg(p) + 1e-9, 6) AS precision FROM (SELECT date, avg(is_top20pct::INT::DOUBLE) AS p FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY pred_prob_top20 DESC, symbol) AS r FROM ev) WHERE r <= 5 GROUP BY date))""", *ALL, BASE, LABELS, "ev AS (SELECT date, symbol, pred_prob_top20, pred_return, excess_return, is_top20pct FROM pred JOIN lab USING (date, symbol) WHERE excess_return IS NOT NULL)")
 def m05(p):
-    own = features.factor_baseline(matrix(p)).where("date >= '2001-01-01'").join(label_frame(p).select("date", "symbol", "excess_return", "is_top20pct"), ["date", "symbol"])
+    own = features.factor_baseline(matrix(p)).join(label_frame(p).select("date", "symbol", "excess_return", "is_top20pct"), ["date", "symbol"])
     return models.evaluate(own, 5)
 
 
@@ -203,7 +203,7 @@ def x08(p):
 
 @query("d02_latest_rows", "SELECT symbol, name, final_score, future_return, pred_return FROM sc JOIN sym USING (symbol) LEFT JOIN lab USING (date, symbol) WHERE date = (SELECT max(date) FROM sc)", *CTES)
 def d02(p):
-    own = _latest(scored(p)).join(F.broadcast(p.symbols), "symbol").join(label_frame(p).select("date", "symbol", "future_return"), ["date", "symbol"], "left")
+    own = _latest(scored(p)).join(p.symbols, "symbol").join(label_frame(p).select("date", "symbol", "future_return"), ["date", "symbol"], "left")
     return own.select("symbol", "name", "final_score", "future_return", "pred_return")
 
 
@@ -217,7 +217,7 @@ def d03(p):
 
 @query("d05_position_summary", "SELECT sector, count(*) AS n, round(avg(final_score) + 1e-9, 6) AS mean_score, round(max(final_score) + 1e-9, 6) AS best FROM sc JOIN sym USING (symbol) WHERE date = (SELECT max(date) FROM sc) GROUP BY sector", *CTES)
 def d05(p):
-    own = _latest(scored(p)).join(F.broadcast(p.symbols.select("symbol", "sector")), "symbol")
+    own = _latest(scored(p)).join(p.symbols.select("symbol", "sector"), "symbol")
     return own.groupBy("sector").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("final_score")).alias("mean_score"), rounded(F.max("final_score")).alias("best"))
 
 
@@ -228,7 +228,7 @@ def d06(p):
 
 @query("d07_backtest_by_sector", "SELECT sector, count(*) AS n, round(avg(is_hit::INT::DOUBLE) + 1e-9, 6) AS hit_rate, round(avg(future_return) + 1e-9, 6) AS mean_return FROM res JOIN sym USING (symbol) WHERE rank_no <= 10 GROUP BY sector", *CTES, RES)
 def d07(p):
-    own = D.backtest_results(labelled(p), 30).where("rank_no <= 10").join(F.broadcast(p.symbols.select("symbol", "sector")), "symbol")
+    own = D.backtest_results(labelled(p), 30).where("rank_no <= 10").join(p.symbols.select("symbol", "sector"), "symbol")
     return own.groupBy("sector").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(F.col("is_hit").cast("double"))).alias("hit_rate"), rounded(F.avg("future_return")).alias("mean_return"))
 
 
@@ -260,7 +260,7 @@ def d12(p):
 
 @query("d15_legs_by_market", "SELECT market, string_agg(symbol, ',' ORDER BY final_score DESC, symbol) AS symbols, count(*) AS n FROM sc JOIN sym USING (symbol) WHERE date = (SELECT max(date) FROM sc) GROUP BY market", *CTES)
 def d15(p):
-    own = _latest(scored(p)).join(F.broadcast(p.symbols.select("symbol", "market")), "symbol")
+    own = _latest(scored(p)).join(p.symbols.select("symbol", "market"), "symbol")
     names = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("final_score")).alias("s"), "symbol"))), lambda x: x["symbol"])
     return own.groupBy("market").agg(F.array_join(names, ",").alias("symbols"), F.count(F.lit(1)).alias("n"))
 
@@ -291,11 +291,11 @@ def u03(p):
     return one.groupBy("market").agg(F.sum("c").alias("n"), (F.max("c") == 1).alias("unique_symbols"), (F.sum("c") == 10).alias("has_ten"))
 
 
-@query("u04_symbol_sync", "SELECT s_suppkey AS k, coalesce(c_name, s_name) AS name FROM supplier LEFT JOIN customer ON s_suppkey = c_custkey UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier) AND c_custkey < 500")
+@query("u04_symbol_sync", "SELECT s_suppkey AS k, coalesce(c_name, s_name) AS name FROM supplier LEFT JOIN customer ON s_suppkey = c_custkey UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)")
 def u04(p):
     old, new = p.table("supplier").select(F.col("s_suppkey").alias("k"), "s_name"), p.table("customer").select(F.col("c_custkey").alias("k"), "c_name")
     updated = old.join(new, "k", "left").select("k", F.coalesce("c_name", "s_name").alias("name"))
-    return updated.unionByName(new.join(old, "k", "left_anti").where("k < 500").select("k", F.col("c_name").alias("name")))
+    return updated.unionByName(new.join(old, "k", "left_anti").select("k", F.col("c_name").alias("name")))
 
 
 @query("s10_html_cells", "SELECT page_id, (place - 1)::INT AS place, trim(regexp_replace(cell, '<[^>]+>', '', 'g')) AS cell FROM (SELECT page_id, unnest(c) AS cell, generate_subscripts(c, 1) AS place FROM (SELECT page_id, regexp_extract_all(html, '(?s)<li[^>]*>(.*?)</li>', 1) AS c FROM pages))")
@@ -309,7 +309,7 @@ def s10(p):
 def f21(p):
     from quantloom.functions.windows import change
 
-    own = p.prices.withColumn("r", change(F.col("close"), 1)).join(F.broadcast(p.symbols.select("symbol", "sector")), "symbol")
+    own = p.prices.withColumn("r", change(F.col("close"), 1)).join(p.symbols.select("symbol", "sector"), "symbol")
     mean = own.groupBy("date", "sector").agg(rounded(F.avg("r")).alias("m"))
     return own.join(mean, ["date", "sector"], "left").select("date", "symbol", F.coalesce("m", F.lit(0.0)).alias("sector_return"))
 
@@ -364,5 +364,5 @@ def d14(p):
 
 @query("d13_today", "SELECT market, count(*) AS n, round(avg(move) + 1e-9, 6) AS mean_move, max(date) AS date FROM mv JOIN sym USING (symbol) GROUP BY market", MOVES)
 def d13(p):
-    own = market.moves(p.prices).join(F.broadcast(p.symbols.select("symbol", "market")), "symbol")
+    own = market.moves(p.prices).join(p.symbols.select("symbol", "market"), "symbol")
     return own.groupBy("market").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg("move")).alias("mean_move"), F.max("date").alias("date"))
