@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decisions, features, market, primitives, serving  # noqa: F401
+from . import decisions, features, market, primitives, rules, serving  # noqa: F401
 from .panel import Panel
 from .registry import ORACLES, QUERIES
 
