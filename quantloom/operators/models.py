@@ -15,28 +15,65 @@ def split_dates(dataset: DataFrame, share: float = 0.2) -> DataFrame:
     return dataset.join(days.select("date", (F.col("__p") > 1 - share).alias("is_valid")), "date")
 
 
-def fit_trees(train: DataFrame, columns: list[str], label: str, *, depth: int = 3, rounds: int = 5, seed: int = 42):
-    """Median imputation and boosted trees as one pipeline model."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import Imputer, VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    filled = [f"{c}__f" for c in columns]
-    return Pipeline(
-        stages=[Imputer(strategy="median", inputCols=columns, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="__x"), GBTRegressor(featuresCol="__x", labelCol=label, predictionCol="prediction", maxDepth=depth, maxIter=rounds, seed=seed)]
-    ).fit(train)
-
-
-def walk_forward(dataset: DataFrame, columns: list[str], label: str, *, cuts: list, embargo_days: int) -> DataFrame:
-    """Predictions after each cut date from rows at least ``embargo_days`` before it."""
+class Bundle:
+    """Median imputation, a regressor of the excess return, and classifiers of the top and bottom fifth.
+
+    A class that the training rows all have, or none has, is predicted as the
+    constant that they show.
+    """
+
+    def __init__(self, train: DataFrame, columns: list[str], *, depth: int = 3, rounds: int = 5, seed: int = 42) -> None:
+        from pyspark.ml import Pipeline
+        from pyspark.ml.classification import GBTClassifier
+        from pyspark.ml.feature import Imputer, VectorAssembler
+        from pyspark.ml.regression import GBTRegressor
+
+        filled = [f"{c}__f" for c in columns]
+        own = train.where(F.col("excess_return").isNotNull()).withColumn("__top", F.col("is_top20pct").cast("double")).withColumn("__bottom", F.col("is_bottom20pct").cast("double"))
+        self.inputs = Pipeline(stages=[Imputer(strategy="median", inputCols=columns, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="__x")]).fit(own)
+        ready = self.inputs.transform(own).select("__x", "excess_return", "__top", "__bottom").cache()
+        kind = {"featuresCol": "__x", "maxDepth": depth, "maxIter": rounds, "seed": seed}
+        self.regressor = GBTRegressor(labelCol="excess_return", predictionCol="pred_return", **kind).fit(ready)
+        shares = ready.agg(*[F.avg(c).alias(c) for c in ("__top", "__bottom")]).first()
+        self.classes = {}
+        for name, c in (("prob_top", "__top"), ("prob_bottom", "__bottom")):
+            trees = GBTClassifier(labelCol=c, predictionCol=f"__p{c}", **kind).setRawPredictionCol(f"__r{c}").setProbabilityCol(name)
+            self.classes[name] = shares[c] if shares[c] in (None, 0.0, 1.0) else trees.fit(ready)
+        ready.unpersist()
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """date, symbol, pred_return, prob_top and prob_bottom."""
+        from pyspark.ml.functions import vector_to_array
+
+        out = self.regressor.transform(self.inputs.transform(rows))
+        for name, model in self.classes.items():
+            out = out.withColumn(name, F.lit(model).cast("double")) if model is None or isinstance(model, float) else model.transform(out).withColumn(name, vector_to_array(name)[1])
+        return out.select("date", "symbol", "pred_return", "prob_top", "prob_bottom")
+
+
+def train_model(dataset: DataFrame, columns: list[str], share: float = 0.2) -> tuple[Bundle, DataFrame]:
+    """A bundle fitted on all rows, and what one fitted on the earlier dates predicts for the last share of dates."""
+    split = split_dates(dataset, share)
+    held = Bundle(split.where(~F.col("is_valid")), columns).predict(split.where("is_valid"))
+    return Bundle(dataset, columns), held
+
+
+def walk_forward(dataset: DataFrame, columns: list[str], *, step: int = 21, least_dates: int = 504, embargo: int = 21) -> DataFrame:
+    """Predictions of every date after the first ``least_dates``, each from the bundle fitted before its window of ``step`` dates.
+
+    Training expands: a window's bundle has seen all dates but the ``embargo``
+    ones before the window, whose labels reach into it.
+    """
+    days = [r.date for r in dataset.select("date").distinct().orderBy("date").collect()]  # a row for each date
     out = None
-    for i, cut in enumerate(cuts):
-        seen = dataset.where((F.col("date") <= F.date_sub(F.lit(cut).cast("date"), embargo_days)) & F.col(label).isNotNull())
-        ahead = dataset.where(F.col("date") > F.lit(cut).cast("date"))
-        if i + 1 < len(cuts):
-            ahead = ahead.where(F.col("date") <= F.lit(cuts[i + 1]).cast("date"))
-        part = fit_trees(seen, columns, label).transform(ahead).select("date", "symbol", F.col("prediction").alias("pred_return"), F.lit(cut).cast("date").alias("trained_to"))
+    for start in range(least_dates, len(days), step):
+        last, seen = days[min(start + step, len(days)) - 1], days[start - embargo - 1]
+        ahead = dataset.where(F.col("date").between(days[start], last))
+        part = Bundle(dataset.where(F.col("date") <= seen), columns).predict(ahead).withColumn("trained_to", F.lit(seen))
         out = part if out is None else out.unionByName(part)
+    if out is None:
+        none = F.lit(None).cast("double")
+        return dataset.where("false").select("date", "symbol", none.alias("pred_return"), none.alias("prob_top"), none.alias("prob_bottom"), F.col("date").alias("trained_to"))
     return out
 
 

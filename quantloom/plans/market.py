@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -13,6 +12,7 @@ from quantloom.functions import text as T
 from quantloom.functions.columns import rounded
 from quantloom.operators import market as M
 from quantloom.sources import tables as S
+from quantloom.sources.staging import shared_dir
 from quantloom.streaming import events as E
 
 from .primitives import CDF, SENT
@@ -230,22 +230,17 @@ def s23(p):
 
 
 def _shared(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="quantloom-stream-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("st05_tumbling_stream", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value) + 1e-9, 2) AS total FROM events GROUP BY 1, 2")
 def st05(p):
-    return E.drain(E.tumbling(E.read_stream(p.spark, p.dir, "events")), _shared(p.spark))
+    return E.drain(E.tumbling(E.read_stream(p.spark, p.dir, "events")), _shared(p.spark), ["start", "event_type"])
 
 
 @query("st02_sliding_stream", "SELECT start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 6 HOUR, ts) - to_hours(6 * i) for i in range(0, 4)]) AS start FROM events) GROUP BY start")
 def st02(p):
-    return E.drain(E.sliding(E.read_stream(p.spark, p.dir, "events")), _shared(p.spark))
+    return E.drain(E.sliding(E.read_stream(p.spark, p.dir, "events")), _shared(p.spark), ["start"])
 
 
 @query("st06_session_windows", "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, g")

@@ -10,6 +10,7 @@ from quantloom.functions.columns import clip, rounded, rule_array
 from quantloom.functions.windows import first_rank
 from quantloom.operators import decisions as D
 from quantloom.operators import features, market, models
+from quantloom.sources.staging import staged
 
 from .decisions import CTES, RES, labelled, scored
 from .features import ALL, BASE, FEAT, LABELS, _rank, label_frame, matrix
@@ -146,8 +147,9 @@ _TREE = ["ret_21d", "ma_gap_20d", "volatility_20d", "rsi_14"]
 
 @query("m01_m03_walk_forward")
 def m01(p):
-    own = features.time_features(p.prices).join(label_frame(p).select("date", "symbol", "excess_return"), ["date", "symbol"])
-    return models.walk_forward(own, _TREE, "excess_return", cuts=["1999-12-31", "2000-12-31"], embargo_days=40)
+    keep = ["date", "symbol", "excess_return", "is_top20pct", "is_bottom20pct"]
+    own = staged(features.time_features(p.prices).select("date", "symbol", *_TREE).join(label_frame(p).select(*keep), ["date", "symbol"]), "training")
+    return models.walk_forward(own, _TREE, step=1000)
 
 
 _CENT = [[(-1.0) ** (i * j % 3) * 0.1 for j in range(64)] for i in range(4)]
@@ -314,10 +316,25 @@ def f21(p):
     return own.join(mean, ["date", "sector"], "left").select("date", "symbol", F.coalesce("m", F.lit(0.0)).alias("sector_return"))
 
 
-@query("f23_horizon_columns", "SELECT * FROM (VALUES ('1M', 4), ('6M', 2)) t(horizon, n)")
+_KNOWN = ["ret_21d", "rsi_14", "volatility_60d", "overseas_impact"]
+_HORIZONS = {"1M": 21, "3M": 63, "6M": 126, "12M": 252}
+
+
+@query(
+    "f23_horizon_columns",
+    " UNION ALL ".join(
+        f"SELECT symbol, '{h}' AS horizon, {len(features.columns_for(d, _KNOWN))} AS n_columns, sum({' + '.join(f'({c} IS NOT NULL)::INT' for c in features.columns_for(d, _KNOWN))})::BIGINT AS filled FROM hx GROUP BY symbol"
+        for h, d in _HORIZONS.items()
+    ),
+    FEAT, BARS, LINK, "hx AS (SELECT feat.*, impact AS overseas_impact FROM feat LEFT JOIN (SELECT * FROM link WHERE benchmark = 'MAIN') USING (date))",
+)
 def f23(p):
-    known = ["ret_21d", "rsi_14", "news_sentiment", "overseas_impact"]
-    return p.spark.createDataFrame([(h, len(features.columns_for(d, known))) for h, d in (("1M", 21), ("6M", 126))], "horizon string, n int")
+    link = market.overseas_link(p.index, market.daily_bars(p.world).where("symbol = 'R0'")).where("benchmark = 'MAIN'").select("date", F.col("impact").alias("overseas_impact"))
+    own = features.time_features(p.prices).join(link, "date", "left")
+    filled = lambda cols: F.sum(sum((F.col(c).isNotNull().cast("int") for c in cols), F.lit(0))).cast("long")
+    named = {h: features.columns_for(d, _KNOWN) for h, d in _HORIZONS.items()}
+    one = own.groupBy("symbol").agg(F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(len(cols)).alias("n_columns"), filled(cols).alias("filled")) for h, cols in named.items()]).alias("h"))
+    return one.select("symbol", F.inline("h"))
 
 
 @query("g08_context_flags", "SELECT message_id, array_to_string(list_sort(list_distinct(list_concat([channel], [x for x in [CASE WHEN urgency >= 0.6 THEN 'urgent' END, CASE WHEN sentiment < 0 THEN 'negative' END] if x IS NOT NULL]))), ',') AS flags FROM posts")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 
 def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -12,31 +13,65 @@ def read_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{folder}/{name}.parquet*")
 
 
-def tumbling(events: DataFrame, width: str = "1 day") -> DataFrame:
+#: How late rows may come; state of older windows is dropped.
+LATE = "2 days"
+
+
+_EPOCH = "timestamp_ntz'1970-01-01 00:00:00'"
+
+
+def _timed(events: DataFrame, late: str) -> tuple[DataFrame, Column]:
+    """``events`` with a watermark, and the start of their windows ``w`` in the type of ``ts``.
+
+    Watermarks need instants: wall-clock times are taken as instants of UTC and given back as wall-clock times.
+    """
+    start = F.col("w.start")
+    if isinstance(events.schema["ts"].dataType, TimestampNTZType):
+        events = events.withColumn("ts", F.timestamp_micros(F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, ts)")))
+        start = F.expr(f"timestampadd(MICROSECOND, unix_micros(w.start), {_EPOCH})")
+    return events.withWatermark("ts", late), start.alias("start")
+
+
+def tumbling(events: DataFrame, width: str = "1 day", late: str = LATE) -> DataFrame:
     """Counts and sums of each event type and window."""
-    return events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value") + 1e-9, 2).alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+    own, start = _timed(events, late)
+    counted = own.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value") + 1e-9, 2).alias("total"))
+    return counted.select(start, "event_type", "n", "total")
 
 
-def sliding(events: DataFrame, width: str = "24 hours", step: str = "6 hours") -> DataFrame:
-    return events.groupBy(F.window("ts", width, step).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "n")
+def sliding(events: DataFrame, width: str = "24 hours", step: str = "6 hours", late: str = LATE) -> DataFrame:
+    own, start = _timed(events, late)
+    return own.groupBy(F.window("ts", width, step).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(start, "n")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return events.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
-def drain(result: DataFrame, path: str) -> DataFrame:
-    """Run a streaming aggregation over all files there are; each trigger replaces the table at ``path``/out."""
-    spark = result.sparkSession
+def drain(result: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """Run a streaming aggregation over all files there are, and give the table of its rows.
+
+    Each trigger's changed rows replace those with their keys; a batch writes
+    the table's next version, so a replay writes the same one again and readers
+    never see a table in parts.
+    """
+    spark, last = result.sparkSession, []
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out")
+    def merge(batch: DataFrame, n: int) -> None:
+        new = batch
+        if n:
+            old = spark.read.schema(result.schema).parquet(f"{path}/out-{n - 1}")
+            new = old.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
+        new.write.mode("overwrite").parquet(f"{path}/out-{n}")
+        last.append(n)
 
-    query = result.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(replace).start()
+    query = result.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(merge).start()
     query.awaitTermination()
-    return spark.read.schema(result.schema).parquet(f"{path}/out")
+    if last:
+        return spark.read.schema(result.schema).parquet(f"{path}/out-{last[-1]}")
+    return spark.createDataFrame([], result.schema)
 
 
 def deduplicated(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> DataFrame:
     """The first row of each key within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+    return _timed(events, late)[0].dropDuplicatesWithinWatermark([key])
