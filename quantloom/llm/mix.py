@@ -19,7 +19,7 @@ from .common import stage
 
 WEIGHTS, SHARE, MAX_COPIES = (3.0, 1.0, 2.0), 1.5, 2.0
 #: Rows of a source and size class that share a salt, on average.
-SALT_ROWS = 50_000
+SALT_ROWS = 5_000
 TOKEN_BREAK = r"[\x20\x09-\x0D]+"
 
 

@@ -100,7 +100,7 @@ l AS (SELECT *, (1.5::DOUBLE * (sum(source_size) OVER ()) - coalesce(sum(cap) OV
   FROM f WINDOW o AS (ORDER BY fill, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, source_size, least(cap, w * coalesce((SELECT arg_min(level, fill) FROM l WHERE level <= fill), 'inf'::DOUBLE)) AS target FROM l),
 r AS (SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS copies,
-  row_number() OVER (PARTITION BY d.source ORDER BY class, ('0x' || substr(name, 1, 8))::BIGINT % ceil(c_rows / 50000)::BIGINT, name, size) AS rank,
+  row_number() OVER (PARTITION BY d.source ORDER BY class, ('0x' || substr(name, 1, 8))::BIGINT % ceil(c_rows / 5000)::BIGINT, name, size) AS rank,
   ('0x' || substr(md5(coalesce('7:' || d.source, '7/')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
   FROM (SELECT *, floor(log2(size + 1) * 4 + 1e-9) AS class, count(*) OVER (PARTITION BY source, floor(log2(size + 1) * 4 + 1e-9)) AS c_rows FROM d) AS d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (floor(rank * copies + u) - floor((rank - 1) * copies + u))::BIGINT AS copies,
