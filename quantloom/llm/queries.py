@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licences, lmscore, lzprint, pagetext, quality, secretscan
+from . import licences, lmscore, lzprint, merkle, pagetext, quality, secretscan, tokencounts, whiten
 from .decontaminate import contamination
 from .licence_sql import oracle as licence_oracle
 from .linededup import dedup_lines
@@ -61,6 +61,22 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents"))
 
 
+def op11_whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts with an empty cache, so every distinct content is encoded."""
+    import public_tokenizers
+
+    words = tokencounts.Vocabulary.load(public_tokenizers.path("word_bpe_49k.json"), spaces_drop=True, case_drops=True)
+    return tokencounts.count_tokens(_table(spark, sf_dir, "documents"), words, tokencounts.new_cache(spark))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_lm_score": op2_lm_score,
@@ -72,11 +88,25 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_lz_print": op9_lz_print,
     "op10_licences": op10_licences,
+    "op11_whiten": op11_whiten,
+    "op12_token_counts": op12_token_counts,
+    "op13_merkle": op13_merkle,
 }
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: CRC-32 of a decimal id, bit by bit.
+_CRC = (
+    "xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT), "
+    "lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1))), 4294967295::BIGINT), 4294967295)"
+)
+
+
+def _leaf(chars: str) -> str:
+    return " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", chars, "text"))
+
+
 ORACLES = {
     "op1_decontaminate": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '{_WORD}') AS w FROM documents),
@@ -113,4 +143,26 @@ m AS (SELECT l.*, rep.key IS NULL OR doc_id = keeper AS stays FROM l LEFT JOIN r
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
     "op10_licences": licence_oracle(),
+    "op13_merkle": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, lang, source, n_chars, text, n_chars + CASE WHEN {_CRC} % 7 = 0 THEN 1 ELSE 0 END AS shown_chars FROM documents),
+l AS (SELECT doc_id, lang, sha256({_leaf("n_chars")}) AS leaf, sha256({_leaf("shown_chars")}) AS shown FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM l),
+t AS (SELECT lang, 0 AS lvl, pos, leaf AS node, n FROM p
+  UNION ALL SELECT lang, lvl + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY lang, lvl, pos // 2, n),
+s AS (SELECT lang, node AS subroot, lvl AS height, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS lvl, pos, subroot AS node, n FROM s
+  UNION ALL SELECT lvl + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY lvl, pos // 2, n),
+low AS (SELECT p.doc_id, p.lang, p.pos AS id, t.lvl, (p.pos >> t.lvl) & 1 AS side, (SELECT node FROM t AS x WHERE x.lang IS NOT DISTINCT FROM t.lang AND x.lvl = t.lvl AND x.pos = xor(t.pos, 1)) AS sibling
+  FROM p JOIN t ON p.lang IS NOT DISTINCT FROM t.lang AND t.pos = p.pos >> t.lvl WHERE t.n > 1),
+high AS (SELECT p.doc_id, p.lang, p.pos AS id, s.height + u.lvl AS lvl, (s.pos >> u.lvl) & 1 AS side, (SELECT node FROM u AS x WHERE x.lvl = u.lvl AND x.pos = xor(u.pos, 1)) AS sibling
+  FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang JOIN u ON u.pos = s.pos >> u.lvl WHERE u.n > 1),
+way AS (SELECT * FROM low UNION ALL SELECT * FROM high),
+proof AS (SELECT lang, id, sha256(coalesce(string_agg(sibling, '' ORDER BY lvl), '')) AS proof_sha256 FROM way GROUP BY lang, id),
+f AS (SELECT lang, pos AS id, 0 AS lvl, shown AS node FROM p
+  UNION ALL SELECT f.lang, f.id, f.lvl + 1, sha256(CASE WHEN w.sibling IS NULL THEN f.node WHEN w.side = 1 THEN w.sibling || f.node ELSE f.node || w.sibling END)
+  FROM f JOIN way AS w ON w.lang IS NOT DISTINCT FROM f.lang AND w.id = f.id AND w.lvl = f.lvl),
+top AS (SELECT lang, id, arg_max(node, lvl) AS folded_root FROM f GROUP BY lang, id)
+SELECT p.doc_id, p.leaf, s.subroot, r.node AS root, coalesce(proof.proof_sha256, sha256('')) AS proof_sha256, top.folded_root, top.folded_root = r.node AS verified
+FROM p JOIN s ON p.lang IS NOT DISTINCT FROM s.lang JOIN (SELECT node FROM u WHERE n = 1) AS r ON true
+  LEFT JOIN proof ON proof.lang IS NOT DISTINCT FROM p.lang AND proof.id = p.pos JOIN top ON top.lang IS NOT DISTINCT FROM p.lang AND top.id = p.pos""",
 }
