@@ -49,6 +49,32 @@ def unstage(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
+# --- memory inside tasks ------------------------------------------------------
+
+
+def remembered(most: int):
+    """A function that keeps its last results, so many at most.
+
+    A plain closure: unlike ``lru_cache`` objects it travels by value, so that
+    executors without the package can run it.
+    """
+
+    def wrap(fn):
+        kept: dict = {}
+
+        def call(*args):
+            if args not in kept:
+                if len(kept) >= most:
+                    kept.pop(next(iter(kept)))
+                kept[args] = fn(*args)
+            return kept[args]
+
+        call.__doc__ = fn.__doc__
+        return call
+
+    return wrap
+
+
 # --- text columns (JVM side) ------------------------------------------------
 
 

@@ -19,12 +19,11 @@ from __future__ import annotations
 import html
 import re
 from difflib import SequenceMatcher
-from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, unstage
+from .common import remembered, stage, unstage
 
 SALTS = 32
 #: Streams that a group merges on average, in each round.
@@ -65,7 +64,7 @@ def _marks(attrs: str) -> str:
     return ".".join(WORDS.findall(" ".join(a or b or c for a, b, c in MARKED.findall(attrs)).lower())) if attrs else ""
 
 
-@lru_cache(1 << 12)
+@remembered(1 << 12)
 def marked(attrs: str, within: bool = False) -> bool:
     """Whether a class, id or role consists of marks and neutral words only; ``within`` an article its own parts do not count."""
     for a, b, c in MARKED.findall(attrs):
@@ -225,7 +224,7 @@ def align(a: str, b: str) -> str:
     return _written(out)
 
 
-@lru_cache(1 << 12)
+@remembered(1 << 12)
 def places(line: str, wrapper: str) -> list[int] | None:
     """The wrapper's item for each item of a folded stream: the first ones with which all of the wrapper matches; None if it does not."""
     have, items = [x for x, _ in _items(line)], _items(wrapper)

@@ -12,7 +12,6 @@ most 2,081 fingerprints can meet.
 
 from __future__ import annotations
 
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -20,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, unstage
+from .common import remembered, stage, unstage
 from .components import components, local_roots
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
@@ -62,7 +61,7 @@ def fingerprints(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"), F.xxhash64(text).alias("h")).mapInArrow(run, "id long, fp long, h long")
 
 
-@lru_cache
+@remembered(64)
 def masks(bits: int, weight: int) -> np.ndarray:
     """All values of so many bits with at most so many of them set, by weight."""
     return np.array([sum(1 << i for i in c) for w in range(weight + 1) for c in combinations(range(bits), w)], np.uint64)
