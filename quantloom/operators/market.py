@@ -157,21 +157,6 @@ def moves(prices: DataFrame) -> DataFrame:
     return own.groupBy("symbol").agg(F.max("date").alias("date"), rounded(F.try_divide(at(1), at(2)) - 1).alias("move"), rounded(F.try_divide(at(1), at(22)) - 1).alias("move_21"))
 
 
-RULES = (("sharp_fall", "move <= -0.3", 0.9), ("sharp_rise", "move >= 0.3", 0.9), ("foreign_selling", "foreign_20 < 0", 0.6), ("retail_buying", "retail_20 > 0", 0.4), ("trend", "move_21 * move > 0", 0.3))
-
-
-def explain(move: DataFrame, flows: DataFrame, threshold: float = 0.2) -> DataFrame:
-    """Each symbol's move with the reasons whose rules hold, strongest first, and a confidence."""
-    back = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))
-    tail = flows.withColumn("back", back).where("back <= 20").groupBy("symbol").agg(*[rounded(F.sum(f"{k}_net_value"), 2).alias(f"{k}_20") for k in ("foreign", "retail")])
-    own = move.join(tail, "symbol", "left")
-    found = F.filter(F.array(*[F.when(F.expr(rule), F.struct(F.lit(-s).alias("s"), F.lit(n).alias("n"))) for n, rule, s in RULES]), lambda x: x.isNotNull())
-    own = own.withColumn("reasons", F.transform(F.slice(F.array_sort(found), 1, 5), lambda x: x["n"]))
-    size = F.abs(F.coalesce("move", F.lit(0.0)))
-    confidence = F.least(F.lit(0.95), 0.42 + 0.12 * F.size("reasons") + F.least(size, F.lit(0.08)))
-    return own.select("symbol", "date", "move", "move_21", (size >= threshold).alias("triggered"), F.array_join("reasons", ",").alias("reasons"), rounded(confidence).alias("confidence"))
-
-
 def refresh_universe(symbols: DataFrame, metrics: DataFrame, prices: DataFrame, *, per_market: int = 8, least_rows: int = 100) -> DataFrame:
     """Every symbol with its status: excluded, or ranked by latest market value within its market and taken while places last."""
     latest = metrics.groupBy("symbol").agg(F.max_by("market_cap", "date").alias("market_cap"))

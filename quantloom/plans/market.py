@@ -167,12 +167,6 @@ def x01(p):
     return M.moves(p.prices)
 
 
-@query("x06_x07_explanations", """SELECT symbol, date, move, move_21, abs(coalesce(move, 0.0)) >= 0.2 AS triggered, array_to_string(rs, ',') AS reasons, round(least(0.95::DOUBLE, 0.42::DOUBLE + 0.12::DOUBLE * len(rs) + least(abs(coalesce(move, 0.0)), 0.08::DOUBLE)) + 1e-9, 6) AS confidence FROM (
-SELECT *, [x for x in [CASE WHEN move <= -0.3 THEN 'sharp_fall' END, CASE WHEN move >= 0.3 THEN 'sharp_rise' END, CASE WHEN foreign_20 < 0 THEN 'foreign_selling' END, CASE WHEN retail_20 > 0 THEN 'retail_buying' END, CASE WHEN move_21 * move > 0 THEN 'trend' END] if x IS NOT NULL] AS rs FROM mv LEFT JOIN tl USING (symbol))""", MOVES)
-def x06(p):
-    return M.explain(M.moves(p.prices), p.flows)
-
-
 @query("x05_market_rows", "SELECT market, round(median(move) + 1e-9, 6) AS median_move, count(*) FILTER (move > 0) AS up, count(*) FILTER (move < 0) AS down FROM mv JOIN sym USING (symbol) GROUP BY market", MOVES)
 def x05(p):
     own = M.moves(p.prices).join(p.symbols.select("symbol", "market"), "symbol")

@@ -96,6 +96,12 @@ class Panel:
     def flows(self) -> DataFrame:
         return self.facts.select("date", "symbol", "foreign_net_value", "institution_net_value", "retail_net_value")
 
+    @cached_property
+    def pension(self) -> DataFrame:
+        """A fourth investor's flows: the institutions' lines with a discount above 5 %."""
+        signed = F.col("l_extendedprice") * F.when(F.col("l_linestatus") == "O", 1.0).otherwise(-1.0)
+        return self.lines.where("l_returnflag = 'N' and l_discount > 0.05").groupBy("date", "symbol").agg(rounded(F.sum(signed), 2).alias("pension_net_value"))
+
     @cached_property
     def reports(self) -> DataFrame:
         from pyspark.sql import Window
@@ -127,11 +133,29 @@ class Panel:
 
     @cached_property
     def world(self) -> DataFrame:
-        """Five regions' daily index closes: trade_date, symbol, close."""
+        """Five regions' daily index closes and volumes: trade_date, symbol, close, volume."""
         supplier = self.table("supplier").select("s_suppkey", "s_nationkey")
         nation = self.table("nation").select("n_nationkey", "n_regionkey")
         own = self.table("lineitem").join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 nations
-        return own.groupBy(F.to_date("l_shipdate").alias("trade_date"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("symbol")).agg(_unit(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"))
+        return own.groupBy(F.to_date("l_shipdate").alias("trade_date"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("symbol")).agg(_unit(F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close"), F.sum("l_quantity").alias("volume"))
+
+    @cached_property
+    def snapshots(self) -> DataFrame:
+        """Intraday points of the regions: at (the order's number), day, symbol, change_rate; only urgent orders give one."""
+        own = self.table("orders").where("o_orderpriority = '1-URGENT'").join(self.table("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+        own = own.join(F.broadcast(self.table("nation").select("n_nationkey", "n_regionkey")), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 nations
+        rate = F.round((F.col("o_orderkey") % 1000) / F.lit(10000.0) - 0.05 + 1e-9, 4)
+        return own.select(F.col("o_orderkey").alias("at"), F.to_date("o_orderdate").alias("day"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("symbol"), rate.alias("change_rate"))
+
+    @cached_property
+    def dated_news(self) -> DataFrame:
+        """The articles dealt over the dates of the prices by their number (the table's own dates are of one month)."""
+        return self.news.withColumn("day", F.date_add(F.lit("1995-01-02").cast("date"), (F.col("article_id") * 37 % 2500).cast("int")))
+
+    @cached_property
+    def dated_posts(self) -> DataFrame:
+        """The posts dealt over the dates of the prices by their number; the channel is all the text that they have."""
+        return self.posts.withColumn("day", F.date_add(F.lit("1995-01-02").cast("date"), (F.col("message_id") * 37 % 2500).cast("int")))
 
 
 SQL = r"""
@@ -149,6 +173,9 @@ met AS (SELECT date, symbol, round(sum(p_retailprice * l_quantity) + 1e-9, 2) AS
   round(avg(l_tax) + 1e-9, 6) AS eps, round(avg(l_discount + l_tax) + 1e-9, 6) AS bps, round(avg(l_discount) + 1e-9, 6) AS dividend_yield FROM lines GROUP BY date, symbol),
 flow AS (SELECT date, symbol, round(sum(CASE WHEN l_returnflag = 'A' THEN v ELSE 0.0 END) + 1e-9, 2) AS foreign_net_value, round(sum(CASE WHEN l_returnflag = 'N' THEN v ELSE 0.0 END) + 1e-9, 2) AS institution_net_value,
   round(sum(CASE WHEN l_returnflag = 'R' THEN v ELSE 0.0 END) + 1e-9, 2) AS retail_net_value FROM (SELECT *, l_extendedprice * CASE WHEN l_linestatus = 'O' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS v FROM lines) GROUP BY date, symbol),
+pens AS (SELECT date, symbol, round(sum(l_extendedprice * CASE WHEN l_linestatus = 'O' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) + 1e-9, 2) AS pension_net_value FROM lines WHERE l_returnflag = 'N' AND l_discount > 0.05 GROUP BY date, symbol),
+snap AS (SELECT o_orderkey AS seq, CAST(o_orderdate AS DATE) AS day, 'R' || n_regionkey AS symbol, round((o_orderkey % 1000) / 10000.0::DOUBLE - 0.05::DOUBLE + 1e-9, 4) AS change_rate
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority = '1-URGENT'),
 rep AS (SELECT *, lag(target) OVER (PARTITION BY symbol, analyst ORDER BY report_date, report_id) AS previous_target FROM (
   SELECT report_id, report_date, symbol, broker, analyst, price, round(price * (0.8::DOUBLE + report_id % 100 / 200.0::DOUBLE) + 1e-9, 4) AS target FROM (
   SELECT o_orderkey AS report_id, CAST(o_orderdate AS DATE) AS report_date, lpad(CAST(c_nationkey % 25 + 1 AS VARCHAR), 6, '0') AS symbol, c_mktsegment AS broker, c_custkey % 40 AS analyst,
@@ -156,7 +183,7 @@ rep AS (SELECT *, lag(target) OVER (PARTITION BY symbol, analyst ORDER BY report
 posts AS (SELECT event_type AS channel, event_id AS message_id, ts, 'T' || user_id AS ticker, round(value / 250 - 1 + 1e-9, 4) AS sentiment, CASE event_type WHEN 'error' THEN 1.0::DOUBLE WHEN 'purchase' THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END AS urgency,
   CASE event_type WHEN 'view' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS source_weight, event_type || ':' || user_id AS duplicate_key FROM events),
 news AS (SELECT doc_id AS article_id, DATE '2024-01-01' + CAST(doc_id % 30 AS INT) AS pub_date, source, lang, text, lpad(CAST(doc_id % 25 AS VARCHAR), 6, '0') AS symbol FROM documents),
-world AS (SELECT CAST(l_shipdate AS DATE) AS trade_date, 'R' || n_regionkey AS symbol, round(100.0::DOUBLE + 0.01::DOUBLE * (sum(l_extendedprice) / sum(l_quantity)) + 1e-9, 6) AS close
+world AS (SELECT CAST(l_shipdate AS DATE) AS trade_date, 'R' || n_regionkey AS symbol, round(100.0::DOUBLE + 0.01::DOUBLE * (sum(l_extendedprice) / sum(l_quantity)) + 1e-9, 6) AS close, sum(l_quantity) AS volume
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2)
 """
 
