@@ -2,79 +2,78 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import clip, rounded
 from quantloom.functions.windows import first_rank, pct_rank, with_pooled_ranks
+from quantloom.operators import boost
 
 
-def split_dates(dataset: DataFrame, share: float = 0.2) -> DataFrame:
-    """``dataset`` with is_valid: whether the row's date is among the last share of dates."""
-    days = dataset.select("date").distinct().select("date", F.percent_rank().over(Window.orderBy("date")).alias("__p"))  # a row for each date
-    return dataset.join(days.select("date", (F.col("__p") > 1 - share).alias("is_valid")), "date")
+@dataclass(frozen=True)
+class Trained:
+    """Predictions (date, symbol, pred_return, prob_top, prob_bottom, trained_to) and each window's number of training rows."""
 
+    predictions: DataFrame
+    windows: DataFrame
 
-class Bundle:
-    """Median imputation, a regressor of the excess return, and classifiers of the top and bottom fifth.
 
-    A class that the training rows all have, or none has, is predicted as the
-    constant that they show.
+def _windows(dataset: DataFrame, columns: list[str], cuts: list[tuple[int, int, int]], days: DataFrame, dates: list, settings: boost.Settings | None, least_rows: int) -> Trained:
+    """Predictions of every (training dates, first date, last date + 1) window from the trees fitted for it."""
+    spark = dataset.sparkSession
+    shape = "window int, trained_to date, first date, last date, n_train long"
+    rows = boost.prepared(dataset, columns, days)
+    forest = boost.fit(rows, columns, [c[0] for c in cuts], settings) if cuts else None
+    known = [(i, dates[end - 1], dates[start], dates[stop - 1], int(forest.rows[i])) for i, (end, start, stop) in enumerate(cuts) if forest.rows[i] >= least_rows]
+    windows = spark.createDataFrame(known, shape)
+    if not known:
+        none = F.lit(None).cast("double")
+        empty = dataset.where("false").select("date", "symbol", none.alias("pred_return"), none.alias("prob_top"), none.alias("prob_bottom"), F.col("date").alias("trained_to"))
+        return Trained(empty, windows)
+    found = boost.predict(rows, forest, [c[1] for c in cuts], [c[2] for c in cuts])
+    out = found.join(F.broadcast(windows.select("window", "trained_to")), "window")  # a row for each window
+    return Trained(out.select("date", "symbol", "pred_return", "prob_top", "prob_bottom", "trained_to"), windows)
+
+
+def train_model(dataset: DataFrame, columns: list[str], share: float = 0.2, settings: boost.Settings | None = None) -> tuple[boost.Forest, DataFrame]:
+    """Trees fitted on all labelled rows, and what those of the earlier dates predict for the last share of dates; both grow together."""
+    days, dates = boost.numbered_days(dataset)
+    cut = min(max(1, int(len(dates) * (1 - share))), len(dates) - 1)
+    rows = boost.prepared(dataset, columns, days)
+    forest = boost.fit(rows, columns, [cut, len(dates)], settings)
+    return forest, boost.predict(rows, forest, [cut, len(dates)], [len(dates), len(dates)]).drop("window")
+
+
+def walk_forward_windows(
+    dataset: DataFrame, columns: list[str], *, step: int = 21, least_dates: int = 504, embargo: int = 21, least_train_dates: int = 1, least_train_rows: int = 1, settings: boost.Settings | None = None
+) -> Trained:
+    """Predictions of every date after the first ``least_dates``, each from trees fitted before its window of ``step`` dates, and the windows.
+
+    Training expands: a window has seen all dates but the ``embargo`` ones
+    before it, whose labels reach into it.  Windows with fewer training dates
+    or rows than wanted give no predictions.  All windows are fitted together.
     """
+    days, dates = boost.numbered_days(dataset)
+    cuts = [(start - embargo, start, min(start + step, len(dates))) for start in range(least_dates, len(dates), step) if start - embargo >= least_train_dates]
+    return _windows(dataset, columns, cuts, days, dates, settings, least_train_rows)
 
-    def __init__(self, train: DataFrame, columns: list[str], *, depth: int = 3, rounds: int = 5, seed: int = 42) -> None:
-        from pyspark.ml import Pipeline
-        from pyspark.ml.classification import GBTClassifier
-        from pyspark.ml.feature import Imputer, VectorAssembler
-        from pyspark.ml.regression import GBTRegressor
-
-        filled = [f"{c}__f" for c in columns]
-        own = train.where(F.col("excess_return").isNotNull()).withColumn("__top", F.col("is_top20pct").cast("double")).withColumn("__bottom", F.col("is_bottom20pct").cast("double"))
-        self.inputs = Pipeline(stages=[Imputer(strategy="median", inputCols=columns, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="__x")]).fit(own)
-        ready = self.inputs.transform(own).select("__x", "excess_return", "__top", "__bottom").cache()
-        kind = {"featuresCol": "__x", "maxDepth": depth, "maxIter": rounds, "seed": seed}
-        self.regressor = GBTRegressor(labelCol="excess_return", predictionCol="pred_return", **kind).fit(ready)
-        shares = ready.agg(*[F.avg(c).alias(c) for c in ("__top", "__bottom")]).first()
-        self.classes = {}
-        for name, c in (("prob_top", "__top"), ("prob_bottom", "__bottom")):
-            trees = GBTClassifier(labelCol=c, predictionCol=f"__p{c}", **kind).setRawPredictionCol(f"__r{c}").setProbabilityCol(name)
-            self.classes[name] = shares[c] if shares[c] in (None, 0.0, 1.0) else trees.fit(ready)
-        ready.unpersist()
-
-    def predict(self, rows: DataFrame) -> DataFrame:
-        """date, symbol, pred_return, prob_top and prob_bottom."""
-        from pyspark.ml.functions import vector_to_array
-
-        out = self.regressor.transform(self.inputs.transform(rows))
-        for name, model in self.classes.items():
-            out = out.withColumn(name, F.lit(model).cast("double")) if model is None or isinstance(model, float) else model.transform(out).withColumn(name, vector_to_array(name)[1])
-        return out.select("date", "symbol", "pred_return", "prob_top", "prob_bottom")
-
-
-def train_model(dataset: DataFrame, columns: list[str], share: float = 0.2) -> tuple[Bundle, DataFrame]:
-    """A bundle fitted on all rows, and what one fitted on the earlier dates predicts for the last share of dates."""
-    split = split_dates(dataset, share)
-    held = Bundle(split.where(~F.col("is_valid")), columns).predict(split.where("is_valid"))
-    return Bundle(dataset, columns), held
-
-
-def walk_forward(dataset: DataFrame, columns: list[str], *, step: int = 21, least_dates: int = 504, embargo: int = 21) -> DataFrame:
-    """Predictions of every date after the first ``least_dates``, each from the bundle fitted before its window of ``step`` dates.
-
-    Training expands: a window's bundle has seen all dates but the ``embargo``
-    ones before the window, whose labels reach into it.
-    """
-    days = [r.date for r in dataset.select("date").distinct().orderBy("date").collect()]  # a row for each date
-    out = None
-    for start in range(least_dates, len(days), step):
-        last, seen = days[min(start + step, len(days)) - 1], days[start - embargo - 1]
-        ahead = dataset.where(F.col("date").between(days[start], last))
-        part = Bundle(dataset.where(F.col("date") <= seen), columns).predict(ahead).withColumn("trained_to", F.lit(seen))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        none = F.lit(None).cast("double")
-        return dataset.where("false").select("date", "symbol", none.alias("pred_return"), none.alias("prob_top"), none.alias("prob_bottom"), F.col("date").alias("trained_to"))
-    return out
+
+def walk_forward(dataset: DataFrame, columns: list[str], **options) -> DataFrame:
+    """The predictions of ``walk_forward_windows``."""
+    return walk_forward_windows(dataset, columns, **options).predictions
+
+
+def window_metrics(trained: Trained, dataset: DataFrame, k: int) -> DataFrame:
+    """Each window with rows scored, precision of the k best of a date, rank correlation and error, and whether it beats the window's mean."""
+    own = trained.predictions.join(dataset.where("excess_return is not null").select("date", "symbol", "excess_return", "is_top20pct"), ["date", "symbol"])
+    own = own.withColumn("__r", first_rank(F.col("prob_top"), "date"))
+    own = own.withColumns({"__a": pct_rank(F.col("prob_top"), "trained_to"), "__b": pct_rank(F.col("excess_return"), "trained_to")})
+    error = F.col("pred_return") - F.col("excess_return")
+    best = own.where(F.col("__r") <= k).groupBy("trained_to", "date").agg(F.avg(F.col("is_top20pct").cast("double")).alias("p")).groupBy("trained_to").agg(F.avg("p").alias("precision"))
+    each = own.groupBy("trained_to").agg(F.count(F.lit(1)).alias("n_scored"), F.corr("__a", "__b").alias("rank_ic"), F.sqrt(F.avg(error * error)).alias("rmse"), F.stddev_pop("excess_return").alias("spread"))
+    return trained.windows.join(each, "trained_to", "left").join(best, "trained_to", "left").select("window", "trained_to", "first", "last", "n_train", "n_scored", "precision", "rank_ic", "rmse", "spread")
 
 
 def prediction_scores(predictions: DataFrame) -> DataFrame:

@@ -145,11 +145,31 @@ def m08(p):
 _TREE = ["ret_21d", "ma_gap_20d", "volatility_20d", "rsi_14"]
 
 
+def _training(p):
+    keep = ["date", "symbol", "excess_return", "is_top20pct", "is_bottom20pct"]
+    return staged(features.time_features(p.prices).select("date", "symbol", *_TREE).join(label_frame(p).select(*keep), ["date", "symbol"]), "training")
+
+
+_WALK = {"step": 21, "least_dates": 504, "embargo": 21, "least_train_dates": 252, "least_train_rows": 1000}
+
+
 @query("m01_m03_walk_forward")
 def m01(p):
-    keep = ["date", "symbol", "excess_return", "is_top20pct", "is_bottom20pct"]
-    own = staged(features.time_features(p.prices).select("date", "symbol", *_TREE).join(label_frame(p).select(*keep), ["date", "symbol"]), "training")
-    return models.walk_forward(own, _TREE, step=1000)
+    return models.walk_forward(_training(p), _TREE, **_WALK)
+
+
+@query("m02_walk_forward_metrics")
+def m02(p):
+    own = _training(p)
+    return models.window_metrics(models.walk_forward_windows(own, _TREE, **_WALK), own, 5)
+
+
+@query("m01_validation_metrics")
+def m01_valid(p):
+    own = _training(p)
+    _, held = models.train_model(own, _TREE)
+    truth = own.select("date", "symbol", "excess_return", "is_top20pct")
+    return models.evaluate(held.withColumnRenamed("prob_top", "pred_prob_top20").join(truth, ["date", "symbol"]), 5)
 
 
 _CENT = [[(-1.0) ** (i * j % 3) * 0.1 for j in range(64)] for i in range(4)]
