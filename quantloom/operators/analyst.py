@@ -23,34 +23,94 @@ def target_features(reports: DataFrame) -> DataFrame:
     )
 
 
-def outcomes(reports: DataFrame, prices: DataFrame, months: tuple[int, ...] = (1, 3, 6)) -> DataFrame:
-    """Base close on or after the report, and the return to the first close on or after each later month."""
+MONTHS = (1, 3, 6, 12, 24)
+#: Months of the benchmark and the excess, and of the drawdown; months in which a target may be hit.
+EXCESS, DRAWDOWN, HIT = (3, 6, 12), (3, 6), 24
+#: Days of a block of prices, which has its highest high beside its rows.
+BLOCK_DAYS = 32
+
+
+def outcomes(reports: DataFrame, prices: DataFrame, benchmark: DataFrame, months: tuple[int, ...] = MONTHS) -> DataFrame:
+    """What became of each report: prices and returns by months, benchmark, excess, drawdowns, and when the target was hit.
+
+    Prices are first closes on or after a day; the base is that of the report's
+    own day, or the quoted price.  Drawdowns run from the base to the month's
+    end.  The target is hit on the first day after the report, within 24
+    months, whose high reaches it: only blocks of days whose highest high does
+    are looked into, so no report meets all days of its 24 months.
+    """
     own = reports.select("report_id", "symbol", "report_date", "analyst", "broker", "price", "target")
-    base = asof_join(own, prices.select("symbol", "date", "close"), key="symbol", left_on="report_date", right_on="date", take=["close"], forward=True)
-    out = base.withColumn("base", F.coalesce("close", "price")).drop("close", "matched_at")
-    for m in months:
-        due = asof_join(out.withColumn("due", F.add_months("report_date", m)), prices.select("symbol", "date", "close"), key="symbol", left_on="due", right_on="date", take=["close"], forward=True)
-        out = due.withColumn(f"return_{m}m", rounded(F.try_divide(F.col("close"), F.col("base")) - 1)).drop("close", "matched_at", "due")
-    return out
+    due = own.select("*", F.explode(F.array(*map(F.lit, (0, *months)))).alias("m")).withColumn("due", F.add_months("report_date", F.col("m")))
+    seen = asof_join(due, prices.select("symbol", "date", "close"), key="symbol", left_on="due", right_on="date", take=["close"], forward=True)
+    marks = asof_join(due.select("due").distinct().withColumn("k", F.lit(0)), benchmark.select(F.lit(0).alias("k"), "date", F.col("close").alias("level")), key="k", left_on="due", right_on="date", take=["level"], forward=True)  # a row for each date
+    both = seen.join(marks.select("due", "level"), "due", "left")
+    at = lambda m, c: F.max(F.when(F.col("m") == m, F.col(c)))
+    wide = both.groupBy(*own.columns).agg(
+        at(0, "close").alias("first"), at(0, "matched_at").alias("first_at"), at(0, "level").alias("level_0"),
+        *[at(m, "close").alias(f"price_{m}m") for m in months], *[at(m, "level").alias(f"level_{m}") for m in EXCESS],
+    )
+    good = F.coalesce(F.col("first") > 0, F.lit(False))
+    wide = wide.withColumns({"base": F.when(good, F.col("first")).otherwise(F.col("price")), "base_date": F.when(good, F.col("first_at")).otherwise(F.col("report_date"))})
+    ret = {m: F.when(F.col("base") > 0, F.col(f"price_{m}m") / F.col("base") - 1) for m in months}
+    mark = {m: F.when(F.col("level_0") > 0, F.col(f"level_{m}") / F.col("level_0") - 1) for m in EXCESS}
+    wide = wide.withColumns({f"return_{m}m": rounded(ret[m]) for m in months} | {f"benchmark_return_{m}m": rounded(mark[m]) for m in EXCESS} | {f"excess_return_{m}m": rounded(ret[m] - mark[m]) for m in EXCESS})
+    out = wide.join(_paths(wide, prices), "report_id", "left")
+    out = out.withColumns({"target_hit_days": F.datediff("target_hit_date", "report_date")} | {f"target_hit_{m}m": F.coalesce(F.col("target_hit_date") <= F.add_months("report_date", m), F.lit(False)) for m in (6, 12)})
+    return out.drop("first", "first_at", "base_date", "level_0", *[f"level_{m}" for m in EXCESS])
+
+
+def _paths(reports: DataFrame, prices: DataFrame) -> DataFrame:
+    """report_id, max_drawdown_3m, max_drawdown_6m, target_hit_date, from blocks of prices."""
+    block = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / BLOCK_DAYS)
+    high = F.coalesce("high", "close") if "high" in prices.columns else F.col("close")
+    days = prices.where("close is not null").select("symbol", "date", high.alias("high"), "close", block(F.col("date")).alias("block"))
+    blocks = days.groupBy("symbol", "block").agg(F.max("high").alias("top"), F.array_sort(F.collect_list(F.struct("date", "high", "close"))).alias("days"))  # of BLOCK_DAYS days at most
+    asked = reports.select("report_id", "symbol", "report_date", "base_date", "target").withColumn("block", F.explode(F.sequence(block(F.col("report_date")), block(F.add_months("report_date", HIT)))))
+    met = asked.join(blocks, ["symbol", "block"])
+    hits = F.filter("days", lambda x: (x["date"] > F.col("report_date")) & (x["date"] <= F.add_months(F.col("report_date"), HIT)) & (x["high"] >= F.col("target")))
+    hit = F.when((F.col("target") > 0) & (F.col("top") >= F.col("target")), F.get(hits, F.lit(0))["date"])
+
+    def path(m: int):
+        """A block's part of the path: its highest and lowest close and its worst drawdown."""
+        inside = F.filter("days", lambda x: (x["date"] >= F.col("base_date")) & (x["date"] <= F.add_months(F.col("report_date"), m)))
+        first = F.struct(F.lit(0.0).alias("top"), F.lit(float("inf")).alias("low"), F.lit(0.0).alias("fall"))
+        step = lambda a, x: F.struct(F.greatest(a["top"], x["close"]).alias("top"), F.least(a["low"], x["close"]).alias("low"), F.least(a["fall"], x["close"] / F.greatest(a["top"], x["close"]) - 1).alias("fall"))
+        return F.when((F.size(inside) > 0) & (F.col("block") <= block(F.add_months("report_date", m))), F.struct("block", F.aggregate(inside, first, step).alias("p")))
+
+    def worst(c: str):
+        """Parts put together: a low may also fall short of the highest close before its block."""
+        parts = F.array_sort(F.filter(c, lambda x: x.isNotNull()))
+        first = F.struct(F.lit(0.0).alias("top"), F.lit(0.0).alias("fall"))
+        step = lambda a, x: F.struct(F.greatest(a["top"], x["p"]["top"]).alias("top"), F.least(a["fall"], x["p"]["fall"], F.when(a["top"] > 0, x["p"]["low"] / a["top"] - 1).otherwise(F.lit(0.0))).alias("fall"))
+        return F.when(F.size(parts) > 0, F.aggregate(parts, first, step)["fall"])
+
+    found = met.select("report_id", hit.alias("hit"), *[path(m).alias(f"p{m}") for m in DRAWDOWN])
+    one = found.groupBy("report_id").agg(F.min("hit").alias("target_hit_date"), *[F.collect_list(f"p{m}").alias(f"p{m}") for m in DRAWDOWN])
+    return one.select("report_id", *[rounded(worst(f"p{m}")).alias(f"max_drawdown_{m}m") for m in DRAWDOWN], "target_hit_date")
 
 
-def analyst_scores(done: DataFrame, least: int = 3) -> DataFrame:
-    """Errors, direction accuracy, hits and reliability of each (analyst, broker) with enough reports.
+def analyst_scores(done: DataFrame, least: int = 5, recent_days: int = 365) -> DataFrame:
+    """Errors, direction accuracy, hits, excess and reliability of each (analyst, broker) with enough reports, one of them in the last year.
 
-    A missing return counts as not positive, on both sides of the comparison.
+    A missing upside or return counts as not positive, on both sides of the
+    comparison.  The year ends with the latest report.
     """
-    wanted = F.col("target") / F.col("base") - 1
-    own = done.withColumn("error", F.col("return_6m") - wanted)
+    error = F.try_divide(F.col("target"), F.col("price_12m")) - 1
     up = lambda c: F.coalesce(c >= 0, F.lit(False))
-    right = lambda m: F.avg((up(wanted) == up(F.col(f"return_{m}m"))).cast("double"))
-    hit = F.avg(F.coalesce(F.col("return_6m") >= wanted, F.lit(False)).cast("double"))
-    out = own.groupBy("analyst", "broker").agg(
-        F.count(F.lit(1)).alias("n_reports"), rounded(F.sqrt(F.avg(F.col("error") * F.col("error")))).alias("rmse"), rounded(F.avg(F.abs("error"))).alias("mae"), rounded(F.avg("error")).alias("bias"),
-        rounded(F.stddev_pop("error")).alias("error_std"), rounded(right(3)).alias("direction_3m"), rounded(right(6)).alias("direction_6m"), rounded(hit).alias("hit_rate"),
+    upside = F.try_divide(F.col("target"), F.col("price")) - 1
+    own = done.where("analyst is not null and broker is not null").withColumns({"error": error} | {f"right_{m}m": up(upside) == up(F.col(f"return_{m}m")) for m in (6, 12)})
+    last = done.agg(F.max("report_date").alias("last"))  # one row
+    share = lambda c: rounded(F.avg(F.col(c).cast("double")))
+    out = own.join(F.broadcast(last)).groupBy("analyst", "broker").agg(
+        F.count(F.lit(1)).alias("n_reports"), F.count_if(F.col("report_date") >= F.date_sub("last", recent_days)).alias("n_recent"),
+        rounded(F.sqrt(F.avg(F.col("error") * F.col("error")))).alias("rmse"), rounded(F.avg(F.abs("error"))).alias("mae"), rounded(F.avg("error")).alias("bias"), rounded(F.stddev_pop("error")).alias("error_std"),
+        *[share(f"right_{m}m").alias(f"direction_{m}m") for m in (6, 12)], *[share(f"target_hit_{m}m").alias(f"hit_rate_{m}m") for m in (6, 12)], *[rounded(F.avg(f"excess_return_{m}m")).alias(f"avg_excess_{m}m") for m in (6, 12)],
     )
-    out = out.where(F.col("n_reports") >= least)
-    fit = 0.35 * F.coalesce("direction_6m", F.lit(0.5)) + 0.25 * F.coalesce("direction_3m", F.lit(0.5)) + 0.25 * F.coalesce("hit_rate", F.lit(0.0)) + 0.15 * (1 - clip(F.coalesce("mae", F.lit(0.5)) / 0.5))
-    return out.withColumn("reliability", rounded(fit))
+    out = out.where((F.col("n_reports") >= least) & (F.col("n_recent") > 0))
+    known = lambda c, default: F.coalesce(F.col(c), F.lit(default))
+    excess = F.coalesce(clip((F.col("avg_excess_12m") + 0.2) / 0.4), F.lit(0.5))
+    fit = 0.30 * known("direction_12m", 0.5) + 0.15 * known("direction_6m", 0.5) + 0.20 * known("hit_rate_12m", 0.0) + 0.10 * known("hit_rate_6m", 0.0) + 0.15 * excess + 0.10 * (1 - F.coalesce(clip(F.col("mae") / 0.5), F.lit(0.5)))
+    return out.withColumn("reliability", rounded(clip(fit)))
 
 
 def consensus(reports: DataFrame) -> DataFrame:

@@ -68,30 +68,33 @@ def _binned(batch, at: int, edges: np.ndarray) -> np.ndarray:
     return out
 
 
-def _filled(x: np.ndarray, feature: np.ndarray, fill: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """The bin of each (row, window, target)'s feature."""
-    got = np.take_along_axis(x, feature.reshape(len(x), -1), 1).reshape(feature.shape)
-    return np.where(got == MISSING, fill[windows[None, :, None], feature], got)
-
-
-def _leaf(x, tree_feature, tree_split, fill, windows, levels):
-    """The node, counted from the left, that each (row, window, target) reaches after so many levels of one tree."""
-    w, k = tree_feature.shape[:2]
-    node = np.zeros((len(x), w, k), np.int64)
-    at_w, at_k = np.arange(w)[None, :, None], np.arange(k)[None, None, :]
+def _seen(x: np.ndarray, fill: np.ndarray) -> np.ndarray:
+    """(row, window, feature): the bins, a missing one as the window's fill."""
+    return np.where(x[:, None, :] == MISSING, fill[None].astype(np.uint8), x[:, None, :])
+
+
+def _leaf(seen: np.ndarray, feature: np.ndarray, split: np.ndarray, levels: int) -> np.ndarray:
+    """The node, counted from the left, that each (row, window, target) reaches after so many levels of one tree (window, target, node)."""
+    n, w, f = seen.shape
+    k, inner = feature.shape[1:]
+    flat, features, splits = seen.ravel(), feature.astype(np.int32).ravel(), split.astype(np.uint8).ravel()
+    tree = (np.arange(w * k, dtype=np.int32) * inner).reshape(1, w, k)
+    bins = (np.arange(n * w, dtype=np.int32) * f).reshape(n, w, 1)
+    node = np.zeros((n, w, k), np.int32)
     for level in range(levels):
-        place = (1 << level) - 1 + node
-        f = tree_feature[at_w, at_k, place]
-        node = 2 * node + (_filled(x, f, fill, windows) > tree_split[at_w, at_k, place])
+        place = tree + ((1 << level) - 1) + node
+        node = 2 * node + (flat.take(bins + features.take(place)) > splits.take(place))
     return node
 
 
-def _margins(x, start, feature, split, value, fill, windows, rounds, depth):
+def _margins(seen, start, feature, split, value, rounds, depth):
     """Sums of the trees so far, for every (row, window, target)."""
-    out = np.broadcast_to(start[None], (len(x), *start.shape)).copy()
-    at_w, at_k = np.arange(start.shape[0])[None, :, None], np.arange(start.shape[1])[None, None, :]
+    out = np.repeat(start[None], len(seen), 0)
+    w, k = start.shape
+    leaves = value.shape[-1]
+    tree = (np.arange(w * k, dtype=np.int32) * leaves).reshape(1, w, k)
     for t in range(rounds):
-        out += value[at_w, at_k, t, _leaf(x, feature[:, :, t], split[:, :, t], fill, windows, depth)]
+        out += value[:, :, t].ravel().take(tree + _leaf(seen, feature[:, :, t], split[:, :, t], depth))
     return out
 
 
@@ -157,7 +160,7 @@ def _added(parts: DataFrame, then=None, schema: str = "window int, v binary"):
     return [(r.window, np.frombuffer(r.v)) for r in got] if then is None else got
 
 
-def _level(rows: DataFrame, forest: Forest, group: slice, t: int, level: int, chosen: np.ndarray):
+def _level(rows: DataFrame, forest: Forest, group: slice, t: int, level: int):
     """The best split of every node of a level of tree ``t``: rows of (window, target, node, feature, split, and left and whole sums)."""
     s, windows = forest.settings, np.arange(group.start, group.stop)
     ends, edges, fill, start, constant = forest.ends[group], forest.edges, forest.fill, forest.start[group], forest.constant[group]
@@ -171,9 +174,7 @@ def _level(rows: DataFrame, forest: Forest, group: slice, t: int, level: int, ch
         import pyarrow as pa
 
         ends, edges, fill, start, constant, feature, split, value = sent.value
-        near = np.arange(len(ends))
         total = np.zeros((w, k, nodes, f, b, 2))
-        flat = total.reshape(-1, 2)
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):
                 batch = whole.slice(at, ROWS)
@@ -183,20 +184,21 @@ def _level(rows: DataFrame, forest: Forest, group: slice, t: int, level: int, ch
                 if not mine.any():
                     continue
                 x, y, idx = _binned(batch, 3 + k, edges)[mine], y[mine], idx[mine]
-                m = _margins(x, start, feature, split, value, fill, near, rounds, depth)
-                node = _leaf(x, feature[:, :, rounds], split[:, :, rounds], fill, near, level)
-                trains = (idx[:, None] < ends[None, :])[:, :, None] & np.isfinite(y)[:, None, :] & np.isnan(constant)[None]
-                p = 1.0 / (1.0 + np.exp(-np.clip(m, -60, 60)))
+                low = int(np.searchsorted(ends, idx.min(), "right"))  # windows before train on none of these rows
+                seen, own = _seen(x, fill[low:]), slice(low, None)
+                m = _margins(seen, start[own], feature[own], split[own], value[own], rounds, depth)
+                node = _leaf(seen, feature[own, :, rounds], split[own, :, rounds], level)
+                trains = (idx[:, None] < ends[None, own])[:, :, None] & np.isfinite(y)[:, None, :] & np.isnan(constant)[None, own]
                 goal = np.nan_to_num(y)[:, None, :]
-                squared = (np.arange(k) == 0)[None, None, :]
-                g = np.where(squared, m - goal, p - goal) * trains
-                h = np.where(squared, 1.0, p * (1 - p)) * trains
-                place = ((np.arange(w)[None, :, None] * k + np.arange(k)[None, None, :]) * nodes + node) * f
+                p = 1.0 / (1.0 + np.exp(-np.clip(m[:, :, 1:], -60, 60)))
+                g = np.concatenate((m[:, :, :1], p), 2) - goal
+                h = np.concatenate((np.ones((*p.shape[:2], 1)), p * (1 - p)), 2)
+                place = ((np.arange(w - low, dtype=np.int32)[None, :, None] * k + np.arange(k, dtype=np.int32)[None, None, :]) * nodes + node) * (f * b)
                 on = np.flatnonzero(trains.ravel())
                 gs, hs, place = g.ravel()[on], h.ravel()[on], place.ravel()[on]
+                flat = total[own].reshape(-1, 2)
                 for j in range(f):
-                    bins = np.where(x[:, j, None] == MISSING, fill[None, :, j], x[:, j, None])
-                    cell = (place + j) * b + np.broadcast_to(bins[:, :, None], node.shape).ravel()[on]
+                    cell = place + j * b + np.repeat(seen[:, :, j].ravel(), k)[on]
                     flat[:, 0] += np.bincount(cell, gs, len(flat))
                     flat[:, 1] += np.bincount(cell, hs, len(flat))
         used = np.flatnonzero(total.any(axis=(1, 2, 3, 4, 5)))
@@ -257,7 +259,7 @@ def fit(rows: DataFrame, columns: list[str], ends: list[int], settings: Settings
         group = slice(low, min(low + GROUP, w))
         for t in range(s.rounds):
             for level in range(s.depth):
-                for r in _level(rows, forest, group, t, level, None):
+                for r in _level(rows, forest, group, t, level):
                     at, place = (low + r.window, r.target, t), (1 << level) - 1 + r.node
                     forest.feature[(*at, place)], forest.split[(*at, place)] = r.feature, r.split
                     step = lambda g, h: -s.rate * g / (h + s.l2)
@@ -287,7 +289,7 @@ def predict(rows: DataFrame, forest: Forest, starts: list[int], stops: list[int]
             x, window, out = _binned(batch, 3 + k, edges)[asked], window[asked], np.empty((len(asked), k))
             for w in np.unique(window):
                 own, one = window == w, slice(w, w + 1)
-                out[own] = _margins(x[own], start[one], feature[one], split[one], value[one], fill[one], np.zeros(1, np.int64), feature.shape[2], depth)[:, 0]
+                out[own] = _margins(_seen(x[own], fill[one]), start[one], feature[one], split[one], value[one], feature.shape[2], depth)[:, 0]
             for j in (1, 2):
                 p, flat = 1.0 / (1.0 + np.exp(-np.clip(out[:, j], -60, 60))), constant[window, j]
                 out[:, j] = np.where(np.isnan(flat), p, flat)
@@ -305,5 +307,5 @@ def numbered_days(dataset: DataFrame) -> tuple[DataFrame, list]:
 
 
 def prepared(dataset: DataFrame, columns: list[str], days: DataFrame) -> DataFrame:
-    """``dataset`` as the passes read it, written once: they all scan it."""
-    return staged(_prepared(dataset, columns, days), "boosting-rows")
+    """``dataset`` as the passes read it, written once: they all scan it.  Rows stand by date, so that a task's blocks leave out early windows."""
+    return staged(_prepared(dataset, columns, days).repartition("symbol", "date").sortWithinPartitions("idx"), "boosting-rows")

@@ -12,6 +12,7 @@ from quantloom.operators import links as L
 from quantloom.operators import market as M
 from quantloom.operators import rules as R
 from quantloom.operators.asof import latest_by_day
+from quantloom.operators.explain import any_word
 from quantloom.sources.staging import staged
 
 from .market import BARS
@@ -162,8 +163,8 @@ def _tails(p):
 
 def _hits(p, days):
     text = F.col("text")
-    macro = E.keyword_hits(days, p.dated_news, {n: E.any_word(text, w) for n, w in MACRO.items()}, on="day", order=[F.desc("article_id")])
-    posts = E.keyword_hits(days, p.dated_posts, {n: E.any_word(F.col("channel"), w) for n, w in POSTS.items()}, on="day", order=[F.desc("source_weight"), F.desc("urgency"), F.desc("message_id")])
+    macro = E.keyword_hits(days, p.dated_news, {n: any_word(text, w) for n, w in MACRO.items()}, on="day", order=[F.desc("article_id")])
+    posts = E.keyword_hits(days, p.dated_posts, {n: any_word(F.col("channel"), w) for n, w in POSTS.items()}, on="day", order=[F.desc("source_weight"), F.desc("urgency"), F.desc("message_id")])
     return macro.withColumnRenamed("n", "macro_n").join(posts.withColumnRenamed("n", "posts_n"), "date")
 
 
@@ -182,7 +183,7 @@ def _moves(p):
     own = p.prices.select("date", "symbol", change(F.col("close"), 1).alias("move"), change(F.col("close"), 21).alias("ret_21d"))
     own = own.join(p.symbols.select("symbol", "market", "sector"), "symbol").join(sums, ["symbol", "date"], "left")
     text = F.col("text")
-    own = E.own_news(own, p.dated_news, on="day", sentiment=T.unit_sentiment(T.sentiment(text)), bad=E.any_word(text, BAD), good=E.any_word(text, GOOD))
+    own = E.own_news(own, p.dated_news, on="day", sentiment=T.unit_sentiment(T.sentiment(text)), bad=any_word(text, BAD), good=any_word(text, GOOD))
     return staged(own, "moves")
 
 

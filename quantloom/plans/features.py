@@ -117,32 +117,43 @@ def f14(p):
     return analyst.target_features(p.reports)
 
 
-OUT = """
-ob AS (SELECT report_id, symbol, report_date, analyst, broker, price, target, coalesce(b.close, price) AS base FROM rep ASOF LEFT JOIN (SELECT symbol AS s, date AS d, close FROM px) b ON symbol = s AND report_date <= d),
-o1 AS (SELECT ob.*, round(b.close / nullif(base, 0) - 1 + 1e-9, 6) AS return_1m FROM ob ASOF LEFT JOIN (SELECT symbol AS s, date AS d, close FROM px) b ON symbol = s AND CAST(report_date + INTERVAL 1 MONTH AS DATE) <= d),
-o3 AS (SELECT o1.*, round(b.close / nullif(base, 0) - 1 + 1e-9, 6) AS return_3m FROM o1 ASOF LEFT JOIN (SELECT symbol AS s, date AS d, close FROM px) b ON symbol = s AND CAST(report_date + INTERVAL 3 MONTH AS DATE) <= d),
-outc AS (SELECT o3.*, round(b.close / nullif(base, 0) - 1 + 1e-9, 6) AS return_6m FROM o3 ASOF LEFT JOIN (SELECT symbol AS s, date AS d, close FROM px) b ON symbol = s AND CAST(report_date + INTERVAL 6 MONTH AS DATE) <= d)
+_MONTHS = (0, *analyst.MONTHS)
+OUT = f"""
+o0 AS (SELECT report_id, symbol, report_date, analyst, broker, price, target, m, CAST(report_date + to_months(m::INT) AS DATE) AS due FROM rep, (SELECT unnest([{", ".join(map(str, _MONTHS))}]) AS m)),
+o1 AS (SELECT o0.*, b.close, b.d, x.level FROM o0 ASOF LEFT JOIN (SELECT symbol AS s, date AS d, close FROM px) b ON symbol = s AND due <= d ASOF LEFT JOIN (SELECT date AS bd, close AS level FROM idx WHERE benchmark = 'MAIN') x ON due <= bd),
+o2 AS (SELECT report_id, symbol, report_date, analyst, broker, price, target, {", ".join(f"max(close) FILTER (m = {m}) AS price_{m}m, max(level) FILTER (m = {m}) AS level_{m}" for m in _MONTHS)}, coalesce(max(d) FILTER (m = 0), report_date) AS base_date, coalesce(max(close) FILTER (m = 0), price) AS base FROM o1 GROUP BY report_id, symbol, report_date, analyst, broker, price, target),
+dd AS (SELECT report_id, {", ".join(f"min(close / top - 1) FILTER (date <= CAST(report_date + INTERVAL {m} MONTH AS DATE)) AS fall_{m}" for m in analyst.DRAWDOWN)} FROM (
+  SELECT report_id, report_date, date, close, max(close) OVER (PARTITION BY report_id ORDER BY date) AS top FROM o2 JOIN px USING (symbol) WHERE date >= base_date AND date <= CAST(report_date + INTERVAL 6 MONTH AS DATE)) GROUP BY report_id),
+th AS (SELECT report_id, min(date) AS target_hit_date FROM rep JOIN px USING (symbol) WHERE date > report_date AND date <= CAST(report_date + INTERVAL 24 MONTH AS DATE) AND high >= target GROUP BY report_id),
+outc AS (SELECT report_id, symbol, report_date, analyst, broker, price, target, base, {", ".join(f"price_{m}m, round(price_{m}m / base - 1 + 1e-9, 6) AS return_{m}m" for m in analyst.MONTHS)},
+  {", ".join(f"round(level_{m} / level_0 - 1 + 1e-9, 6) AS benchmark_return_{m}m, round((price_{m}m / base - 1) - (level_{m} / level_0 - 1) + 1e-9, 6) AS excess_return_{m}m" for m in analyst.EXCESS)},
+  {", ".join(f"round(fall_{m} + 1e-9, 6) AS max_drawdown_{m}m" for m in analyst.DRAWDOWN)}, target_hit_date, date_diff('day', report_date, target_hit_date)::INT AS target_hit_days,
+  {", ".join(f"coalesce(target_hit_date <= CAST(report_date + INTERVAL {m} MONTH AS DATE), false) AS target_hit_{m}m" for m in (6, 12))} FROM o2 LEFT JOIN dd USING (report_id) LEFT JOIN th USING (report_id))
 """
 
 
+def _outcomes(p):
+    return analyst.outcomes(p.reports, p.prices, p.index.where("benchmark = 'MAIN'"))
+
+
 @query("f15_analyst_outcomes", "SELECT * FROM outc", OUT)
 def f15(p):
-    return analyst.outcomes(p.reports, p.prices)
+    return _outcomes(p)
 
 
-_DIR = "avg((coalesce(w >= 0, false) = coalesce(return_{}m >= 0, false))::INT::DOUBLE)"
+_DIR = "avg((coalesce(target / nullif(price, 0) - 1 >= 0, false) = coalesce(return_{}m >= 0, false))::INT::DOUBLE)"
 SCORES = f"""
-a0 AS (SELECT *, target / base - 1 AS w FROM outc),
-a1 AS (SELECT *, return_6m - w AS error FROM a0),
-a2 AS (SELECT analyst, broker, count(*) AS n_reports, round(sqrt(avg(error * error)) + 1e-9, 6) AS rmse, round(avg(abs(error)) + 1e-9, 6) AS mae, round(avg(error) + 1e-9, 6) AS bias, round(stddev_pop(error) + 1e-9, 6) AS error_std,
-  round({_DIR.format(3)} + 1e-9, 6) AS direction_3m, round({_DIR.format(6)} + 1e-9, 6) AS direction_6m, round(avg(coalesce(return_6m >= w, false)::INT::DOUBLE) + 1e-9, 6) AS hit_rate FROM a1 GROUP BY analyst, broker HAVING count(*) >= 3),
-ascore AS (SELECT *, round(0.35::DOUBLE * coalesce(direction_6m, 0.5) + 0.25::DOUBLE * coalesce(direction_3m, 0.5) + 0.25::DOUBLE * coalesce(hit_rate, 0.0) + 0.15::DOUBLE * (1 - greatest(0.0, least(1.0, coalesce(mae, 0.5) / 0.5))) + 1e-9, 6) AS reliability FROM a2)
+a1 AS (SELECT *, target / nullif(price_12m, 0) - 1 AS error FROM outc),
+a2 AS (SELECT analyst, broker, count(*) AS n_reports, count(*) FILTER (report_date >= (SELECT max(report_date) FROM outc) - 365) AS n_recent, round(sqrt(avg(error * error)) + 1e-9, 6) AS rmse, round(avg(abs(error)) + 1e-9, 6) AS mae, round(avg(error) + 1e-9, 6) AS bias, round(stddev_pop(error) + 1e-9, 6) AS error_std,
+  {", ".join(f"round({_DIR.format(m)} + 1e-9, 6) AS direction_{m}m, round(avg(target_hit_{m}m::INT::DOUBLE) + 1e-9, 6) AS hit_rate_{m}m, round(avg(excess_return_{m}m) + 1e-9, 6) AS avg_excess_{m}m" for m in (6, 12))} FROM a1 GROUP BY analyst, broker HAVING count(*) >= 5),
+ascore AS (SELECT *, round(greatest(0.0, least(1.0, 0.30::DOUBLE * coalesce(direction_12m, 0.5) + 0.15::DOUBLE * coalesce(direction_6m, 0.5) + 0.20::DOUBLE * coalesce(hit_rate_12m, 0.0) + 0.10::DOUBLE * coalesce(hit_rate_6m, 0.0)
+  + 0.15::DOUBLE * CASE WHEN avg_excess_12m IS NULL THEN 0.5 ELSE greatest(0.0, least(1.0, (avg_excess_12m + 0.2) / 0.4)) END + 0.10::DOUBLE * (1 - CASE WHEN mae IS NULL THEN 0.5 ELSE greatest(0.0, least(1.0, mae / 0.5)) END))) + 1e-9, 6) AS reliability FROM a2 WHERE n_recent > 0)
 """
 
 
 @query("f16_analyst_scores", "SELECT * FROM ascore", OUT, SCORES)
 def f16(p):
-    return analyst.analyst_scores(analyst.outcomes(p.reports, p.prices))
+    return analyst.analyst_scores(_outcomes(p))
 
 
 _W90, _W30 = ("OVER (PARTITION BY symbol ORDER BY report_date RANGE BETWEEN INTERVAL {} DAYS PRECEDING AND CURRENT ROW)".format(n) for n in (89, 29))
