@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licences import RULES, SENTENCES
+from .licences import ALONE, RULES, SENTENCES, longer
 
 
 def _words(sentence: str) -> str:
@@ -24,10 +24,20 @@ def oracle() -> str:
     line = lambda seq: _quoted("% " + " % ".join(seq) + " %")
     spaced = "line LIKE {0}"
     case = "".join(f"WHEN {spaced.format(line(seq))} THEN '{name}' " if seq else f"ELSE '{name}' " for name, seq in RULES)
-    held = ", ".join(f"CASE WHEN {spaced.format(line(seq))} THEN '{name}' END" for name, seq in RULES if seq)
+
+
+    def without(seq: tuple[str, ...], name: str) -> str:
+        """The line, one space between identifiers, without the sentences that longer rules use."""
+        out = "' ' || array_to_string(ids, ' ') || ' '"
+        for own in longer(seq, name):
+            out = f"regexp_replace({out}, {_quoted(' ' + ' (.*? )??'.join(own) + ' ')}, {_quoted(' ' + ''.join(f'{chr(92)}{i}' for i in range(1, len(own))))}, 'g')"
+        return f"replace({out}, ' ', '  ')"
+
+    held = lambda alone: ", ".join(f"CASE WHEN {without(seq, name)} LIKE {line(seq)} THEN '{name}' END" for name, seq in RULES if seq and (name in ALONE) == alone)
     name = "[A-Za-z0-9][A-Za-z0-9.+-]*"
     tag = rf"(?:SPDX|spdx)-[Ll]icense-[Ii]dentifier:[ \t]*(\(*{name}\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*{name}\)*)*)"
     steps = (
+        (r"([^ \t\n])[ \t]+[-|\x{2012}-\x{2015}][ \t]+([^ \t\n])", r"\1 ; \2"), (r"([^ \t\n])[ \t]+[(<]", r"\1 ; "),
         (r"[/|\x{A0}\x{AB}\x{BB}\x{2010}-\x{2027}]", " "),
         (r"\x{A9}", " c "), (r"\r\n?", "\n"), (r"(^|[^0-9a-z])v\.[ \n]", r"\1v "),
         (r"(^|[\n:;])([\x00-\x09\x0B-\x2F\x3C-\x60\x7B-\x7F]*)([0-9]{1,2}|[a-z]|[ivx]{2,4})[.)][ \t]", r"\1\2 \3 ; "),
@@ -44,11 +54,12 @@ a AS (SELECT doc_id, pos, pieces, unnest(range(1, len(pieces) + 1)) AS i FROM q)
 r AS (SELECT doc_id, pos, pieces, i, unnest(range(i, least(len(pieces), i + 120) + 1)) AS j FROM a),
 t AS (SELECT doc_id, pos, i, j, array_to_string(pieces[i:j], ' ') AS s FROM r),
 k(n, s) AS (VALUES {values}),
-m AS (SELECT doc_id, pos, i, j, coalesce(n, CASE {slots}END) AS id FROM t LEFT JOIN k USING (s)),
-l AS (SELECT doc_id, pos, i, max(j) AS j, arg_max(id, j) AS id FROM m WHERE id IS NOT NULL GROUP BY doc_id, pos, i),
+m AS (SELECT doc_id, pos, i, j, n IS NULL AS open, coalesce(n, CASE {slots}END) AS id FROM t LEFT JOIN k USING (s)),
+e AS (SELECT doc_id, pos, i, id, CASE WHEN open THEN min(j) ELSE max(j) END AS j FROM m WHERE id IS NOT NULL GROUP BY doc_id, pos, i, id, open),
+l AS (SELECT doc_id, pos, i, max(j) AS j, arg_max(id, j) AS id FROM e GROUP BY doc_id, pos, i),
 o AS (SELECT * FROM l WHERE NOT EXISTS (SELECT 1 FROM l AS e WHERE e.doc_id = l.doc_id AND e.pos = l.pos AND e.i < l.i AND l.i <= e.j)),
 ids AS (SELECT doc_id, list(id ORDER BY pos, i) AS ids FROM o GROUP BY doc_id),
 g AS (SELECT doc_id, coalesce(ids, []) AS ids, [x for x in flatten([regexp_extract_all(y, '{name}') for y in regexp_extract_all(raw, {_quoted(tag)}, 1)]) if x NOT IN ('AND', 'OR', 'WITH')] AS tags FROM n LEFT JOIN ids USING (doc_id)),
-w AS (SELECT *, '  ' || array_to_string(ids, '  ') || '  ' AS line FROM g)
+w AS (SELECT *, '  ' || array_to_string(ids, '  ') || '  ' AS line, list_concat(tags, [x for x in [{held(False)}] if x IS NOT NULL]) AS named FROM g)
 SELECT doc_id, CASE WHEN len(tags) > 0 THEN tags[1] WHEN len(ids) = 0 THEN NULL {case}END AS licence,
-  array_to_string(list_sort(list_distinct(list_concat(tags, [x for x in [{held}] if x IS NOT NULL]))), ',') AS licences, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids FROM w"""
+  array_to_string(list_sort(list_distinct(CASE WHEN len(named) > 0 THEN named ELSE [x for x in [{held(True)}] if x IS NOT NULL] END)), ',') AS licences, len(ids)::BIGINT AS n_sentences, array_to_string(ids, ',') AS sentence_ids FROM w"""

@@ -2,7 +2,8 @@
 
 A text is normalised to words with two kinds of marks: hard ones where a
 sentence must end (a full stop, a line without words) and soft ones where it
-may (a line end, a colon, a semicolon, a list number).  A known sentence is
+may (a line end, a colon, a semicolon, a list number, a dash or bar between
+words, an opening bracket).  A known sentence is
 recognised if it starts and ends at marks; soft marks inside it do not matter,
 so wrapped, indented and commented licence texts read like plain ones.  The
 sequence of a text's sentence identifiers is matched against ordered rules.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower
 
 # Sentences of published licences and notices, as they are written there, and their identifiers.
-# <*> stands for up to twenty words, <year> for a year; both stay within one sentence.
+# <*> stands for up to sixty words, <year> for a year; both stay within one sentence.
 SENTENCES = (
     ("MitTitle", "MIT License"),
     ("MitTitle", "The MIT License"),
@@ -31,6 +32,15 @@ SENTENCES = (
     ("MitRelease", "Licensed under the MIT License"),
     ("MitRelease", "This project is licensed under the MIT License"),
     ("MitRelease", "Distributed under the MIT License"),
+    ("MitRelease", "Released under the terms of the MIT License"),
+    ("MitRelease", "Licensed under the terms of the MIT License"),
+    ("MitRelease", "This project is released under the MIT License"),
+    ("MitRelease", "This software is licensed under the MIT License"),
+    ("MitRelease", "This software is released under the MIT License"),
+    ("MitRelease", "This software is released under the terms of the MIT License"),
+    ("EitherOf", "Licensed under either of"),
+    ("DualApacheMit", "Licensed under either of Apache License, Version 2.0 or MIT license"),
+    ("DualApacheMit", "Licensed under either of Apache License, Version 2.0 or MIT license at your option."),
     ("MitGrant", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
     ("MitNotice", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("MitNotice", "The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software."),
@@ -51,6 +61,7 @@ SENTENCES = (
     ("ApacheRef2", "This project is licensed under the Apache License, Version 2.0"),
     ("ApacheRef2", "Licensed under the Apache License 2.0"),
     ("ApacheRef2", "This project is licensed under the Apache License 2.0"),
+    ("ApacheName2", "Apache License, Version 2.0"),
     ("ApacheUse", "you may not use this file except in compliance with the License."),
     ("ApacheUse", "You may not use this file except in compliance with the License"),
     ("ApacheCopy", "You may obtain a copy of the License at"),
@@ -58,6 +69,7 @@ SENTENCES = (
     ("ApacheTerms", "See the License for the specific language governing permissions and limitations under the License."),
     ("GplTitle", "GNU GENERAL PUBLIC LICENSE"),
     ("LgplTitle", "GNU LESSER GENERAL PUBLIC LICENSE"),
+    ("LibraryTitle", "GNU LIBRARY GENERAL PUBLIC LICENSE"),
     ("AgplTitle", "GNU AFFERO GENERAL PUBLIC LICENSE"),
     ("Version3June2007", "Version 3, 29 June 2007"),
     ("Version3Nov2007", "Version 3, 19 November 2007"),
@@ -70,15 +82,19 @@ SENTENCES = (
     ("GplRef2", "Licensed under the GNU General Public License, version 2"),
     ("GplRef2", "Released under the GNU General Public License, version 2"),
     ("GplLater3", "<*> is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GplLater3", "<*> is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3, or (at your option) any later version."),
     ("GplOnly3", "<*> is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License."),
     ("GplOnly3", "<*> is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3."),
     ("GplOnly3", "<*> is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License version 3 as published by the Free Software Foundation."),
     ("GplLater2", "<*> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GplLater2", "<*> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2, or (at your option) any later version."),
     ("GplOnly2", "<*> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License."),
     ("GplOnly2", "<*> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2."),
     ("GplOnly2", "<*> is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
     ("LgplLater3", "<*> is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LgplOnly3", "<*> is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, version 3 of the License."),
+    ("LibraryLater2", "<*> is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LibraryLater2", "<*> is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2, or (at your option) any later version."),
     ("LgplLater21", "<*> is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("LgplOnly21", "<*> is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; version 2.1 of the License."),
     ("AgplLater3", "<*> is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
@@ -98,6 +114,8 @@ SENTENCES = (
     ("MplRef2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("MplRef2", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
     ("MplCopy", "If a copy of the MPL was not distributed with this file, You can obtain one at <*>"),
+    ("MplRef11", 'The contents of this file are subject to the Mozilla Public License Version 1.1 (the "License")'),
+    ("MplTitle11", "Mozilla Public License Version 1.1"),
     ("MplTitle2", "Mozilla Public License Version 2.0"),
     ("UnlicenseGrant", "This is free and unencumbered software released into the public domain."),
     ("UnlicenseUse", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
@@ -129,8 +147,12 @@ RULES = (
     ("Apache-2.0", ("ApacheTitle", "ApacheVersion2", "ApacheConditions")),
     ("Apache-2.0", ("ApacheTitle2", "ApacheConditions")),
     ("Apache-2.0", ("ApacheRef2",)),
+    ("Apache-2.0", ("DualApacheMit",)),
+    ("Apache-2.0", ("EitherOf", "ApacheName2")),
     ("MIT", ("MitGrant", "MitNotice", "MitWarranty")),
     ("MIT", ("MitRelease",)),
+    ("MIT", ("DualApacheMit",)),
+    ("MIT", ("EitherOf", "MitTitle")),
     ("MIT", ("MitTitle", "MitGrant")),
     ("MIT", ("MitTitle", "Copyright")),
     ("ISC", ("IscGrant", "IscWarranty")),
@@ -142,6 +164,8 @@ RULES = (
     ("LGPL-3.0-or-later", ("LgplLater3",)),
     ("LGPL-3.0-only", ("LgplOnly3",)),
     ("LGPL-3.0-only", ("LgplTitle", "Version3June2007")),
+    ("LGPL-2.0-or-later", ("LibraryLater2",)),
+    ("LGPL-2.0-only", ("LibraryTitle", "Version2June1991")),
     ("LGPL-2.1-or-later", ("LgplLater21",)),
     ("LGPL-2.1-only", ("LgplOnly21",)),
     ("LGPL-2.1-only", ("LgplTitle", "Version21Feb1999")),
@@ -158,6 +182,8 @@ RULES = (
     ("BSD-2-Clause", ("BsdGrant", "BsdSource", "BsdBinary")),
     ("MPL-2.0", ("MplRef2",)),
     ("MPL-2.0", ("MplTitle2",)),
+    ("MPL-1.1", ("MplRef11",)),
+    ("MPL-1.1", ("MplTitle11",)),
     ("Unlicense", ("UnlicenseGrant", "UnlicenseUse")),
     ("BSL-1.0", ("BoostTitle",)),
     ("BSL-1.0", ("BoostRef",)),
@@ -175,10 +201,15 @@ RULES = (
     ("UnmatchedLicence", ()),
 )
 
+#: Rules that only count where no other one holds.
+ALONE = ("Proprietary",)
+
 #: What is no word: ASCII other than letters and digits.
 NO_WORD = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
 # The steps of the normalisation, in order: pattern and replacement.
 STEPS = (
+    (r"([^ \t\n])[ \t]+[-|\x{2012}-\x{2015}][ \t]+([^ \t\n])", "$1 ; $2"),
+    (r"([^ \t\n])[ \t]+[(<]", "$1 ; "),
     (r"[/|\xA0\xAB\xBB\x{2010}-\x{2027}]", " "),
     (r"\xA9", " c "),
     (r"\r\n?", "\n"),
@@ -221,7 +252,7 @@ def plain_words(sentence: str) -> list[str]:
 
 
 _GAP = r" (?:/ )?"
-_SLOT = r"[^ |]+(?: [^ |]+){0,19}?"
+_SLOT = r"[^ |]+(?: [^ |]+){0,59}?"
 _YEAR = r"(?:19|20)[0-9][0-9]"
 
 
@@ -285,10 +316,39 @@ def licence_of(ids: Column, tags: Column, rules=RULES) -> Column:
     return out
 
 
+def longer(seq: tuple[str, ...], name: str, rules=RULES) -> list[tuple[str, ...]]:
+    """Sequences of other licences that have all of ``seq`` in its order and more, the longest first."""
+
+    def has(own: tuple[str, ...]) -> bool:
+        left = iter(own)
+        return all(x in left for x in seq)
+
+    found = {own for other, own in rules if other != name and len(own) > len(seq) and has(own)}
+    return sorted(found, key=lambda own: (-len(own), own))
+
+
+def without_pattern(seq: tuple[str, ...]) -> tuple[str, str]:
+    """Pattern and replacement that take a sequence out of a line and leave what stands between."""
+    return " " + " (.*? )??".join(seq) + " ", " " + "".join(f"${i}" for i in range(1, len(seq)))
+
+
 def licences_of(ids: Column, tags: Column, rules=RULES) -> Column:
-    """Names of all tags and of all rules that hold, sorted."""
-    held = F.array(*[F.when(_line(ids).rlike(rule_pattern(seq)), F.lit(name)) for name, seq in rules if seq])
-    return F.array_sort(F.array_distinct(F.concat(tags, F.filter(held, lambda x: x.isNotNull()))))
+    """Names of all tags and of all rules that hold, sorted.
+
+    Sentences that a longer rule uses do not count for a rule that it
+    contains; a rule of ALONE counts only where no other does.
+    """
+
+    def held(name: str, seq: tuple[str, ...]) -> Column:
+        line = _line(ids)
+        for own in longer(seq, name, rules):
+            pattern, left = without_pattern(own)
+            line = F.regexp_replace(line, pattern, left)
+        return F.when(line.rlike(rule_pattern(seq)), F.lit(name))
+
+    some = lambda alone: F.filter(F.array(*[held(name, seq) for name, seq in rules if seq and (name in ALONE) == alone]), lambda x: x.isNotNull())
+    named = F.concat(tags, some(False))
+    return F.array_sort(F.array_distinct(F.when(F.size(named) > 0, named).otherwise(some(True))))
 
 
 def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

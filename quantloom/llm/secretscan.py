@@ -16,7 +16,8 @@ import base64
 import binascii
 import json
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of [0-9a-f]+ with at least 32 cha
 ANY_HEX, UPPER_HEX = re.compile(r"[0-9A-Fa-f]{32,}"), re.compile(r"[0-9A-F]{32,}")  # candidates of added kinds
 PARTS = re.compile(r"\.[A-Za-z0-9_-]+\.")  # any dotted run of three parts has one
 DOTTED = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)++\.?")  # runs of base64url parts
+GLUED = re.compile(r"[_-](e[yw][A-Za-z0-9+/]+)$")  # a JSON object's base64 behind a prefix
 FRAME = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----")
 HEADER = re.compile(r"(?m)^[ \t]*([A-Za-z-]+):[ \t]*(.*?)[ \t\r]*$")
 CIPHER = re.compile(r"([A-Z0-9-]+),([0-9A-F]+|[0-9a-f]+)")
@@ -71,11 +73,15 @@ def tlv(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     return (tag, start, start + n) if start + n <= end else None
 
 
+#: No key has more elements beside each other.
+MOST_PARTS = 16
+
+
 def children(data: bytes, start: int, end: int) -> list[tuple[int, int, int]] | None:
-    """Elements that fill data[start:end] exactly."""
+    """Elements that fill data[start:end] exactly; None if they do not, or are too many for a key."""
     out = []
     while start < end:
-        if (x := tlv(data, start, end)) is None:
+        if len(out) == MOST_PARTS or (x := tlv(data, start, end)) is None:
             return None
         out.append(x)
         start = x[2]
@@ -119,7 +125,7 @@ def _is_inner_key(data: bytes, algorithm: bytes, start: int, end: int) -> bool:
     return algorithm not in EDWARDS or (one[0] == OCTETS and one[2] - one[1] == EDWARDS[algorithm])
 
 
-def is_private_der(data: bytes) -> bool:
+def is_private_der(data) -> bool:
     """Whether data is one DER private key: PKCS#1, DSA, SEC1 or PKCS#8, plain or encrypted."""
     parts = _fields(data, 0, len(data))
     if not parts:
@@ -136,7 +142,7 @@ def is_private_der(data: bytes) -> bool:
     return False
 
 
-def openssh_end(data: bytes) -> int | None:
+def openssh_end(data) -> int | None:
     """Where an OpenSSH private key ends: magic, three length-prefixed strings, a count, then that many strings and one more."""
     if not data.startswith(OPENSSH):
         return None
@@ -183,9 +189,15 @@ def signed_tokens(text: str) -> list[tuple[int, int]]:
         parts, at, k = m[0].split("."), m.start(), 0
         while k + 2 < len(parts):
             # the shortest header that names an algorithm has 14 characters, an empty claim set 3
-            step = 3 if len(parts[k]) >= 14 and len(parts[k + 1]) >= 3 and is_signed_token(".".join(parts[k : k + 3])) else 1
+            step, skip = 1, 0
+            if len(parts[k]) >= 14 and len(parts[k + 1]) >= 3:
+                glued = GLUED.search(parts[k])  # a prefix such as sk_ before the header
+                for skip in (0, *((glued.start(1),) if glued else ())):
+                    if len(parts[k]) - skip >= 14 and is_signed_token(".".join((parts[k][skip:], *parts[k + 1 : k + 3]))):
+                        step = 3
+                        break
             if step == 3:
-                out.append((at, at + sum(map(len, parts[k : k + 3])) + 2))
+                out.append((at + skip, at + sum(map(len, parts[k : k + 3])) + 2))
             at += sum(map(len, parts[k : k + step])) + step
             k += step
     return out
@@ -213,28 +225,60 @@ def framed_keys(text: str) -> list[tuple[int, int]]:
     return out
 
 
+class Coded:
+    """Bytes of a base64 text from a character on, decoded where they are looked at: judging a candidate costs its fields, not its size."""
+
+    HEAD = 144  # characters decoded at once
+
+    def __init__(self, text: str, at: int, size: int | None = None) -> None:
+        self.text, self.at = text, at
+        self.size = (len(text) - at) * 6 // 8 if size is None else size
+        self.head = self._decoded(at, at + self.HEAD)[: self.size]
+
+    def _decoded(self, a: int, b: int) -> bytes:
+        own = self.text[a:b]
+        return base64.b64decode(own[: len(own) - (len(own) % 4 == 1)] + "=" * (-len(own) % 4))
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, place):
+        if isinstance(place, int):
+            return self.head[place] if place < len(self.head) else self[place : place + 1][0]
+        a, b = place.start or 0, min(self.size if place.stop is None else place.stop, self.size)
+        if b <= len(self.head):
+            return self.head[a:b]
+        return self._decoded(self.at + a // 3 * 4, self.at + -(-b // 3) * 4)[a % 3 : a % 3 + b - a] if a < b else b""
+
+    def startswith(self, head: bytes) -> bool:
+        return self[: len(head)] == head
+
+
+def key_size(data: Coded) -> int | None:
+    """The bytes that a key's own lengths ask for; None if it starts like none."""
+    if data[:1] == b"\x30":
+        top = tlv(data, 0, 1 << 16) if len(data) > 6 else None  # lengths beyond 64 KiB are no key's
+        return top[2] if top and data[top[1] : top[1] + 1] in (b"\x02", b"\x30") else None
+    return openssh_end(data)
+
+
 def wrapped_keys(text: str) -> list[tuple[int, int]]:
     """(start, end) of keys whose base64 is wrapped over lines, without a frame; the encoding's own length says where they end."""
     out = []
     for run in WRAPPED.finditer(text):
         lines = [(m.start(), m.end()) for m in LINE.finditer(text, *run.span())]
+        bodies = [text[a:b].rstrip("=") for a, b in lines]
+        whole = "".join(bodies).replace("-", "+").replace("_", "/")
+        before = [0, *accumulate(map(len, bodies))]
+        padded = [i for i, (a, b) in enumerate(lines) if b - a > len(bodies[i])]  # only a key's last line may be
         k = 0
         while k < len(lines) - 1:
-            head = decode64(text[lines[k][0] : min(lines[k][0] + 16, lines[k][1])]) or b""
-            size = None
-            if head[:1] == b"\x30":
-                first = tlv(head + bytes(1 << 16), 0, 1 << 16)  # lengths beyond 64 KiB are no key's
-                size = first and first[2]
-                if size and head[first[1] : first[1] + 1] not in (b"\x02", b"\x30"):
-                    size = None
-            elif head == OPENSSH[: len(head)] and head:
-                size = openssh_end(decode64("".join(text[a:b] for a, b in lines[k:]).split("=")[0][: 1 << 18]) or b"")
-            last, chars = k, 0
+            size = key_size(Coded(whole, before[k]))
             if size:
-                need = -(-size * 8 // 6)
-                while last < len(lines) and (chars := chars + len(text[slice(*lines[last])].rstrip("="))) < need:
-                    last += 1
-                if k < last < len(lines) and chars == need and is_key(decode64("".join(text[a:b] for a, b in lines[k : last + 1]))):
+                stop = before[k] + -(-size * 8 // 6)
+                last = bisect_left(before, stop, k + 1) - 1
+                pad = bisect_left(padded, k)
+                if k < last < len(lines) and before[last + 1] == stop and (pad == len(padded) or padded[pad] >= last) and is_key(Coded(whole, before[k], size)):
                     out.append((lines[k][0], lines[last][1]))
                     k = last
             k += 1

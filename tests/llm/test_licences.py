@@ -154,6 +154,47 @@ def test_every_sentence_and_rule_is_reachable(spark):
     assert [(name, seq, got[i].licences) for i, (name, seq) in enumerate(rules) if name not in got[i].licences.split(",")] == []
 
 
+NOTICES = {
+    "This project is licensed under the MIT License - see the LICENSE file for details.": "MIT",
+    "This project is licensed under the MIT License \u2013 see [LICENSE](LICENSE) for details.": "MIT",
+    "This software is released under the terms of the MIT license.": "MIT",
+    "/*! tool v1.2.3 | (c) Some Body | Released under the MIT license */": "MIT",
+    "Licensed under the MIT License (see LICENSE)": "MIT",
+    "Licensed under either of Apache License, Version 2.0 or MIT license": "Apache-2.0,MIT",
+    "Licensed under either of\n\n * Apache License, Version 2.0\n   (LICENSE-APACHE or http://www.apache.org/licenses/LICENSE-2.0)\n * MIT license\n   (LICENSE-MIT)\n\nat your option.": "Apache-2.0,MIT",
+    "Licensed under the Apache License, Version 2.0 <LICENSE-APACHE or https://www.apache.org/licenses/LICENSE-2.0>": "Apache-2.0",
+    gpl("", "2", old=True).replace("version 2 of the License,", "version 2,"): "GPL-2.0-or-later",
+    gpl("Library ", "2", old=True): "LGPL-2.0-or-later",
+    'The contents of this file are subject to the Mozilla Public License Version\n1.1 (the "License"); you may not use this file except in compliance with\nthe License.': "MPL-1.1",
+    "Copyright (c) 2020 Some Body. All rights reserved.": "Proprietary",
+    "Copyright 2020 " + "Name " * 40 + "\nAll rights reserved": "Proprietary",
+    TEXTS["BSD-3-Clause"]: "BSD-3-Clause",
+    TEXTS["BSD-2-Clause"]: "BSD-2-Clause",
+    TEXTS["BSD-2-Clause"] + "\n\n" + TEXTS["BSD-3-Clause"]: "BSD-2-Clause,BSD-3-Clause",
+    TEXTS["BSD-3-Clause"] + "\n\n" + TEXTS["BSD-3-Clause"]: "BSD-3-Clause",
+    TEXTS["BSD-3-Clause"] + "\n\n" + MIT: "BSD-3-Clause,MIT",
+}
+
+
+def test_all_licences_of_notices_and_contained_rules(spark):
+    got = scan(spark, list(NOTICES))
+    assert [(t, got[i].licences) for i, (t, want) in enumerate(NOTICES.items()) if got[i].licences != want] == []
+
+
+def test_twin_agrees_on_texts_and_notices(spark):
+    import duckdb
+    import pyarrow as pa
+
+    texts = [*NOTICES, *(put(t) for t in TEXTS.values() for put in DRESSES.values()), None, ""]
+    got = {i: (r.licence, r.licences, r.n_sentences, r.sentence_ids) for i, r in scan(spark, texts).items()}
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": pa.array(texts, pa.string())}))
+    from quantloom.llm.licence_sql import oracle
+
+    want = {r[0]: r[1:] for r in con.execute(oracle()).fetchall()}
+    assert [(texts[i], got[i], want[i]) for i in want if got[i] != want[i]] == [] and len(want) == len(texts)
+
+
 def test_tags(spark):
     texts = ["// SPDX-License-Identifier: MIT", "# SPDX-License-Identifier: (MIT OR Apache-2.0) -->", "/* SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 */", "no SPDX-License-Identifier here", "SPDX-License-Identifier: MIT see below\n" + APACHE]
     got = scan(spark, texts)

@@ -98,6 +98,37 @@ def test_hostile_texts_take_linear_time():
         assert time.perf_counter() - start < 3, text[:30]
 
 
+def key_like(n, make):
+    """Lines that each start like a key whose length leads to some later line's end."""
+    rng = random.Random(1)
+    return "\n".join(base64.b64encode(make(rng)).decode().rstrip("=").ljust(64, "A")[:64] for _ in range(n))
+
+
+def test_key_like_lines_take_linear_time():
+    ssh_head = b"openssh-key-v1\0" + (4).to_bytes(4, "big") + b"none" + (4).to_bytes(4, "big") + b"none" + bytes(4) + (1).to_bytes(4, "big") + (200).to_bytes(4, "big")
+    der = lambda n: b"\x30\x82" + n.to_bytes(2, "big") + b"\x02\x01\x00\x02\x82" + (n - 100).to_bytes(2, "big")
+    heads = [lambda r: ssh_head, lambda r: der(65_000), lambda r: der(48 * r.randint(10, 1300) - 4), lambda r: b"\x30\x82\xff\x00" + b"\x02\x00" * 22, lambda r: b"\x30\x82" + (48 * 400 - 4).to_bytes(2, "big") + b"\x30\x00" * 22]
+    for head in heads:
+        text = key_like(16_000, head)
+        start = time.perf_counter()
+        assert keys(text) == []
+        assert time.perf_counter() - start < 1.5, text[:64]  # 1 MB
+
+
+def test_key_between_key_like_lines():
+    noise = key_like(40, lambda r: b"\x30\x82" + r.randint(300, 5000).to_bytes(2, "big") + b"\x02\x01\x00")
+    for make in (pkcs1, sec1, ssh):
+        body = wrapped(std(make()), 64)
+        assert keys(noise + "\n" + body + "\n" + noise) == [(len(noise) + 1, len(noise) + 1 + len(body))], make
+
+
+def test_token_behind_a_prefix():
+    part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    token = ".".join((part(b'{"alg":"HS256"}'), part(b'{"sub":"x"}'), part(bytes(range(32)))))
+    for prefix in ("sk_", "a-b_", "x_y_sk-"):
+        assert [(a, b) for a, k, b in secretscan.scan("= " + prefix + token) if secretscan.KINDS[k] == "jwt"] == [(2 + len(prefix), 2 + len(prefix) + len(token))]
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert secretscan.digest(secretscan.secrets(none)).count() == 0
