@@ -2,11 +2,13 @@
 
 A page is a stream of structural tokens with text slots.  Repeats beside each
 other fold into repeated groups; the folded streams of a host are aligned one
-after the other, and what does not match becomes an optional group.  The
-result is a union-free regular expression, the host's wrapper.  Every page is
-matched against it, which gives each text a slot.  A slot whose text is the
-same on nearly all pages that have it is the template's; all other slots are
-article text, unless marked as boilerplate.
+after the other, and what does not match becomes an optional group; where
+many optional items follow each other, a repeated group of them.  The result
+is a union-free regular expression, the host's wrapper; it grows with the
+template, not with the pages.  Every page is matched against it, which gives
+each text a slot.  A slot whose text is the same on nearly all pages that have
+it, in a container where nothing varies, is the template's; all other slots,
+and all of article and main elements, are text, unless marked as boilerplate.
 
 Hot hosts: equal folded streams of a host count once, wrappers are merged in
 rounds of salted groups of bounded size, and slots are counted by their text
@@ -18,7 +20,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from difflib import SequenceMatcher
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,10 +36,16 @@ FAN = 64
 CONSTANT_PAGES, CONSTANT_SHARE = 3, 0.9
 #: Longest run of tokens that one repeated group has.
 GROUP = 8
+#: Optional items beside each other that become one repeated group of optional items.
+OPTIONAL_RUN = 8
 
 # Tags that cut no block, whose content is no text, and that are never part of an article.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
-RAW = ("script", "style", "noscript", "template", "svg", "math", "iframe", "object", "textarea", "title", "canvas", "audio", "video", "select", "head")
+RAW = frozenset("script style noscript template svg math iframe object textarea title canvas audio video select".split())
+# Of those, what leaves no gap in a line; what the page's end closes, and what the next tag closes.
+SILENT, TO_THE_END, TO_THE_NEXT = frozenset("script style noscript template".split()), frozenset("script style".split()), frozenset("title textarea".split())
+# What may stand in a head, and in a select; anything else ends them.
+INSIDE = {"head": frozenset("title meta link base script style noscript template object".split()), "select": frozenset("option optgroup hr script template".split())}
 OUTSIDE = frozenset("nav footer aside form button dialog menu input".split())
 MAIN = ("article", "main")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,10 +56,19 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising banner promo
 # Tags that only frame others; a slot's container is the nearest tag beyond them.
 TEXTUAL = frozenset("p br h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table thead tbody tr td th figure figcaption hr center".split())
 
+# Words of readers' comments, and whose or what they may be about; other marks keep the stricter rule.
+COMMENTS = frozenset("comment comments disqus reply replies".split())
+WHOSE = frozenset("user users reader readers visitor visitors guest guests member members post posts article story entry blog news thread all new latest".split())
+# Tags that end a menu which the page never closes, and those that end other boilerplate of that kind.
+AFTER_MENU = frozenset("h1 h2 h3 h4 h5 h6 p div section article main table blockquote pre figure header footer aside".split())
+AFTER_OTHERS = frozenset("h1 h2 section article main".split())
+
 # Marks that an article may use for parts of its own.
 OWN_PARTS = frozenset("header masthead banner".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
+_ATTRS = r"((?:\"[^\"]*\"|'[^']*'|[^'\">])*)"
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*){_ATTRS}>|<[!?][^>]*>|[^<]+|<", re.S)
+CLOSING = re.compile(r"</([a-zA-Z][a-zA-Z0-9:-]*)")
 MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORDS = re.compile(r"[a-z0-9]+")
 
@@ -70,19 +89,71 @@ def marked(attrs: str, within: bool = False) -> bool:
     for a, b, c in MARKED.findall(attrs):
         for name in (a or b or c).lower().split():
             words = set(WORDS.findall(name))
-            if words and words <= MARKS | NEUTRAL and words & (MARKS - OWN_PARTS if within else MARKS):
+            if words <= MARKS | NEUTRAL and words & (MARKS - OWN_PARTS if within else MARKS):
+                return True
+            if words & COMMENTS and words <= MARKS | NEUTRAL | WHOSE:
                 return True
     return False
 
 
+def _pieces(page: str):
+    """(kind, tag, attributes or text) of a page's pieces: text, open and close tags, and raw elements as a whole.
+
+    A raw element that the page does not close ends with the page, at the next
+    tag, or is its start tag alone; no text is searched for an end twice.
+    """
+    at, low, missing = 0, None, set()
+    while at < len(page):
+        m = TOKEN.match(page, at)
+        at = m.end()
+        if m[2] is None:
+            if not m[0].startswith(("<!", "<?")):
+                yield "text", "", m[0]
+            continue
+        tag = m[2].lower()
+        if m[1] or tag not in RAW:
+            yield "close" if m[1] else "open", tag, m[3]
+            continue
+        low = page.lower() if low is None else low
+        stop = -1 if tag in missing else low.find(f"</{tag}", at)
+        if stop >= 0:
+            end = page.find(">", stop)
+            at = len(page) if end < 0 else end + 1
+        else:
+            missing.add(tag)
+            if tag in TO_THE_END:
+                at = len(page)
+            elif tag in INSIDE:  # an element like others, which what can't be in it ends
+                yield "open", tag, m[3]
+                continue
+            elif tag in TO_THE_NEXT:
+                after = page.find("<", at)
+                at = len(page) if after < 0 else after
+        yield "raw", tag, ""
+
+
+class Open(NamedTuple):
+    """An open element and what it inherits from those around it."""
+
+    tag: str
+    bad: bool
+    any_bad: bool
+    main: str | None  # the innermost article or main
+    holder: str  # the innermost element that does more than frame text
+    inner: str | None  # the innermost head or select
+    open_bad: str | None  # the innermost boilerplate that the page never closes
+
+
 def blocks(page: str | None) -> tuple[list[tuple[str, bool, str, int]], list[str]]:
     """Text blocks as (container, inside boilerplate, text, place of its slot's token), and the page's structural tokens."""
     out: list[tuple[str, bool, str, int]] = []
     tokens: list[str] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, name with marks, boilerplate
+    stack: list[Open] = []
+    held: Counter[str] = Counter()  # open elements by tag
     text: list[str] = []
     page = page or ""
-    closes = {t.lower() for t in re.findall(r"</([a-zA-Z][a-zA-Z0-9:-]*)", page)}
+    closes = {t.lower() for t in CLOSING.findall(page)}
+    top = Open("", False, False, None, "body", None, None)
 
     def flush():
         if text:
@@ -91,43 +162,58 @@ def blocks(page: str | None) -> tuple[list[tuple[str, bool, str, int]], list[str
             if own:
                 if not tokens or tokens[-1] != "<#>":
                     tokens.append("<#>")
-                holder = next((n for t, n, _ in reversed(stack) if t in MAIN), None) or next((n for t, n, _ in reversed(stack) if t not in TEXTUAL), "body")
-                out.append((holder, any(x for _, _, x in stack), own, len(tokens) - 1))
-
-    for m in TOKEN.finditer(page):
-        tag = m[3]
-        if tag is None:
-            piece = m[0]
-            if m[1]:
-                if m[1].lower() not in INLINE:
-                    flush()
-            elif not (piece.startswith("<!") or piece.startswith("<?")):
-                text.append(piece)
+                out.append((top.main or top.holder, top.any_bad, own, len(tokens) - 1))
+
+    def pop() -> str:
+        nonlocal top
+        gone = stack.pop().tag
+        held[gone] -= 1
+        top = stack[-1] if stack else Open("", False, False, None, "body", None, None)
+        return gone
+
+    def leave(tag: str) -> None:
+        """Close the innermost element of that tag and all inside it."""
+        flush()
+        while pop() != tag:
+            pass
+        tokens.append(f"</{tag}>")
+
+    for kind, tag, rest in _pieces(page):
+        if top.inner and (kind == "open" and tag not in INSIDE[top.inner] or kind == "text" and top.inner == "head" and rest.strip()):
+            leave(top.inner)
+        if kind == "text":
+            text.append(rest)
+            continue
+        if kind == "raw":
+            if tag not in SILENT:
+                text.append(" ")
             continue
-        tag = tag.lower()
         if tag in INLINE:
             continue
         flush()
-        if m[2]:
-            if any(t == tag for t, _, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
-                tokens.append(f"</{tag}>")
+        if kind == "close":
+            if held[tag]:
+                leave(tag)
             continue
-        marks = _marks(m[4])
+        marks = _marks(rest)
         name = f"{tag}.{marks}" if marks else tag
-        if tag in VOID or m[4].rstrip().endswith("/"):
+        if tag in VOID or rest.rstrip().endswith("/"):
             continue
-        if tag in MAIN and not any(t in MAIN for t, _, _ in stack):
+        if tag in MAIN and not top.main:
             # boilerplate that the page never closes ends where an article starts
-            while stack and stack[-1][2] and stack[-1][0] not in closes:
-                stack.pop()
-        if stack and stack[-1][0] == tag and tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
-            stack.pop()
+            while top.bad and top.tag not in closes:
+                pop()
+        if top.open_bad and tag in (AFTER_MENU if top.open_bad in ("nav", "menu", "button") else AFTER_OTHERS):
+            leave(top.open_bad)
+        if top.tag == tag and tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option"):
+            pop()
             tokens.append(f"</{tag}>")
-        within = any(t in MAIN for t, _, _ in stack)
-        bad = tag in OUTSIDE or (tag == "header" and not within) or (tag not in ("html", "body") and marked(m[4], within))
-        stack.append((tag, name, bad))
+        within = top.main is not None
+        bad = tag in OUTSIDE or tag in INSIDE or (tag == "header" and not within) or (tag not in ("html", "body") and marked(rest, within))
+        never = bad and tag not in closes and (tag in OUTSIDE or tag == "header")
+        top = Open(tag, bad, top.any_bad or bad, name if tag in MAIN else top.main, top.holder if tag in TEXTUAL else name, tag if tag in INSIDE else top.inner, tag if never else top.open_bad)
+        stack.append(top)
+        held[tag] += 1
         tokens.append(f"<{name}>")
     flush()
     return out, tokens
@@ -135,7 +221,7 @@ def blocks(page: str | None) -> tuple[list[tuple[str, bool, str, int]], list[str
 
 #: Elements that may stand alone where others of the host's pages repeat them.
 SINGLE = ("p", "li", "tr", "dt", "dd")
-_ITEM = re.compile(r"\([^()]*\)[+?*]|<[^>]*>")
+_ITEM = re.compile(r"\{[^{}]*\}\*|\([^()]*\)[+?*]|<[^>]*>")
 
 
 def _grouped(items: list[str]) -> str:
@@ -184,21 +270,43 @@ def fold(tokens: list[str]) -> str:
 
 
 def _items(wrapper: str) -> list[tuple[str, bool]]:
-    """(token or repeated group, optional)"""
+    """(token, repeated group or group of optional items, optional)"""
     out = []
     for x in _ITEM.findall(wrapper):
-        kind = x[-1]
-        if x[0] != "(":
-            out.append((x, False))
-        elif kind == "+":
+        if x[0] == "{":
+            out.append((x, True))
+        elif x[0] != "(" or x[-1] == "+":
             out.append((x, False))
-        elif kind == "*":
+        elif x[-1] == "*":
             out.append((x[:-1] + "+", True))
         else:
             out += [(t, True) for t in re.findall(r"<[^>]*>", x)]
     return out
 
 
+def units(group: str) -> frozenset[str]:
+    """The items of a repeated group of optional items, ``{a,b}*``: any of them, in any order, any number of times."""
+    return frozenset(group[1:-2].split(","))
+
+
+def _grouped_runs(items: list[tuple[str, bool]]) -> list[tuple[str, bool]]:
+    """Long runs of optional items, and those beside such a group, as one repeated group."""
+    out, run = [], []
+    for x, optional in [*items, ("", False)]:
+        if optional:
+            run.append(x)
+            continue
+        groups = [r for r in run if r[0] == "{"]
+        if len(run) >= OPTIONAL_RUN or (groups and len(run) > 1):
+            every = frozenset().union(*(units(r) if r[0] == "{" else (r,) for r in run))
+            out.append(("{" + ",".join(sorted(every)) + "}*", True))
+        else:
+            out += [(r, True) for r in run]
+        run = []
+        out.append((x, optional))
+    return out[:-1]
+
+
 def _written(items: list[tuple[str, bool]]) -> str:
     out, run = [], []
     for x, optional in [*items, ("", False)]:
@@ -208,20 +316,22 @@ def _written(items: list[tuple[str, bool]]) -> str:
         if run:
             out.append(f"({''.join(run)})?")
             run = []
-        out.append(x[:-1] + "*" if optional else x)
+        out.append(x[:-1] + "*" if optional and x[0] == "(" else x)
     return "".join(out)
 
 
 def align(a: str, b: str) -> str:
     """The wrapper that covers both: what only one has becomes optional."""
     x, y = _items(a), _items(b)
+    name = lambda t: "{" if t[0] == "{" else t
     out = []
-    for op, i, j, k, m in SequenceMatcher(None, [t for t, _ in x], [t for t, _ in y], autojunk=False).get_opcodes():
+    for op, i, j, k, m in SequenceMatcher(None, [name(t) for t, _ in x], [name(t) for t, _ in y], autojunk=False).get_opcodes():
         if op == "equal":
-            out += [(t, p or q) for (t, p), (_, q) in zip(x[i:j], y[k:m], strict=True)]
+            for (t, p), (u, q) in zip(x[i:j], y[k:m], strict=True):
+                out += [(t, True), (u, True)] if t[0] == "{" and t != u else [(t, p or q)]
         else:
             out += [(t, True) for t, _ in x[i:j]] + [(t, True) for t, _ in y[k:m]]
-    return _written(out)
+    return _written(_grouped_runs(out))
 
 
 @remembered(1 << 12)
@@ -229,20 +339,31 @@ def places(line: str, wrapper: str) -> list[int] | None:
     """The wrapper's item for each item of a folded stream: the first ones with which all of the wrapper matches; None if it does not."""
     have, items = [x for x, _ in _items(line)], _items(wrapper)
     n, m = len(have), len(items)
+    loops = [units(x) if x[0] == "{" else None for x, _ in items]
     ok = [bytearray(m + 1) for _ in range(n + 1)]  # whether the stream from i matches the wrapper from j
     ok[n][m] = 1
     for i in range(n, -1, -1):
         row, x, after = ok[i], have[i] if i < n else None, ok[i + 1] if i < n else None
         for j in range(m - 1, -1, -1):
-            row[j] = (items[j][1] and row[j + 1]) or (x == items[j][0] and after[j + 1])
+            item, optional = items[j]
+            if loops[j] is not None:
+                row[j] = row[j + 1] or bool(after and after[j] and x in loops[j])
+            else:
+                row[j] = (optional and row[j + 1]) or (x == item and after[j + 1])
     if not ok[0][0]:
         return None
     out, j = [], 0
     for i in range(n):
-        while not (items[j][0] == have[i] and ok[i + 1][j + 1]):
+        while True:
+            if loops[j] is not None:
+                if have[i] in loops[j] and ok[i + 1][j]:
+                    out.append(j)
+                    break
+            elif items[j][0] == have[i] and ok[i + 1][j + 1]:
+                out.append(j)
+                j += 1
+                break
             j += 1
-        out.append(j)
-        j += 1
     return out
 
 
@@ -253,19 +374,24 @@ def slots(page: str | None, wrapper: str | None) -> list[tuple[str, bool, str, s
     at = places(line, wrapper) if wrapper is not None and found else None
     if at is None:
         return [(c, bad, t, None) for c, bad, t, _ in found]
+    loops = [x[0] == "{" for x, _ in _items(wrapper)]
     out, k = [], 0
     for c, bad, t, place in found:
         while spans[k][1] <= place:
             k += 1
-        single = spans[k][1] - spans[k][0] == 1
+        single = spans[k][1] - spans[k][0] == 1 and not loops[at[k]]
         out.append((c, bad, t, str(at[k]) if single else f"{at[k]}{tokens[place - 1]}"))
     return out
 
 
+def _in_main(holder: str) -> bool:
+    return holder.split(".")[0] in MAIN
+
+
 def article(found: list[tuple[str, bool, str, str | None]]) -> list[tuple[str, bool, str, str | None]]:
     """The blocks outside boilerplate; of a page whose article or main elements have any, those of them."""
     own = [x for x in found if not x[1]]
-    return [x for x in own if x[0].split(".")[0] in MAIN] or own
+    return [x for x in own if _in_main(x[0])] or own
 
 
 def _merged(lines: DataFrame, salts: int, fan: int) -> DataFrame:
@@ -277,7 +403,8 @@ def _merged(lines: DataFrame, salts: int, fan: int) -> DataFrame:
         own = sorted(frame["wrapper"].tolist())
         wrapper = own[0]
         for line in own[1:]:
-            wrapper = align(wrapper, line)
+            if "{" in line or places(line, wrapper) is None:  # a stream that the wrapper has already changes nothing
+                wrapper = align(wrapper, line)
         return pd.DataFrame([(key[0], wrapper)], columns=["host", "wrapper"])
 
     most = lambda df: df.groupBy("host").count().agg(F.max("count")).first()[0] or 0
@@ -318,17 +445,20 @@ def wrappers(pages: DataFrame, *, url: str = "url", page: str = "html", salts: i
         for batch in batches:
             rows = []
             for host, source, wrapper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                texts: dict[str, list[str]] = {}
-                for _, _, text, slot in article(slots(source, wrapper)):
-                    if slot is not None:
-                        texts.setdefault(slot, []).append(text)
+                texts: dict[tuple[str, str], list[str]] = {}
+                for holder, _, text, slot in article(slots(source, wrapper)):
+                    if slot is not None and not _in_main(holder):
+                        texts.setdefault((holder, slot), []).append(text)
                 name = digest(source or "")
-                rows += [(host, slot, digest("\n".join(t)), name) for slot, t in texts.items()]
-            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["host", "slot", "fill", "page"])
-
-    filled = own.join(merged, "host").select("host", "t", "wrapper").mapInArrow(fills, "host string, slot string, fill long, page long").distinct()
-    counted = filled.groupBy("host", "slot", "fill").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "slot").agg(F.max("n").alias("same"), F.sum("n").alias("all"))
-    constant = counted.where((F.col("all") >= CONSTANT_PAGES) & (F.col("same") >= CONSTANT_SHARE * F.col("all"))).groupBy("host").agg(F.collect_list("slot").alias("template"))
+                rows += [(host, *place, digest("\n".join(t)), name) for place, t in texts.items()]
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))], names=["host", "holder", "slot", "fill", "page"])
+
+    filled = own.join(merged, "host").select("host", "t", "wrapper").mapInArrow(fills, "host string, holder string, slot string, fill long, page long").distinct()
+    counted = filled.groupBy("host", "holder", "slot", "fill").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "holder", "slot").agg(F.max("n").alias("same"), F.sum("n").alias("all"))
+    fixed = (F.col("all") >= CONSTANT_PAGES) & (F.col("same") >= CONSTANT_SHARE * F.col("all"))
+    # beside varying text a line that many pages share may be the article's own
+    quiet = counted.groupBy("host", "holder").agg(F.bool_and(fixed).alias("quiet"), F.collect_list(F.when(fixed, F.col("slot"))).alias("slots"))
+    constant = quiet.where("quiet or holder = 'body'").groupBy("host").agg(F.flatten(F.collect_list("slots")).alias("template"))
     return merged.join(constant, "host", "left").select("host", "wrapper", F.coalesce("template", F.array().cast("array<string>")).alias("template"))
 
 
@@ -336,14 +466,18 @@ def main_text(page: str | None, wrapper: str | None, template: list[str] | None)
     """The page's texts in article slots; those in constant slots stay only if it has no others."""
     own = article(slots(page, wrapper))
     constant = set(template or ())
-    return "\n".join([t for _, _, t, slot in own if slot not in constant] or [t for _, _, t, _ in own])
+    return "\n".join([t for holder, _, t, slot in own if _in_main(holder) or slot not in constant] or [t for _, _, t, _ in own])
 
 
 def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", page: str = "html", salts: int = SALTS) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row.
 
     Null and empty pages give an empty text; pages without host share one
-    wrapper.  Repeated rows repeat their result.  Other columns are ignored.
+    wrapper.  Repeated rows repeat their result; an empty table gives an empty
+    one.  Other columns are ignored.  Elements that a page leaves open end as
+    HTML has it, or before the next part of the page, so no text is lost to
+    them.  A host needs CONSTANT_PAGES different pages before a line without
+    marks can count as its template's.
     """
     known = stage(wrappers(pages, url=url, page=page, salts=salts), "wrappers")
     kind = pages.schema[page_id].dataType.simpleString()
