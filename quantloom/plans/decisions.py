@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from quantloom.functions.columns import rounded
 from quantloom.operators import decisions as D
 from quantloom.operators import features
-from quantloom.sources.staging import staged
 
 from .features import ALL, BASE, LABELS, _rank, label_frame, matrix
 from .registry import query
@@ -28,10 +27,8 @@ def scored(p):
 
 
 def labelled(p):
-    """Scores with labels, staged once for each panel."""
-    if "labelled" not in p.kept:
-        p.kept["labelled"] = staged(_labelled(p), "labelled")
-    return p.kept["labelled"]
+    """Scores with labels, staged once for every query on the same files."""
+    return p.keep("labelled", lambda: _labelled(p))
 
 
 def _labelled(p):

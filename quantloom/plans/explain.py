@@ -13,7 +13,6 @@ from quantloom.operators import market as M
 from quantloom.operators import rules as R
 from quantloom.operators.asof import latest_by_day
 from quantloom.operators.explain import any_word
-from quantloom.sources.staging import staged
 
 from .market import BARS
 from .primitives import SENT
@@ -175,7 +174,7 @@ def _context(p):
     tech = latest_by_day(days, M.daily_bars(p.world), {s: (s, "return_1d") for s in TECH}, on="trade_date")
     tech = tech.select("date", F.least(*TECH).alias("tech_low"), F.greatest(*TECH).alias("tech_high"))
     regime = _regimes(p, days).select("date", F.col("risk").cast("double").alias("risk"), "regime", F.size("signals").cast("long").alias("n_signals"), F.array_contains("signals", "currency_fall").alias("signal_currency"))
-    return staged(funds.join(tech, "date").join(regime, "date").join(_hits(p, days), "date"), "context")
+    return funds.join(tech, "date").join(regime, "date").join(_hits(p, days), "date")
 
 
 def _moves(p):
@@ -184,13 +183,13 @@ def _moves(p):
     own = own.join(p.symbols.select("symbol", "market", "sector"), "symbol").join(sums, ["symbol", "date"], "left")
     text = F.col("text")
     own = E.own_news(own, p.dated_news, on="day", sentiment=T.unit_sentiment(T.sentiment(text)), bad=any_word(text, BAD), good=any_word(text, GOOD))
-    return staged(own, "moves")
+    return p.keep("moves", lambda: own)  # read for symbols and for markets
 
 
 def _explained(p):
     moves, context = _moves(p), _context(p)
     nets = [f"{k}_{n}" for k in INVESTORS for n in (1, 5)]
-    links = staged(_sectors(p).select("date", "sector", "sector_return", "sector_impact"), "sector-links")
+    links = p.keep("sector-links", lambda: _sectors(p).select("date", "sector", "sector_return", "sector_impact"))  # read for symbols and for markets
     symbols = moves.join(links, ["date", "sector"], "left").withColumn("is_chip", F.col("sector") == CHIP_SECTOR)
     symbols = symbols.select(F.lit("symbol").alias("scope"), "date", "symbol", "market", "move", "ret_21d", *nets, "news_n", "news_sentiment", "news_bad", "news_good", "sector_return", "sector_impact", "is_chip")
     counts = moves.groupBy("date", "market").agg(F.count_if(F.col("move") >= E.THRESHOLD).alias("up_count"), F.count_if(F.col("move") <= -E.THRESHOLD).alias("down_count"), *[F.sum(c).alias(c) for c in nets])

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from quantloom.functions.columns import rounded
 from quantloom.operators import analyst, asof, features, labels
-from quantloom.sources.staging import staged
 
 from .registry import query
 
@@ -192,10 +191,8 @@ ALL = (FEAT, MARKET, FLOW, TARGET, CONS, ATT, MATRIX)
 
 
 def matrix(p):
-    """The feature matrix, staged once for each panel."""
-    if "matrix" not in p.kept:
-        p.kept["matrix"] = staged(_matrix(p), "matrix")
-    return p.kept["matrix"]
+    """The feature matrix, staged once for every query on the same files."""
+    return p.keep("matrix", lambda: _matrix(p))
 
 
 def _matrix(p):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.functions.columns import rounded, zfill
-from quantloom.sources.staging import staged
+from quantloom.sources.staging import for_input
 
 
 def _brand(col: str = "p_brand"):
@@ -27,10 +27,20 @@ def _unit(x):
 class Panel:
     """Lazy canonical tables of one data folder."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark, self.dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, several: bool = False) -> None:
+        """``several``: the query reads the facts more than once, so they are staged."""
+        self.spark, self.dir, self.several = spark, sf_dir, several
         self.kept: dict[str, DataFrame] = {}
 
+    def keep(self, name: str, build, make: bool = True) -> DataFrame | None:
+        """A derived table that is staged once for every query on this folder's files."""
+        if name not in self.kept:
+            found = for_input(self.spark, self.dir, name, build, make=make)
+            if found is None:
+                return None
+            self.kept[name] = found
+        return self.kept[name]
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
@@ -51,14 +61,22 @@ class Panel:
 
     @cached_property
     def facts(self) -> DataFrame:
-        """Prices, metrics and flows of each (date, symbol) from one pass over the lines, staged: a row a day and symbol."""
+        """Prices, metrics and flows of each (date, symbol) from one pass over the lines: a row a day and symbol.
+
+        Staged for queries that read them more than once; others take what is
+        staged already, or aggregate the columns that they need.
+        """
+        held = self.keep("facts", self._facts, make=self.several)
+        return self._facts() if held is None else held
+
+    def _facts(self) -> DataFrame:
         unit = F.col("l_extendedprice") / F.col("l_quantity")
         first = F.min_by(unit, F.col("l_orderkey") * 10 + F.col("l_linenumber"))
         signed = F.col("l_extendedprice") * F.when(F.col("l_linestatus") == "O", 1.0).otherwise(-1.0)
         net = lambda flag, name: rounded(F.sum(F.when(F.col("l_returnflag") == flag, signed).otherwise(0.0)), 2).alias(f"{name}_net_value")
         total, quantity = F.sum("l_extendedprice"), F.sum("l_quantity")
         close = _unit(total / quantity)
-        own = self.lines.groupBy("date", "symbol").agg(
+        return self.lines.groupBy("date", "symbol").agg(
             _unit(first).alias("open"),
             _unit(F.max(unit)).alias("high"),
             _unit(F.min(unit)).alias("low"),
@@ -76,7 +94,6 @@ class Panel:
             net("N", "institution"),
             net("R", "retail"),
         )
-        return staged(own, "facts")
 
     @cached_property
     def prices(self) -> DataFrame:

@@ -10,7 +10,6 @@ from quantloom.functions.columns import clip, rounded, rule_array
 from quantloom.functions.windows import first_rank
 from quantloom.operators import decisions as D
 from quantloom.operators import features, market, models
-from quantloom.sources.staging import staged
 
 from .decisions import CTES, RES, labelled, scored
 from .features import ALL, BASE, FEAT, LABELS, _rank, label_frame, matrix
@@ -147,7 +146,7 @@ _TREE = ["ret_21d", "ma_gap_20d", "volatility_20d", "rsi_14"]
 
 def _training(p):
     keep = ["date", "symbol", "excess_return", "is_top20pct", "is_bottom20pct"]
-    return staged(features.time_features(p.prices).select("date", "symbol", *_TREE).join(label_frame(p).select(*keep), ["date", "symbol"]), "training")
+    return p.keep("training", lambda: features.time_features(p.prices).select("date", "symbol", *_TREE).join(label_frame(p).select(*keep), ["date", "symbol"]))
 
 
 _WALK = {"step": 21, "least_dates": 504, "embargo": 21, "least_train_dates": 252, "least_train_rows": 1000}
