@@ -134,13 +134,13 @@ def _counted(rows: DataFrame, columns: list[str], ends: np.ndarray, edges: np.nd
         yield pa.record_batch([pa.array(used, pa.int32()), pa.array([whole[i].tobytes() for i in used], pa.binary())], names=["window", "v"])
 
     out = np.zeros((w, f * b + k * 2))
-    for window, v in _added(rows.mapInArrow(run, "window int, v binary")):
+    for window, v in added(rows.mapInArrow(run, "window int, v binary")):
         out[window] += v
     out = out.cumsum(axis=0)  # a window trains on all that the windows before it do
     return out[:, : f * b].reshape(w, f, b), out[:, f * b :].reshape(w, k, 2)
 
 
-def _added(parts: DataFrame, then=None, schema: str = "window int, v binary"):
+def added(parts: DataFrame, then=None, schema: str = "window int, v binary"):
     """Vectors of equal windows added in one task each, in a fixed order; ``then`` may reduce a sum further before it is collected."""
     plain = then or (lambda window, total: [(window, total.tobytes())])
 
@@ -222,7 +222,7 @@ def _level(rows: DataFrame, forest: Forest, group: slice, t: int, level: int):
                 yield int(window), target, node, int(hit[0]) if hit is not None else 0, int(hit[1]) if hit is not None else MISSING, lg, lh, all_g, all_h
 
     schema = "window int, target int, node int, feature int, split int, left_g double, left_h double, all_g double, all_h double"
-    got = _added(rows.mapInArrow(run, "window int, v binary"), best, schema)
+    got = added(rows.mapInArrow(run, "window int, v binary"), best, schema)
     sent.destroy()
     return got
 

@@ -145,6 +145,36 @@ def performance(results: DataFrame) -> DataFrame:
     )
 
 
+MODEL = ("model_name", "model_version", "horizon", "horizon_days")
+
+
+def performance_by_model(results: DataFrame, top: int = 20) -> DataFrame:
+    """Each model, version and horizon: rates, means and rank correlation of its results, and the path of its portfolios.
+
+    A portfolio is the mean return of the ``top`` best of a date; the path has
+    every ``horizon_days``-th one, so that none overlaps the next.  Drawdown is
+    that of the path's product; the Sharpe ratio is NULL with fewer than two
+    portfolios or without spread.
+    """
+    own = results.where("actual_return is not null")
+    best = own.where(F.col("rank_no") <= top)
+    ranked = own.withColumns({"__a": pct_rank(F.col("pred_return"), *MODEL), "__b": pct_rank(F.col("actual_return"), *MODEL)})
+    share = lambda c: F.avg(F.col(c).cast("double"))
+    whole = ranked.groupBy(*MODEL).agg(
+        F.max("prediction_date").alias("eval_date"), F.count(F.lit(1)).alias("sample_count"), rounded(share("is_hit")).alias("hit_ratio"), rounded(F.avg(F.when(F.col("rank_no") <= top, F.col("is_hit").cast("double")))).alias("precision_top"),
+        rounded(F.avg("actual_return")).alias("avg_actual"), rounded(F.avg("benchmark_return")).alias("avg_benchmark"), rounded(F.avg("excess_return")).alias("avg_excess"), rounded(F.median("actual_return")).alias("median_actual"),
+        rounded(share("is_outperform")).alias("win_rate"), rounded(F.corr("__a", "__b"), 5).alias("rank_ic"),
+    )
+    daily = best.groupBy(*MODEL, "prediction_date").agg(F.avg("actual_return").alias("r"))
+    time = Window.partitionBy(*MODEL).orderBy("prediction_date")  # a row for each date
+    path = daily.withColumn("i", F.row_number().over(time) - 1).where(F.col("i") % F.greatest(F.lit(1), F.col("horizon_days")) == 0)
+    path = path.withColumn("level", compounded(F.col("r"), time)).withColumn("fall", drawdown(F.col("level"), time))
+    spread = F.stddev_pop("r")
+    sharpe = F.when((F.count("r") >= 2) & (spread > 1e-8), F.avg("r") / spread * F.sqrt(252.0 / F.greatest(F.lit(1), F.col("horizon_days"))))
+    paths = path.groupBy(*MODEL).agg(F.count("r").alias("n_portfolios"), rounded(F.min("fall")).alias("mdd"), rounded(sharpe, 4).alias("sharpe"))
+    return whole.join(paths, list(MODEL), "left")
+
+
 def price_gap(predictions: DataFrame, prices: DataFrame, *, days: int) -> DataFrame:
     """Entry and target closes on or after their dates, the realised return, its gap to the prediction, and a status."""
     from quantloom.operators.asof import asof_join

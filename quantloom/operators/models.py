@@ -118,6 +118,109 @@ def clusters(rows: DataFrame, columns: list[str], k: int = 5, seed: int = 42) ->
     return model.transform(rows).drop("__v", "__x", *filled)
 
 
+# Quantiles of the centroids that a cluster must reach for its label, in order of the rules.
+LABELS = ("high_momentum", "calm_large", "liquid", "recovering", "mixed")
+
+
+def cluster_labels(centres: dict[str, list[float]]) -> list[str]:
+    """Labels of clusters by their centroids (feature -> value for each cluster): the first rule that holds."""
+    import numpy as np
+
+    c = {k: np.array(v, float) for k, v in centres.items()}
+    q = lambda name, share: np.quantile(c[name], share)
+    rules = (
+        c["momentum_score"] >= q("momentum_score", 0.75), (c["volatility_60d"] <= q("volatility_60d", 0.35)) & (c["size_score"] >= q("size_score", 0.5)), c["liquidity_score"] >= q("liquidity_score", 0.75), c["ret_21d"] > c["ret_126d"],
+    )
+    return [next((name for name, holds in zip(LABELS, rules, strict=False) if holds[i]), LABELS[-1]) for i in range(len(c["momentum_score"]))]
+
+
+#: Rows that the first centres are drawn from, and rounds until the restarts must have settled.
+START_ROWS, MOST_ROUNDS = 4_096, 40
+
+
+def best_clusters(rows: DataFrame, columns: list[str], *, key: str = "symbol", k: int = 5, restarts: int = 20, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(key, cluster, distance) of every row, and the clusters: number, members, raw centroids; the best of several starts.
+
+    Missing values are the column's median, columns are standardised.  All
+    restarts move together: a round is one pass over the rows, in which a task
+    adds up the members of every centre of every restart.  Starts are drawn far
+    apart from at most START_ROWS rows.  Clusters are numbered by size, then by
+    centroid; a row between two centres goes to the first.
+    """
+    import numpy as np
+
+    medians = [F.coalesce(F.median(c), F.lit(0.5)).alias(c) for c in columns]
+    filled = rows.join(F.broadcast(rows.agg(*[m.alias(f"__m_{c}") for m, c in zip(medians, columns, strict=True)])))  # one row
+    filled = filled.select(key, *[F.coalesce(F.col(c).cast("double"), F.col(f"__m_{c}")).alias(c) for c in columns])
+    got = filled.agg(*[F.avg(c).alias(f"a_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
+    mean = np.array([got[f"a_{c}"] if got[f"a_{c}"] is not None else 0.0 for c in columns])
+    scale = np.array([got[f"s_{c}"] or 1.0 for c in columns])
+    points = boost.staged(filled.select(key, F.array(*[(F.col(c) - float(m)) / float(s) for c, m, s in zip(columns, mean, scale, strict=True)]).alias("x")), "cluster-points")
+    first = np.array([r.x for r in points.orderBy(F.xxhash64(key), key).limit(START_ROWS).collect()])
+    shape = f"{key} {rows.schema[key].dataType.simpleString()}, cluster int, distance double"
+    if not len(first):
+        return rows.sparkSession.createDataFrame([], shape), rows.sparkSession.createDataFrame([], "cluster int, members long, centroid array<double>")
+    rng = np.random.default_rng(seed)
+    k = min(k, len(np.unique(first, axis=0)))
+    starts = []
+    for _ in range(restarts):
+        chosen = [first[rng.integers(len(first))]]
+        while len(chosen) < k:
+            far = np.min([((first - c) ** 2).sum(axis=1) for c in chosen], axis=0)
+            chosen.append(first[rng.choice(len(first), p=far / far.sum())])
+        starts.append(chosen)
+    centres, spark = np.array(starts), rows.sparkSession
+
+    def sums(centres):
+        """(restarts, k, columns + 2): sums, members and squared distances."""
+        sent = spark.sparkContext.broadcast(centres)  # restarts x k centres
+
+        def run(batches):
+            import pyarrow as pa
+
+            c = sent.value
+            total = np.zeros((len(c), c.shape[1], c.shape[2] + 2))
+            for batch in batches:
+                if batch.num_rows:
+                    x = np.array(batch.column(1).to_pylist())
+                    for r in range(len(c)):
+                        far = ((x[:, None, :] - c[r][None]) ** 2).sum(axis=2)
+                        near = far.argmin(axis=1)
+                        np.add.at(total[r], near, np.column_stack((x, np.ones(len(x)), far[np.arange(len(x)), near])))
+            yield pa.record_batch([pa.array(np.arange(len(c), dtype=np.int32)), pa.array([t.tobytes() for t in total], pa.binary())], names=["window", "v"])
+
+        out = np.zeros((len(centres), centres.shape[1], centres.shape[2] + 2))
+        for r, v in boost.added(points.mapInArrow(run, "window int, v binary")):
+            out[r] += v.reshape(out[r].shape)
+        sent.destroy()
+        return out
+
+    for _ in range(MOST_ROUNDS):
+        found = sums(centres)
+        n = found[:, :, -2:-1]
+        after = np.where(n > 0, found[:, :, :-2] / np.maximum(n, 1), centres)
+        if np.allclose(after, centres, atol=1e-12):
+            break
+        centres = after
+    best = int(found[:, :, -1].sum(axis=1).argmin())
+    members = found[best, :, -2].astype(int)
+    order = sorted(range(len(members)), key=lambda i: (-members[i], centres[best, i].tolist()))
+    final = centres[best][order]
+
+    def assign(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array(batch.column(1).to_pylist())
+                far = np.sqrt(((x[:, None, :] - final[None]) ** 2).sum(axis=2))
+                near = far.argmin(axis=1)
+                yield pa.record_batch([batch.column(0), pa.array(near.astype(np.int32)), pa.array(far[np.arange(len(x)), near])], names=[key, "cluster", "distance"])
+
+    summary = [(i, int(members[j]), [float(v) for v in centres[best, j] * scale + mean]) for i, j in enumerate(order)]
+    return points.mapInArrow(assign, shape), spark.createDataFrame(summary, "cluster int, members long, centroid array<double>")
+
+
 def ablation(scored: DataFrame, weights: dict[str, float], neutral: list[str]) -> DataFrame:
     """Score and rank with and without some factors, and how much they matter."""
     from quantloom.functions.columns import weighted

@@ -155,7 +155,16 @@ def macro_series(raw: DataFrame, value: str = "value") -> DataFrame:
 
 
 def merged_metrics(caps: DataFrame, fundamentals: DataFrame, snapshots: DataFrame, columns: list[str]) -> DataFrame:
-    """Market values and fundamentals by date and symbol, from either side; what is missing comes from the symbol's snapshot."""
+    """Market values and fundamentals by date and symbol, from either side; what is missing comes from the symbol's snapshot.
+
+    Dated snapshots count from their date on, the last one up to a row's date; undated ones hold for all dates.
+    """
+    from quantloom.operators.asof import Latest, carry
+
     both = caps.join(fundamentals, ["date", "symbol"], "full_outer")
-    known = both.join(snapshots.select("symbol", *[F.col(c).alias(f"__{c}") for c in columns]), "symbol", "left")
+    own = snapshots.select("symbol", *(["date"] if "date" in snapshots.columns else []), *[F.col(c).alias(f"__{c}") for c in columns])
+    if "date" in snapshots.columns:
+        known = carry(both, key="symbol", on="date", latest={"snapshot": Latest(own.withColumnRenamed("date", "__at"), "__at", [f"__{c}" for c in columns])})
+    else:
+        known = both.join(own, "symbol", "left")
     return known.select("date", "symbol", *[c for c in caps.columns if c not in ("date", "symbol")], *[F.coalesce(c, f"__{c}").alias(c) for c in columns])

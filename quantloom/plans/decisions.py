@@ -177,6 +177,40 @@ def b13(p):
     return D.performance(D.backtest_results(labelled(p), 30).where("rank_no <= 10"))
 
 
+_VERSIONS = {"combined": ("v1", "final_score"), "momentum": ("v2", "momentum_score")}
+MODELS = "pm AS (" + " UNION ALL ".join(
+    f"""SELECT '{m}' AS model_name, '{v}' AS model_version, '1M' AS horizon, 21 AS horizon_days, date AS prediction_date, symbol, {c} AS pred_return, future_return AS actual_return, benchmark_return, future_return - benchmark_return AS excess_return,
+  coalesce(future_return > 0, false) AS is_hit, coalesce(future_return > benchmark_return, false) AS is_outperform, row_number() OVER (PARTITION BY date ORDER BY {c} DESC NULLS LAST, symbol) AS rank_no FROM scl WHERE future_return IS NOT NULL"""
+    for m, (v, c) in _VERSIONS.items()
+) + ")"
+_MODEL = "model_name, model_version, horizon, horizon_days"
+PATHS = f"""
+pr0 AS (SELECT *, {_rank('pred_return', 'model_name')} AS a, {_rank('actual_return', 'model_name')} AS b FROM pm),
+pr1 AS (SELECT {_MODEL}, max(prediction_date) AS eval_date, count(*) AS sample_count, round(avg(is_hit::INT::DOUBLE) + 1e-9, 6) AS hit_ratio, round(avg(is_hit::INT::DOUBLE) FILTER (rank_no <= 5) + 1e-9, 6) AS precision_top, round(avg(actual_return) + 1e-9, 6) AS avg_actual, round(avg(benchmark_return) + 1e-9, 6) AS avg_benchmark,
+  round(avg(excess_return) + 1e-9, 6) AS avg_excess, round(median(actual_return) + 1e-9, 6) AS median_actual, round(avg(is_outperform::INT::DOUBLE) + 1e-9, 6) AS win_rate, round(corr(a, b) + 1e-9, 5) AS rank_ic FROM pr0 GROUP BY ALL),
+pr2 AS (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY prediction_date) - 1 AS i FROM (SELECT {_MODEL}, prediction_date, avg(actual_return) AS r FROM pm WHERE rank_no <= 5 GROUP BY ALL)),
+pr3 AS (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY model_name ORDER BY prediction_date)) AS level FROM pr2 WHERE i % 21 = 0),
+pr4 AS (SELECT *, level / max(level) OVER (PARTITION BY model_name ORDER BY prediction_date) - 1 AS fall FROM pr3),
+pr5 AS (SELECT {_MODEL}, count(r) AS n_portfolios, round(min(fall) + 1e-9, 6) AS mdd, round(avg(r) / stddev_pop(r) * sqrt(12.0::DOUBLE) + 1e-9, 4) AS sharpe FROM pr4 GROUP BY ALL)
+"""
+
+
+@query("b13_performance_by_model", f"SELECT * FROM pr1 JOIN pr5 USING ({_MODEL})", *CTES, MODELS, PATHS)
+def b13_models(p):
+    from functools import reduce
+
+    from quantloom.functions.windows import first_rank
+
+    own = labelled(p).where("future_return is not null")
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    one = lambda m, v, c: own.select(
+        F.lit(m).alias("model_name"), F.lit(v).alias("model_version"), F.lit("1M").alias("horizon"), F.lit(21).alias("horizon_days"), F.col("date").alias("prediction_date"), "symbol", F.col(c).alias("pred_return"),
+        F.col("future_return").alias("actual_return"), "benchmark_return", (F.col("future_return") - F.col("benchmark_return")).alias("excess_return"), flag(F.col("future_return") > 0).alias("is_hit"),
+        flag(F.col("future_return") > F.col("benchmark_return")).alias("is_outperform"), first_rank(F.col(c), "date").alias("rank_no"),
+    )
+    return D.performance_by_model(reduce(lambda a, b: a.unionByName(b), [one(m, v, c) for m, (v, c) in _VERSIONS.items()]), top=5)
+
+
 GAP = """
 g0 AS (SELECT date AS asof_date, symbol, pred_return FROM pred),
 g1 AS (SELECT g0.*, q.close AS entry FROM g0 ASOF LEFT JOIN (SELECT symbol AS s, date AS d, close FROM px) q ON symbol = s AND asof_date <= d),

@@ -288,3 +288,22 @@ for _name, (_cond, _kw) in _ASOF.items():
 def j08(p):
     right = p.reports.select("symbol", "report_date", "report_id", "target")
     return asof.trailing_join(p.prices.select("date", "symbol"), right, key="symbol", left_on="date", right_on="report_date", days=30, aggs=[F.count("report_id").alias("n"), rounded(F.avg("target")).alias("target_mean")])
+
+
+_SEQ = ("rsi_14", "ret_21d", "ma_gap_20d")
+SPLIT = f"""
+sq0 AS (SELECT f.date, f.symbol, {", ".join(f"f.{c}" for c in _SEQ)}, l.is_top20pct AS label FROM feat f JOIN lab l USING (date, symbol) WHERE l.is_top20pct IS NOT NULL),
+sq1 AS (SELECT max(date) FILTER (i = greatest(1, least(n, floor(n * 0.7 + 1e-9)))) AS train_end, max(date) FILTER (i = greatest(1, least(n, floor(n * 0.85 + 1e-9)))) AS valid_end FROM (SELECT date, row_number() OVER (ORDER BY date) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM sq0))),
+sq2 AS (SELECT {", ".join(f"coalesce(median({c}), 0.0) AS m_{c}, coalesce(nullif(stddev_pop({c}), 0.0), 1.0) AS s_{c}" for c in _SEQ)} FROM sq0, sq1 WHERE date <= train_end),
+sq3 AS (SELECT date, symbol, label, CASE WHEN date <= train_end THEN 'train' WHEN date <= valid_end THEN 'valid' ELSE 'test' END AS split, min(date) OVER w AS sequence_start, count(*) OVER w AS steps, {" + ".join(f"sum((coalesce({c}, m_{c}) - m_{c}) / s_{c}) OVER w" for c in _SEQ)} AS total
+  FROM sq0, sq1, sq2 WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
+"""
+
+
+@query("f24_split_sequences", "SELECT date, symbol, label, split, sequence_start, steps, round(total + 1e-9, 5) AS total FROM sq3 WHERE steps = 10", FEAT, LABELS, SPLIT)
+def f24_split(p):
+    from quantloom.operators import sequences
+
+    own = features.time_features(p.prices).select("date", "symbol", *_SEQ).join(label_frame(p).select("date", "symbol", "is_top20pct"), ["date", "symbol"])
+    seq = sequences.sequences(own, list(_SEQ), 10, label="is_top20pct")
+    return seq.select("date", "symbol", "label", "split", "sequence_start", F.size("sequence").cast("long").alias("steps"), rounded(F.aggregate(F.flatten("sequence"), F.lit(0.0), lambda a, x: a + x), 5).alias("total"))

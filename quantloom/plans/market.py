@@ -175,12 +175,12 @@ def x05(p):
 
 @query("d10_peers", "SELECT vec_id, peer, round(distance + 1e-6, 4) AS distance FROM (SELECT a.vec_id, b.vec_id AS peer, sqrt(list_sum([(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2 for i in range(1, 65)])) AS distance, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_sum([(a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) ** 2 for i in range(1, 65)]), b.vec_id) AS rn FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) WHERE rn <= 10")
 def d10(p):
+    from quantloom.operators import neighbours
+    from quantloom.sources.staging import staged
+
     own = p.table("embeddings")
-    asked = own.where("vec_id % 20 = 0").select("vec_id", F.col("embedding").alias("q"), "label")
-    gap = F.sqrt(F.aggregate(F.zip_with("q", "embedding", lambda x, y: F.pow(x.cast("double") - y.cast("double"), F.lit(2.0))), F.lit(0.0), lambda a, x: a + x))
-    near = asked.join(own.select(F.col("vec_id").alias("peer"), "embedding", "label"), "label").where("vec_id <> peer").select("vec_id", "peer", gap.alias("distance"))
-    place = F.row_number().over(Window.partitionBy("vec_id").orderBy("distance", "peer"))
-    return near.withColumn("rn", place).where("rn <= 10").select("vec_id", "peer", F.round(F.col("distance") + 1e-6, 4).alias("distance"))
+    near = neighbours.nearest(own, own.where("vec_id % 20 = 0").select("vec_id"), 10, keep=staged)
+    return near.select("vec_id", "peer", F.round(F.col("distance") + 1e-6, 4).alias("distance"))
 
 
 @query("u01_universe_refresh", """SELECT symbol, market, coalesce(why, CASE WHEN place <= 8 THEN 'taken' ELSE 'spare' END) AS status, CASE WHEN why IS NULL THEN place END AS place FROM (SELECT *, row_number() OVER (PARTITION BY market, why IS NULL ORDER BY market_cap DESC NULLS LAST, symbol) AS place FROM (
@@ -189,6 +189,17 @@ def u01(p):
     return M.refresh_universe(p.symbols, p.metrics, p.prices)
 
 
+@query("u01_universe_commit", """SELECT symbol, market, rank FROM (SELECT symbol, market, row_number() OVER (PARTITION BY market ORDER BY market_cap DESC, symbol) AS rank FROM sym JOIN (SELECT symbol, arg_max(market_cap, date) AS market_cap FROM met GROUP BY symbol) USING (symbol)
+JOIN (SELECT symbol FROM px GROUP BY symbol HAVING count(*) >= 100) USING (symbol) WHERE sector <> 'PROMO' AND market_cap IS NOT NULL) WHERE rank <= 5""")
+def u01_commit(p):
+    """Published only if every market has its five symbols."""
+    from quantloom.operators import universe
+
+    excluded = p.symbols.where("sector = 'PROMO'").select("symbol")
+    chosen = universe.choose(p.symbols, p.metrics, p.prices, excluded, per_market=5, least_rows=100)
+    return universe.commit(p.spark, _shared(p.spark), chosen, {"MAIN": 5, "GROWTH": 5}).select("symbol", "market", "rank")
+
+
 @query("s03_upsert", "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def s03(p):
     old = p.table("customer").select("c_custkey", "c_name", "c_acctbal")
@@ -232,6 +243,21 @@ def st05(p):
     return E.drain(E.tumbling(E.read_stream(p.spark, p.dir, "events")), _shared(p.spark), ["start", "event_type"])
 
 
+@query("st01_incremental_pull", "SELECT event_id, user_id, event_type FROM events")
+def st01(p):
+    """All events, once: nothing was stored before."""
+    from quantloom.streaming import store
+
+    return store.pull(E.read_stream(p.spark, p.dir, "events"), _shared(p.spark), entity="user_id", ts="ts", key="event_id").select("event_id", "user_id", "event_type")
+
+
+@query("st03_daily_store", "SELECT CAST(ts AS DATE) AS start, event_type, count(*) AS n, round(sum(value) + 1e-9, 2) AS total FROM events GROUP BY 1, 2")
+def st03(p):
+    from quantloom.streaming import store
+
+    return store.daily(E.read_stream(p.spark, p.dir, "events"), _shared(p.spark))
+
+
 @query("st02_sliding_stream", "SELECT start, count(*) AS n FROM (SELECT unnest([time_bucket(INTERVAL 6 HOUR, ts) - to_hours(6 * i) for i in range(0, 4)]) AS start FROM events) GROUP BY start")
 def st02(p):
     return E.drain(E.sliding(E.read_stream(p.spark, p.dir, "events")), _shared(p.spark), ["start"])

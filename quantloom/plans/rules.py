@@ -154,9 +154,8 @@ def s22(p):
     return R.macro_series(raw)
 
 
-@query("s13_merged_metrics", """SELECT date, symbol, market_cap, coalesce(f.target, s.target) AS target, coalesce(f.n, s.n) AS n FROM met FULL JOIN (SELECT report_date AS date, symbol, max(target) AS target, count(*) AS n FROM rep GROUP BY ALL) f USING (date, symbol)
-LEFT JOIN (SELECT symbol AS k, arg_max(target, d) AS target, arg_max(n, d) AS n FROM (SELECT report_date AS d, symbol, max(target) AS target, count(*) AS n FROM rep GROUP BY ALL) GROUP BY symbol) s ON k = symbol""")
+@query("s13_merged_metrics", """SELECT m.date, m.symbol, market_cap, coalesce(m.target, s.target) AS target, coalesce(m.n, s.n) AS n FROM (SELECT date, symbol, market_cap, f.target, f.n FROM met FULL JOIN (SELECT report_date AS date, symbol, max(target) AS target, count(*) AS n FROM rep GROUP BY ALL) f USING (date, symbol)) m
+ASOF LEFT JOIN (SELECT report_date AS d, symbol AS k, max(target) AS target, count(*) AS n FROM rep GROUP BY ALL) s ON k = m.symbol AND m.date >= d""")
 def s13(p):
     found = p.reports.groupBy(F.col("report_date").alias("date"), "symbol").agg(F.max("target").alias("target"), F.count(F.lit(1)).alias("n"))
-    last = found.groupBy("symbol").agg(F.max_by("target", "date").alias("target"), F.max_by("n", "date").alias("n"))
-    return R.merged_metrics(p.metrics.select("date", "symbol", "market_cap"), found, last, ["target", "n"])
+    return R.merged_metrics(p.metrics.select("date", "symbol", "market_cap"), found, found, ["target", "n"])

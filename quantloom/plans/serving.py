@@ -185,6 +185,20 @@ def m15k(p):
     return models.clusters(_latest(features.time_features(p.prices)), _TREE, k=3).select("symbol", "cluster")
 
 
+_CLUSTER = ["momentum_score", "volatility_60d", "size_score", "liquidity_score", "ret_21d", "ret_126d"]
+
+
+@query("m15_stock_clusters")
+def m15_best(p):
+    """Clusters of the latest date's symbols, the best of 20 starts, with labels by their centroids."""
+    own = features.price_features(p.prices).join(features.market_features(p.metrics).select("date", "symbol", "size_score"), ["date", "symbol"], "left")
+    rows, found = models.best_clusters(_latest(own).select("symbol", *_CLUSTER), _CLUSTER)
+    held = [(r.cluster, r.centroid) for r in found.orderBy("cluster").collect()]  # a row for each cluster
+    names = models.cluster_labels({c: [v[i] for _, v in held] for i, c in enumerate(_CLUSTER)}) if held else []
+    table = p.spark.createDataFrame([(c, n) for (c, _), n in zip(held, names, strict=True)], "cluster int, label string")
+    return rows.join(F.broadcast(table), "cluster").join(found.select("cluster", "members"), "cluster").select("symbol", "cluster", "label", "members", rounded(F.col("distance")).alias("distance"))
+
+
 @query("o04_trailing_news", f"SELECT d.pub_date AS asof, count(n.article_id) AS n, round(avg(u) + 1e-9, 6) AS sentiment FROM (SELECT DISTINCT pub_date FROM news) d LEFT JOIN (SELECT article_id, pub_date, ({SENT} + 1) / 2 AS u FROM news) n ON n.pub_date <= d.pub_date AND n.pub_date > d.pub_date - 3 GROUP BY 1")
 def o04(p):
     from quantloom.operators.asof import trailing_join
