@@ -131,6 +131,32 @@ def gate_decision(candidate: DataFrame, baseline: DataFrame, limits: dict[str, f
     )
 
 
+# The least number of samples, how much worse a drawdown may be, and the weight of an accepted model.
+LEAST_SAMPLES, WORSE_DRAWDOWN, SUGGESTED_WEIGHT, MOST_WEIGHT = 200, 1.2, 0.1, 0.3
+
+
+def gatekeeper(performance: DataFrame, baseline: str, least: int = LEAST_SAMPLES) -> DataFrame:
+    """``performance`` with gate_status, production_weight and reasons: each model against the baseline model of its horizon.
+
+    The baseline's latest row counts; horizons without one have no decision.
+    A missing measure counts as 0, a missing rank correlation rejects nothing.
+    """
+    cols = ("precision_top", "avg_excess", "mdd")
+    latest = F.row_number().over(Window.partitionBy("horizon").orderBy(F.desc("eval_date"), F.desc("model_version")))
+    base = performance.where(F.col("model_name") == baseline).withColumn("__n", latest).where("__n = 1").select("horizon", *[F.coalesce(c, F.lit(0.0)).alias(f"__{c}") for c in cols])
+    n = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    own = performance.join(base, "horizon")
+    failed = rule_array(
+        (n("sample_count") < least, "few_samples"), (n("precision_top") < F.col("__precision_top"), "precision"), (n("avg_excess") < F.col("__avg_excess"), "excess"), (F.col("rank_ic") < 0, "rank_correlation"),
+        (n("mdd") < F.col("__mdd") * WORSE_DRAWDOWN, "drawdown"),
+    )
+    is_base, suggested = F.col("model_name") == baseline, F.col("suggested_weight") if "suggested_weight" in performance.columns else F.lit(None).cast("double")
+    own = own.withColumn("reasons", F.when(is_base, F.array(F.lit("baseline"))).otherwise(failed))
+    status = F.when(is_base, "production").when(F.size(failed) > 0, "rejected").otherwise("accepted")
+    weight = F.when(is_base, 1.0).when(F.size(failed) > 0, 0.0).otherwise(F.least(F.coalesce(suggested, F.lit(SUGGESTED_WEIGHT)), F.lit(MOST_WEIGHT)))
+    return own.withColumns({"gate_status": status, "production_weight": weight}).drop(*[f"__{c}" for c in cols])
+
+
 def register(registry: DataFrame, entries: DataFrame, keys: tuple[str, ...] = ("model_name",)) -> DataFrame:
     """The registry with entries added or, by key, replaced; of several entries with a key the latest counts."""
     latest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("updated_at"), F.desc(F.xxhash64(*entries.columns))))

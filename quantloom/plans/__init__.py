@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decisions, explain, features, market, outlook, primitives, records, rules, serving  # noqa: F401
+from . import decisions, explain, features, market, outlook, primitives, records, rules, serving, signals  # noqa: F401
 from .panel import Panel
 from .registry import ORACLES, QUERIES
 

@@ -197,6 +197,11 @@ pr5 AS (SELECT {_MODEL}, count(r) AS n_portfolios, round(min(fall) + 1e-9, 6) AS
 
 @query("b13_performance_by_model", f"SELECT * FROM pr1 JOIN pr5 USING ({_MODEL})", *CTES, MODELS, PATHS)
 def b13_models(p):
+    return model_results(p)
+
+
+def model_results(p):
+    """Performance of two models: the combined score, and momentum alone."""
     from functools import reduce
 
     from quantloom.functions.windows import first_rank
