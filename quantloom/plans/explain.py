@@ -137,6 +137,20 @@ def g14(p):
     return _regimes(p, p.prices.select("date").distinct()).select("date", "risk", "regime", F.array_join("signals", ",").alias("signals"))
 
 
+@query(
+    "d12_global_adjustment",
+    f"SELECT symbol, risk, round(least(0.35::DOUBLE, risk / 100.0 * 0.22::DOUBLE * CASE WHEN sector = '{CHIP_SECTOR}' THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END) + 1e-9, 6) AS penalty, round(greatest(0.1::DOUBLE, 1 - 0.5::DOUBLE * risk / 100.0) + 1e-9, 6) AS confidence FROM sym, (SELECT risk FROM rr WHERE date = (SELECT max(date) FROM rr))",
+    BARS, REGIME, REGIME_ASOF,
+)
+def d12(p):
+    """Every symbol's penalty and confidence under the regime of the latest date."""
+    latest = p.prices.agg(F.max("date").alias("date"))
+    now = _regimes(p, latest).select("risk")  # one row
+    tender = F.when(F.col("sector") == CHIP_SECTOR, 1.15).otherwise(1.0)
+    own = p.symbols.join(F.broadcast(now))
+    return own.select("symbol", "risk", rounded(F.least(F.lit(0.35), F.col("risk") / 100.0 * 0.22 * tender)).alias("penalty"), rounded(F.greatest(F.lit(0.1), 1 - 0.5 * F.col("risk") / 100.0)).alias("confidence"))
+
+
 # --- explanations -----------------------------------------------------------------
 
 INVESTORS = ("foreign", "institution", "retail", "pension")

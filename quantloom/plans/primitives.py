@@ -269,7 +269,7 @@ def j12(p):
 
 @query("j13_lookup_join", "SELECT px.date, px.symbol, round(px.close / idx.close + 1e-9, 6) AS relative FROM px JOIN sym USING (symbol) JOIN idx ON idx.date = px.date AND benchmark = market")
 def j13(p):
-    own = p.prices.join(F.broadcast(p.symbols), "symbol")
+    own = p.prices.join(p.symbols, "symbol")
     idx = p.index.select("date", F.col("benchmark").alias("market"), F.col("close").alias("index"))
     return own.join(idx, ["date", "market"]).select("date", "symbol", R(F.col("close") / F.col("index")).alias("relative"))
 
@@ -281,7 +281,7 @@ def j15(p):
 
 @query("a01_group_means", "SELECT sector, count(*) AS n, round(avg(close) + 1e-9, 6) AS mean_close, sum(volume) AS volume FROM px JOIN sym USING (symbol) GROUP BY sector")
 def a01(p):
-    return p.prices.join(F.broadcast(p.symbols), "symbol").groupBy("sector").agg(F.count(F.lit(1)).alias("n"), R(F.avg("close")).alias("mean_close"), F.sum("volume").alias("volume"))
+    return p.prices.join(p.symbols, "symbol").groupBy("sector").agg(F.count(F.lit(1)).alias("n"), R(F.avg("close")).alias("mean_close"), F.sum("volume").alias("volume"))
 
 
 @query("a02_null_sum", "SELECT symbol, broker, analyst, round(sum(previous_target) + 1e-9, 4) AS total FROM rep GROUP BY symbol, broker, analyst")

@@ -286,13 +286,6 @@ def d11(p):
     return own.where("r = 1").select("symbol", "trade_date", "close", "return_1d")
 
 
-@query("d12_global_adjustment", "SELECT symbol, round(least(0.35::DOUBLE, k / 100.0 * 0.22::DOUBLE * CASE WHEN sector LIKE '%COPPER%' THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END) + 1e-9, 6) AS penalty, round(greatest(0.1::DOUBLE, 1 - 0.5::DOUBLE * k / 100.0) + 1e-9, 6) AS confidence FROM (SELECT symbol, sector, CAST(symbol AS INT) * 4 AS k FROM sym)")
-def d12(p):
-    risk = F.col("symbol").cast("int") * 4
-    tender = F.when(F.col("sector").contains("COPPER"), 1.15).otherwise(1.0)
-    return p.symbols.select("symbol", rounded(F.least(F.lit(0.35), risk / 100.0 * 0.22 * tender)).alias("penalty"), rounded(F.greatest(F.lit(0.1), 1 - 0.5 * risk / 100.0)).alias("confidence"))
-
-
 @query("d15_legs_by_market", "SELECT market, string_agg(symbol, ',' ORDER BY final_score DESC, symbol) AS symbols, count(*) AS n FROM sc JOIN sym USING (symbol) WHERE date = (SELECT max(date) FROM sc) GROUP BY market", *CTES)
 def d15(p):
     own = _latest(scored(p)).join(p.symbols.select("symbol", "market"), "symbol")

@@ -1,4 +1,4 @@
-"""Event-time aggregations as streams, written so that replays and late files give the batch result."""
+"""Event-time aggregations as streams, written so that replays give the same table."""
 
 from __future__ import annotations
 
@@ -48,28 +48,21 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return events.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
 
 
-def drain(result: DataFrame, path: str, keys: list[str]) -> DataFrame:
+def drain(result: DataFrame, path: str, keys: list[str], buckets: int = 16) -> DataFrame:
     """Run a streaming aggregation over all files there are, and give the table of its rows.
 
     Each trigger's changed rows replace those with their keys; a batch writes
-    the table's next version, so a replay writes the same one again and readers
-    never see a table in parts.
+    the buckets of its keys anew and publishes them together, so readers never
+    see a table in parts, a replay changes nothing, and old files go.  Rows
+    later than the watermark are lost to an aggregation; ``store.daily`` takes
+    them however late.
     """
-    spark, last = result.sparkSession, []
+    from quantloom.streaming.store import Store
 
-    def merge(batch: DataFrame, n: int) -> None:
-        new = batch
-        if n:
-            old = spark.read.schema(result.schema).parquet(f"{path}/out-{n - 1}")
-            new = old.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
-        new.write.mode("overwrite").parquet(f"{path}/out-{n}")
-        last.append(n)
-
-    query = result.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(merge).start()
+    table = Store(result.sparkSession, f"{path}/out", result.schema, keys, F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    query = result.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(lambda batch, n: table.upsert(batch, n)).start()
     query.awaitTermination()
-    if last:
-        return spark.read.schema(result.schema).parquet(f"{path}/out-{last[-1]}")
-    return spark.createDataFrame([], result.schema)
+    return table.read()
 
 
 def deduplicated(events: DataFrame, key: str = "event_id", late: str = "1 hour") -> DataFrame:
