@@ -113,7 +113,12 @@ def contamination(
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **kw) -> DataFrame:
-    """``docs`` without contaminated rows, columns as given."""
+    """``docs`` without contaminated rows, columns as given.
+
+    Rows are judged by id and text, so repeated rows go or stay together; rows
+    without words stay.  Without items every row stays; an empty table gives an
+    empty one.
+    """
     doc_id, text = kw.get("doc_id", "doc_id"), kw.get("text", "text")
     bad = contamination(docs, items, **kw).where("contaminated").select(F.col(doc_id).alias("__bad"), F.col("text_hash").alias("__bad_h")).distinct()
     return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("__bad")) & (F.xxhash64(F.col(text)) == F.col("__bad_h")), "left_anti")

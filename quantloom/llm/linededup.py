@@ -170,7 +170,9 @@ def dedup_lines(
     their lines except in the largest doc_id that holds them; there all stay.
     Rows that repeat an id are one document when documents are counted; all
     rows without id are one document, which sorts first.  Null and empty texts
-    have one empty line, never dropped.  Other columns are ignored.
+    have one empty line, never dropped.  Ids are whole numbers; others fail as
+    the cast to long does.  An empty table gives an empty one.  Other columns
+    are ignored.
     """
     repeated, suspects = repeated_lines(docs, doc_id=doc_id, text=text, min_chars=min_chars, min_docs=min_docs, bits=bits, shards=shards)
     own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("t"), F.col(doc_id).isNotNull().alias("has_id"))
@@ -206,7 +208,12 @@ def dedup_lines(
 
 
 def without_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
-    """``docs`` with the kept text and its length; columns and rows as given, a null text stays null."""
+    """``docs`` with the kept text and its length; columns and rows as given, a null text stays null.
+
+    Lines go as in ``dedup_lines``: ids are whole numbers, rows without one are
+    one document, rows that repeat an id are one too.  An empty table gives an
+    empty one.
+    """
     repeated, suspects = repeated_lines(docs, doc_id=doc_id, text=text, min_chars=min_chars, min_docs=min_docs)
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))
     few = repeated.count() <= broadcast_lines

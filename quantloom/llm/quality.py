@@ -204,6 +204,11 @@ def grade(docs: DataFrame, model: Ordinal | None, *, doc_id: str = "doc_id", tex
 
 
 def select_good(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_good: float = MIN_GOOD) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps; all columns as given, whatever their names."""
+    """The rows of ``docs`` that the classifier keeps; all columns as given, whatever their names.
+
+    Rows are judged one by one: repeated rows stay or go together, null and
+    empty texts by the thresholds alone.  Without graded documents every row
+    stays; an empty table gives an empty one.
+    """
     model = train(docs, labels, doc_id=doc_id, text=text)
     return _graded(docs, model, text, min_good).where("__keep").select(*docs.columns)

@@ -474,3 +474,107 @@ def test_pipeline_stages_keep_columns_and_clean_documents(spark, docs, tmp_path)
     left = {r.doc_id for r in now.collect()}
     assert set(range(2, 50)) <= left and 121 not in left and 130 in left and 131 not in left
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == left
+
+
+def test_quality_fit_equals_a_plain_one(monkeypatch):
+    """The same steps with plain loops over single places."""
+    import math
+
+    monkeypatch.setattr(quality, "LEAST_SEEN", 0)
+    draw = np.random.default_rng(9)
+    rows = [(int(y := draw.integers(0, 3)), np.unique(draw.integers(0, 24, 6) + 2 * y).astype(np.int32)) for _ in range(150)]
+    bits, epochs, rate, l1 = 5, 3, 0.3, 1.5e-3
+    got = quality.fit(rows, bits=bits, epochs=epochs, rate=rate, l1=l1, least=3, seed=5)
+    common = {p for p in range(32) if sum(p in x for _, x in rows) >= 3}
+    own = [(y, [int(p) for p in x if int(p) in common]) for y, x in rows]
+    order, w, g2 = np.random.default_rng(5), [0.0] * 32, [1e-3] * 32
+    first, gap, t2 = -2.0, 0.5, [1e-3, 1e-3]
+    sig = lambda v: 1 / (1 + math.exp(-max(-60, min(60, v))))
+    for _ in range(epochs):
+        places = order.permutation(len(own))
+        for b in range(0, len(own), quality.BATCH):
+            batch = [own[i] for i in places[b : b + quality.BATCH]]
+            cuts = [-math.inf, first, first + math.exp(gap), math.inf]
+            g, dt = {}, [0.0, 0.0]
+            for y, x in batch:
+                s = sum(w[p] for p in x)
+                hi, lo = (1.0 if c == math.inf else 0.0 if c == -math.inf else sig(c - s) for c in (cuts[y + 1], cuts[y]))
+                p = max(hi - lo, 1e-9)
+                for place in x:
+                    g[place] = g.get(place, 0.0) + (1 - hi - lo) / len(batch)
+                for k in range(2):
+                    if y == k:
+                        dt[k] += -hi * (1 - hi) / p / len(batch)
+                    if y == k + 1:
+                        dt[k] += lo * (1 - lo) / p / len(batch)
+            for place, v in g.items():
+                g2[place] += v * v
+                pace = rate / math.sqrt(g2[place])
+                moved = w[place] - pace * v
+                w[place] = math.copysign(max(abs(moved) - pace * l1, 0.0), moved)
+            dp = [dt[0] + dt[1], dt[1] * math.exp(gap)]
+            t2 = [a + d * d for a, d in zip(t2, dp, strict=True)]
+            first, gap = first - 0.1 * dp[0] / math.sqrt(t2[0]), gap - 0.1 * dp[1] / math.sqrt(t2[1])
+    assert np.allclose(got.weights, w, atol=1e-4) and np.allclose(got.thresholds, [first, first + math.exp(gap)], atol=1e-6)
+    assert any(abs(v) > 0.1 for v in w)
+
+
+def test_pipeline_of_empty_tables(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    docs.where("false").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
+    """Every stage after the classifier against plain Python, on rows that the classifier keeps (no labels: all)."""
+    import corpus_pipeline
+
+    draw = random.Random(12)
+    say = lambda n: " ".join(draw.choices(VOCAB, k=n))
+    base, item = say(120).split(), say(30)
+    rows = [(i, say(60) + "\n" + LINE + "\n" + say(8), f"s{i % 3}") for i in range(7)]
+    rows += [(20 + i, " ".join(base[:i] + base[i + 1 :]), "s1") for i in range(0, 12, 3)] + [(40, item + " " + say(50), "s0"), (41, say(400) + " " + item, "s2"), (50, None, "s0"), (51, "", "s1"), (None, say(20), None)]
+    rows += [(60 + i, say(draw.randint(5, 90)), f"s{i % 2}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"lang": F.lit("en"), "n_chars": F.length("text").cast("long")})
+    df.repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    keys = lambda t: {line.strip(" \t\n\v\f\r").lower() for line in (t or "").split("\n")}
+    seen = defaultdict(set)
+    for i, t, _ in rows:
+        for k in keys(t):
+            if len(k) >= 40:
+                seen[k].add(-1 if i is None else i)
+    lost = {k: max(own) for k, own in seen.items() if len(own) >= 5}
+    dedup = [(i, t if t is None else "\n".join(x for x in t.split("\n") if lost.get(x.strip(" \t\n\v\f\r").lower(), i) == i), s) for i, t, s in rows]
+    sets = [frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if (w := (t or "").encode().lower().split()) else frozenset() for _, t, _ in dedup]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] == sets[b] or (sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])):
+                root[find(a)] = find(b)
+    groups = defaultdict(list)
+    for k in range(len(rows)):
+        groups[find(k)].append(k)
+    one = [dedup[min(own, key=lambda k: (dedup[k][0] is None, dedup[k][0] or 0))] for own in groups.values()]
+    wins = {tuple(words(item)[s : s + 13]) for s in range(18)}
+    clean = []
+    for i, t, s in one:
+        w, hit = words(t), set()
+        for k in range(len(w) - 12):
+            if tuple(w[k : k + 13]) in wins:
+                hit |= set(range(k, k + 13))
+        if not (hit and 20 * len(hit) >= len(w)):
+            clean.append((i, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.size) for r in got if r.doc_id is not None) == sorted(x for x in clean if x[0] is not None)
+    assert sum(r.doc_id is None for r in got) == 1 and 40 not in {r.doc_id for r in got} and sum(20 <= (r.doc_id or 0) < 32 for r in got) == 1
