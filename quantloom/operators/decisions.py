@@ -186,3 +186,29 @@ def price_gap(predictions: DataFrame, prices: DataFrame, *, days: int) -> DataFr
     realised = rounded(F.try_divide(F.col("target"), F.col("entry")) - 1)
     status = F.when(F.col("entry").isNull(), "missing_price").when(F.col("target").isNull(), "pending").otherwise("completed")
     return due.select("asof_date", "symbol", "pred_return", "entry", "target", status.alias("status"), realised.alias("realised"), rounded(realised - F.col("pred_return")).alias("gap"), F.coalesce(F.signum(realised) == F.signum("pred_return"), F.lit(False)).alias("direction_hit"))
+
+
+def random_scores(scored: DataFrame, seed: int) -> DataFrame:
+    """``scored`` with random_score in [0, 1): a number of the seed, date and symbol, so that reruns and partitions agree."""
+    name = F.concat_ws("|", F.lit(str(seed)), F.date_format("date", "yyyy-MM-dd"), "symbol")
+    return scored.withColumn("random_score", F.conv(F.substring(F.md5(name.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0)
+
+
+def forecast_band(latest: DataFrame, results: DataFrame, *, horizon_days: int, expected: str = "expected", actual: str = "future_return") -> DataFrame:
+    """``latest`` rows (close, the expected return, volatility_60d) with band, band_source and the base, upside and downside price.
+
+    The band is the root mean squared error of past predictions (one number);
+    without any, the volatility of the horizon; within 0 and 1.  A rise widens
+    only the upper price, a fall only the lower one.
+    """
+    error = F.col(expected) - F.col(actual)
+    past = results.agg(F.sqrt(F.avg(error * error)).alias("__rmse"))  # one row
+    own = latest.join(F.broadcast(past))
+    volatility = F.col("volatility_60d") * (horizon_days / 252.0) ** 0.5
+    known = F.coalesce("__rmse", volatility)
+    band = F.when(known.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), known)))
+    source = F.when(F.col("__rmse").isNotNull(), "backtest_rmse").when(volatility.isNotNull(), "volatility_60d")
+    price = lambda r: F.col("close") * (1 + r)
+    wide, r = F.coalesce(band, F.lit(0.0)), F.col(expected)
+    own = own.withColumns({"band": band, "band_source": source, "base_price": price(r), "upside_price": price(F.greatest(r, F.lit(0.0)) + wide), "downside_price": price(F.least(r, F.lit(0.0)) - wide)})
+    return own.drop("__rmse")

@@ -123,6 +123,18 @@ def b05(p):
     return a.unionByName(b)
 
 
+BT3 = _bt("random_score", "_r").replace("scl", "scr")
+RANDOM = "scr AS (SELECT *, ('0x' || substr(md5('42|' || strftime(date, '%Y-%m-%d') || '|' || symbol), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS random_score FROM scl)"
+
+
+@query("b05_random_baseline", "SELECT 'model' AS run, * FROM mx UNION ALL SELECT 'factor', * FROM mx_b UNION ALL SELECT 'random', * FROM mx_r", *CTES, RANDOM, BT, BT2, BT3)
+def b05_random(p):
+    """The model, a factor alone and a seeded random choice."""
+    own = D.random_scores(labelled(p), 42)
+    runs = [D.backtest_metrics(D.topk_backtest(own, k=5, by=by)).withColumn("run", F.lit(name)) for name, by in (("model", "final_score"), ("factor", "momentum_score"), ("random", "random_score"))]
+    return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
 @query("b06_gate", """SELECT len(f) = 0 AS accepted, coalesce(f[1], 'passed') AS reason FROM (SELECT [x for x in [CASE WHEN a.mean_excess - b.mean_excess < 0.01 THEN 'excess' END, CASE WHEN a.hit_ratio - b.hit_ratio < 0.03 THEN 'hit_ratio' END,
 CASE WHEN b.max_drawdown - a.max_drawdown > 0.02 THEN 'drawdown' END, CASE WHEN a.mean_turnover > 1.3 * b.mean_turnover THEN 'turnover' END] if x IS NOT NULL] AS f FROM mx a, mx_b b)""", *CTES, BT, BT2)
 def b06(p):
@@ -239,6 +251,20 @@ def b16(p):
     return _gap(p).groupBy("status").agg(F.count(F.lit(1)).alias("n"), rounded(F.avg(F.abs("gap"))).alias("mae"), rounded(F.avg("gap")).alias("bias"), rounded(F.avg(F.col("direction_hit").cast("double"))).alias("accuracy"))
 
 
+@query(
+    "b17_forecast_band",
+    """SELECT date, symbol, 'backtest_rmse' AS band_source, round(b + 1e-9, 6) AS band, round(close * (1 + e) + 1e-9, 4) AS base_price, round(close * (1 + greatest(e, 0.0) + b) + 1e-9, 4) AS upside_price, round(close * (1 + least(e, 0.0) - b) + 1e-9, 4) AS downside_price
+FROM (SELECT *, pred_return / 10 AS e FROM sc WHERE date = (SELECT max(date) FROM sc)), (SELECT greatest(0.0, least(1.0, sqrt(avg((pred_return / 10 - future_return) ** 2)))) AS b FROM scl)""",
+    *CTES,
+)
+def b17_band(p):
+    """The latest predictions with the band of their past errors."""
+    own = scored(p).withColumn("expected", F.col("pred_return") / 10)
+    latest = own.join(F.broadcast(own.agg(F.max("date").alias("date"))), "date")  # one row
+    out = D.forecast_band(latest, labelled(p).withColumn("expected", F.col("pred_return") / 10), horizon_days=21)
+    return out.select("date", "symbol", "band_source", rounded(F.col("band")).alias("band"), *[rounded(F.col(c), 4).alias(c) for c in ("base_price", "upside_price", "downside_price")])
+
+
 @query("b17_price_forecast", "SELECT date, symbol, round(close * (1 + pred_return / 10) + 1e-9, 4) AS expected, round(close * (1 + pred_return / 10 + b) + 1e-9, 4) AS upside, round(close * (1 + pred_return / 10 - b) + 1e-9, 4) AS downside FROM (SELECT *, coalesce(greatest(0.0, least(1.0, CASE WHEN volatility_60d IS NOT NULL THEN volatility_60d * sqrt(21 / 252.0::DOUBLE) / 10 END)), 0.1) AS b FROM sc WHERE date = (SELECT max(date) FROM sc))", *CTES)
 def b17(p):
     from quantloom.functions.columns import clip

@@ -22,7 +22,7 @@ SEVERAL = frozenset(
     s09_latest_features f19_attach_daily g16_ablation m04_prediction_scores m05_evaluation m08_ranked_predictions d02_latest_rows d03_universe_view
     d05_position_summary d07_backtest_by_sector d08_prediction_history d15_legs_by_market b03_attach_forward_returns b14_model_gate f21_attach_sector
     f23_horizon_columns g17_outlook_ablation d01_snapshot m01_m03_walk_forward m02_walk_forward_metrics m01_validation_metrics
-    b13_performance_by_model b14_gatekeeper m15_stock_clusters f24_split_sequences u01_universe_commit
+    b05_random_baseline b17_forecast_band d12_global_adjustment b13_performance_by_model b14_gatekeeper m15_stock_clusters f24_split_sequences u01_universe_commit
     """.split()
 )
 
