@@ -138,3 +138,29 @@ def attach_consensus(features: DataFrame, history: DataFrame) -> DataFrame:
     own = asof_join(features, right, key="symbol", left_on="date", right_on="c_date", take=["consensus_score", "target_mean"])
     up = rounded(F.coalesce(linear_scale((F.try_divide(F.col("target_mean"), F.col("close")) - 1) * 100, -20, 60), F.lit(0.5))) if "close" in features.columns else F.lit(0.5)
     return own.withColumn("consensus_score", F.coalesce("consensus_score", F.lit(0.5))).withColumn("upside_score", up).drop("target_mean", "matched_at")
+
+
+def consensus_measures(reports: DataFrame) -> DataFrame:
+    """What ``consensus`` leaves out, for each symbol and report date: median target, share of buy ratings, upside to the last quoted price, new coverage and the balance of revisions.
+
+    Windows are as there: 90 days to the date, 30 for coverage and revisions.
+    The price is that of the last report up to the date; a rating that says
+    buy, strong or outperform is one to buy; reports without a rating count in
+    the share's divisor only if others have one.
+    """
+    own = target_features(reports).join(reports.select("report_id", F.lower("rating").alias("rating")), "report_id")
+    own = own.withColumn("day", F.datediff("report_date", F.lit("1970-01-01").cast("date")))
+    w90, w30 = (Window.partitionBy("symbol").orderBy("day").rangeBetween(-(n - 1), 0) for n in (90, 30))
+    buy = F.col("rating").rlike("buy|strong|outperform")
+    targets = F.array_sort(F.collect_list("target").over(w90))  # a symbol's reports of 90 days
+    n = F.size("targets")
+    last = F.max(F.struct("day", "report_id", "price")).over(w90)["price"]
+    one = own.select(
+        "symbol", "report_date", targets.alias("targets"), F.avg("target").over(w90).alias("mean"), F.avg(F.when(F.col("rating").isNotNull(), buy.cast("double"))).over(w90).alias("buy"), last.alias("price"),
+        F.sum(F.col("is_new").cast("int")).over(w30).alias("new30"), F.sum(F.col("is_upgrade").cast("int") - F.col("is_downgrade").cast("int")).over(w30).alias("net30"), F.count(F.lit(1)).over(w30).alias("n30"),
+    ).dropDuplicates(["symbol", "report_date"])
+    middle = F.when(n > 0, (F.get("targets", F.floor((n - 1) / 2).cast("int")) + F.get("targets", F.floor(n / 2).cast("int"))) / 2)
+    return one.select(
+        "symbol", "report_date", rounded(middle, 4).alias("target_median"), rounded(F.col("buy")).alias("buy_ratio"), rounded(F.when(F.col("price") > 0, F.col("mean") / F.col("price") * 100 - 100), 4).alias("upside_pct"),
+        F.col("new30").cast("long").alias("new30"), rounded(F.col("net30") / F.greatest(F.col("n30"), F.lit(1))).alias("revision_balance"),
+    )

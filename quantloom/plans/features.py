@@ -169,6 +169,17 @@ def f17(p):
     return analyst.consensus(p.reports)
 
 
+@query(
+    "f17_consensus_measures",
+    f"""SELECT DISTINCT symbol, report_date, round(m + 1e-9, 4) AS target_median, round(buy + 1e-9, 6) AS buy_ratio, round(a / last.price * 100 - 100 + 1e-9, 4) AS upside_pct, new30::BIGINT AS new30, round(net30 / n30::DOUBLE + 1e-9, 6) AS revision_balance FROM (
+SELECT symbol, report_date, list_median(list(target) {_W90}) AS m, avg(CASE WHEN rating IS NOT NULL THEN (rating = 'Buy')::INT::DOUBLE END) {_W90} AS buy, round(avg(target) {_W90}, 9) AS a, max({{'d': report_date, 'i': report_id, 'price': price}}) {_W90} AS last, sum(is_new::INT) {_W30} AS new30, sum(is_upgrade::INT - is_downgrade::INT) {_W30} AS net30, count(*) {_W30} AS n30
+FROM tfeat JOIN (SELECT report_id, rating FROM rep) USING (report_id))""",
+    TARGET,
+)
+def f17_more(p):
+    return analyst.consensus_measures(p.reports)
+
+
 ATT = """
 att AS (SELECT px.date, px.symbol, px.close, coalesce(c.consensus_score, 0.5) AS consensus_score, round(CASE WHEN c.target_mean IS NULL THEN 0.5 ELSE greatest(0.0, least(1.0, ((c.target_mean / px.close - 1) * 100 + 20) / 80)) END + 1e-9, 6) AS upside_score
   FROM px ASOF LEFT JOIN (SELECT symbol AS s, report_date AS d, consensus_score, target_mean FROM cons) c ON px.symbol = c.s AND px.date >= c.d)

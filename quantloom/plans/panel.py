@@ -130,6 +130,7 @@ class Panel:
             F.col("o_orderkey").alias("report_id"), F.to_date("o_orderdate").alias("report_date"), zfill(brand.cast("string"), 6).alias("symbol"),
             F.col("c_mktsegment").alias("broker"), (F.col("c_custkey") % 40).alias("analyst"), now.alias("price"),
             F.round(now * (F.lit(0.8) + F.col("o_orderkey") % 100 / F.lit(200.0)) + 1e-9, 4).alias("target"),
+            F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "Buy").when(F.col("o_orderpriority") != "5-LOW", "Hold").alias("rating"),
         )
         before = F.lag("target").over(Window.partitionBy("symbol", "analyst").orderBy("report_date", "report_id"))
         return own.withColumn("previous_target", before)
@@ -194,8 +195,8 @@ pens AS (SELECT date, symbol, round(sum(l_extendedprice * CASE WHEN l_linestatus
 snap AS (SELECT o_orderkey AS seq, CAST(o_orderdate AS DATE) AS day, 'R' || n_regionkey AS symbol, round((o_orderkey % 1000) / 10000.0::DOUBLE - 0.05::DOUBLE + 1e-9, 4) AS change_rate
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderpriority = '1-URGENT'),
 rep AS (SELECT *, lag(target) OVER (PARTITION BY symbol, analyst ORDER BY report_date, report_id) AS previous_target FROM (
-  SELECT report_id, report_date, symbol, broker, analyst, price, round(price * (0.8::DOUBLE + report_id % 100 / 200.0::DOUBLE) + 1e-9, 4) AS target FROM (
-  SELECT o_orderkey AS report_id, CAST(o_orderdate AS DATE) AS report_date, lpad(CAST(c_nationkey % 25 + 1 AS VARCHAR), 6, '0') AS symbol, c_mktsegment AS broker, c_custkey % 40 AS analyst,
+  SELECT report_id, report_date, symbol, broker, analyst, price, round(price * (0.8::DOUBLE + report_id % 100 / 200.0::DOUBLE) + 1e-9, 4) AS target, rating FROM (
+  SELECT o_orderkey AS report_id, CAST(o_orderdate AS DATE) AS report_date, lpad(CAST(c_nationkey % 25 + 1 AS VARCHAR), 6, '0') AS symbol, c_mktsegment AS broker, c_custkey % 40 AS analyst, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'Buy' WHEN o_orderpriority <> '5-LOW' THEN 'Hold' END AS rating,
   round(100.0::DOUBLE + o_totalprice % 500 / 10 + 1e-9, 4) AS price FROM orders JOIN customer ON o_custkey = c_custkey))),
 posts AS (SELECT event_type AS channel, event_id AS message_id, ts, 'T' || user_id AS ticker, round(value / 250 - 1 + 1e-9, 4) AS sentiment, CASE event_type WHEN 'error' THEN 1.0::DOUBLE WHEN 'purchase' THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END AS urgency,
   CASE event_type WHEN 'view' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS source_weight, event_type || ':' || user_id AS duplicate_key FROM events),
