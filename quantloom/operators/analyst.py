@@ -54,28 +54,51 @@ def outcomes(reports: DataFrame, prices: DataFrame, benchmark: DataFrame, months
     ret = {m: F.when(F.col("base") > 0, F.col(f"price_{m}m") / F.col("base") - 1) for m in months}
     mark = {m: F.when(F.col("level_0") > 0, F.col(f"level_{m}") / F.col("level_0") - 1) for m in EXCESS}
     wide = wide.withColumns({f"return_{m}m": rounded(ret[m]) for m in months} | {f"benchmark_return_{m}m": rounded(mark[m]) for m in EXCESS} | {f"excess_return_{m}m": rounded(ret[m] - mark[m]) for m in EXCESS})
-    out = wide.join(_paths(wide, prices), "report_id", "left")
+    blocks = _blocks(prices)
+    out = wide.join(_drawdowns(wide, blocks), ["symbol", "report_date", "base_date"], "left").join(_hits(wide, blocks), "report_id", "left")
     out = out.withColumns({"target_hit_days": F.datediff("target_hit_date", "report_date")} | {f"target_hit_{m}m": F.coalesce(F.col("target_hit_date") <= F.add_months("report_date", m), F.lit(False)) for m in (6, 12)})
     return out.drop("first", "first_at", "base_date", "level_0", *[f"level_{m}" for m in EXCESS])
 
 
-def _paths(reports: DataFrame, prices: DataFrame) -> DataFrame:
-    """report_id, max_drawdown_3m, max_drawdown_6m, target_hit_date, from blocks of prices."""
-    block = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / BLOCK_DAYS)
+def _block(day):
+    return F.floor(F.datediff(day, F.lit("1970-01-01").cast("date")) / BLOCK_DAYS)
+
+
+def _blocks(prices: DataFrame) -> DataFrame:
+    """symbol, block, its highest high, and its days (date, high, close) in order."""
     high = F.coalesce("high", "close") if "high" in prices.columns else F.col("close")
-    days = prices.where("close is not null").select("symbol", "date", high.alias("high"), "close", block(F.col("date")).alias("block"))
-    blocks = days.groupBy("symbol", "block").agg(F.max("high").alias("top"), F.array_sort(F.collect_list(F.struct("date", "high", "close"))).alias("days"))  # of BLOCK_DAYS days at most
-    asked = reports.select("report_id", "symbol", "report_date", "base_date", "target").withColumn("block", F.explode(F.sequence(block(F.col("report_date")), block(F.add_months("report_date", HIT)))))
-    met = asked.join(blocks, ["symbol", "block"])
+    days = prices.where("close is not null").select("symbol", "date", high.alias("high"), "close", _block(F.col("date")).alias("block"))
+    return days.groupBy("symbol", "block").agg(F.max("high").alias("top"), F.array_sort(F.collect_list(F.struct("date", "high", "close"))).alias("days"))  # of BLOCK_DAYS days at most
+
+
+def _hits(reports: DataFrame, blocks: DataFrame) -> DataFrame:
+    """report_id and target_hit_date of the reports whose target is hit.
+
+    A report meets the highest highs of its 24 months' blocks alone; the days
+    are read of its own block and of the first later one that reaches the target.
+    """
+    own, last = _block(F.col("report_date")), _block(F.add_months("report_date", HIT))
+    asked = reports.where("target > 0").select("report_id", "symbol", "report_date", "target", F.explode(F.sequence(own, last)).alias("block"))
+    reach = asked.join(blocks.select("symbol", "block", "top"), ["symbol", "block"]).where("top >= target")
+    first = reach.groupBy("report_id", "symbol", "report_date", "target").agg(F.max(F.when(F.col("block") == own, F.col("block"))).alias("own"), F.min(F.when(F.col("block") > own, F.col("block"))).alias("later"))
+    two = first.select("report_id", "symbol", "report_date", "target", F.explode(F.array_compact(F.array("own", "later"))).alias("block")).join(blocks.select("symbol", "block", "days"), ["symbol", "block"])
     hits = F.filter("days", lambda x: (x["date"] > F.col("report_date")) & (x["date"] <= F.add_months(F.col("report_date"), HIT)) & (x["high"] >= F.col("target")))
-    hit = F.when((F.col("target") > 0) & (F.col("top") >= F.col("target")), F.get(hits, F.lit(0))["date"])
+    return two.select("report_id", F.get(hits, F.lit(0))["date"].alias("hit")).groupBy("report_id").agg(F.min("hit").alias("target_hit_date"))
+
+
+def _drawdowns(reports: DataFrame, blocks: DataFrame) -> DataFrame:
+    """symbol, report_date, base_date with the worst drawdown to each month's end: once for all reports of a day, from blocks."""
+    keys = ["symbol", "report_date", "base_date"]
+    end = F.add_months("report_date", max(DRAWDOWN))
+    days = reports.select(*keys).distinct().where(F.col("base_date") <= end)
+    met = days.withColumn("block", F.explode(F.sequence(_block(F.col("base_date")), _block(end)))).join(blocks.select("symbol", "block", "days"), ["symbol", "block"])
 
     def path(m: int):
         """A block's part of the path: its highest and lowest close and its worst drawdown."""
         inside = F.filter("days", lambda x: (x["date"] >= F.col("base_date")) & (x["date"] <= F.add_months(F.col("report_date"), m)))
         first = F.struct(F.lit(0.0).alias("top"), F.lit(float("inf")).alias("low"), F.lit(0.0).alias("fall"))
         step = lambda a, x: F.struct(F.greatest(a["top"], x["close"]).alias("top"), F.least(a["low"], x["close"]).alias("low"), F.least(a["fall"], x["close"] / F.greatest(a["top"], x["close"]) - 1).alias("fall"))
-        return F.when((F.size(inside) > 0) & (F.col("block") <= block(F.add_months("report_date", m))), F.struct("block", F.aggregate(inside, first, step).alias("p")))
+        return F.when((F.size(inside) > 0) & (F.col("block") <= _block(F.add_months("report_date", m))), F.struct("block", F.aggregate(inside, first, step).alias("p")))
 
     def worst(c: str):
         """Parts put together: a low may also fall short of the highest close before its block."""
@@ -84,9 +107,8 @@ def _paths(reports: DataFrame, prices: DataFrame) -> DataFrame:
         step = lambda a, x: F.struct(F.greatest(a["top"], x["p"]["top"]).alias("top"), F.least(a["fall"], x["p"]["fall"], F.when(a["top"] > 0, x["p"]["low"] / a["top"] - 1).otherwise(F.lit(0.0))).alias("fall"))
         return F.when(F.size(parts) > 0, F.aggregate(parts, first, step)["fall"])
 
-    found = met.select("report_id", hit.alias("hit"), *[path(m).alias(f"p{m}") for m in DRAWDOWN])
-    one = found.groupBy("report_id").agg(F.min("hit").alias("target_hit_date"), *[F.collect_list(f"p{m}").alias(f"p{m}") for m in DRAWDOWN])
-    return one.select("report_id", *[rounded(worst(f"p{m}")).alias(f"max_drawdown_{m}m") for m in DRAWDOWN], "target_hit_date")
+    one = met.select(*keys, *[path(m).alias(f"p{m}") for m in DRAWDOWN]).groupBy(*keys).agg(*[F.collect_list(f"p{m}").alias(f"p{m}") for m in DRAWDOWN])
+    return one.select(*keys, *[rounded(worst(f"p{m}")).alias(f"max_drawdown_{m}m") for m in DRAWDOWN])
 
 
 def analyst_scores(done: DataFrame, least: int = 5, recent_days: int = 365) -> DataFrame:
