@@ -7,8 +7,8 @@ many optional items follow each other, a repeated group of them.  The result
 is a union-free regular expression, the host's wrapper; it grows with the
 template, not with the pages.  Every page is matched against it, which gives
 each text a slot.  A slot whose text is the same on nearly all pages that have
-it, in a container where nothing varies, is the template's; all other slots,
-and all of article and main elements, are text, unless marked as boilerplate.
+it, in a container where nothing varies, is the template's; all other slots
+are text, unless marked as boilerplate.
 
 Hot hosts: equal folded streams of a host count once, wrappers are merged in
 rounds of salted groups of bounded size, and slots are counted by their text
@@ -162,7 +162,8 @@ def blocks(page: str | None) -> tuple[list[tuple[str, bool, str, int]], list[str
             if own:
                 if not tokens or tokens[-1] != "<#>":
                     tokens.append("<#>")
-                out.append((top.main or top.holder, top.any_bad, own, len(tokens) - 1))
+                inside = top.main and (top.main if top.holder == top.main else f"{top.main}>{top.holder}")
+                out.append((inside or top.holder, top.any_bad, own, len(tokens) - 1))
 
     def pop() -> str:
         nonlocal top
@@ -385,7 +386,7 @@ def slots(page: str | None, wrapper: str | None) -> list[tuple[str, bool, str, s
 
 
 def _in_main(holder: str) -> bool:
-    return holder.split(".")[0] in MAIN
+    return holder.split(">")[0].split(".")[0] in MAIN
 
 
 def article(found: list[tuple[str, bool, str, str | None]]) -> list[tuple[str, bool, str, str | None]]:
@@ -447,7 +448,7 @@ def wrappers(pages: DataFrame, *, url: str = "url", page: str = "html", salts: i
             for host, source, wrapper in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 texts: dict[tuple[str, str], list[str]] = {}
                 for holder, _, text, slot in article(slots(source, wrapper)):
-                    if slot is not None and not _in_main(holder):
+                    if slot is not None:
                         texts.setdefault((holder, slot), []).append(text)
                 name = digest(source or "")
                 rows += [(host, *place, digest("\n".join(t)), name) for place, t in texts.items()]
@@ -466,7 +467,7 @@ def main_text(page: str | None, wrapper: str | None, template: list[str] | None)
     """The page's texts in article slots; those in constant slots stay only if it has no others."""
     own = article(slots(page, wrapper))
     constant = set(template or ())
-    return "\n".join([t for holder, _, t, slot in own if _in_main(holder) or slot not in constant] or [t for _, _, t, _ in own])
+    return "\n".join([t for _, _, t, slot in own if slot not in constant] or [t for _, _, t, _ in own])
 
 
 def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", page: str = "html", salts: int = SALTS) -> DataFrame:
