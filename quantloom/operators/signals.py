@@ -24,10 +24,14 @@ def _hits(themes: Column, names: tuple[str, ...]) -> Column:
     return F.size(F.filter(F.coalesce(themes, F.array().cast("array<string>")), lambda t: F.upper(t).isin(*names)))
 
 
-def post_measures(kind: str, cap: int = 10) -> dict[str, Column]:
-    """Aggregates of posts with sentiment (0 to 1), urgency, source_weight, duplicate_key, risks and themes (arrays)."""
+def post_measures(kind: str, cap: int = 10, clipped: bool = True) -> dict[str, Column]:
+    """Aggregates of posts with sentiment (0 to 1), urgency, source_weight, duplicate_key, risks and themes (arrays).
+
+    A mood outside 0 to 1 weighs in as the nearer bound, or without ``clipped`` as it is.
+    """
     n = F.count(F.lit(1))
-    weight, mood, haste = clip(F.coalesce("source_weight", F.lit(0.5)), 0, 2), clip(F.coalesce("sentiment", F.lit(0.5))), clip(F.coalesce("urgency", F.lit(0.0)))
+    weight, mood, haste = clip(F.coalesce("source_weight", F.lit(0.5)), 0, 2), F.coalesce("sentiment", F.lit(0.5)), clip(F.coalesce("urgency", F.lit(0.0)))
+    mood = clip(mood) if clipped else mood
     key = F.nullif("duplicate_key", F.lit(""))
     copies = F.when(F.count(key) > 0, 1 - F.count_distinct(key) / F.count(key)).otherwise(0.0)
     weighted = F.coalesce(F.try_divide(F.sum(weight * (0.65 * mood + 0.35 * haste)), F.sum(weight)), F.lit(0.5))
@@ -40,7 +44,7 @@ def post_measures(kind: str, cap: int = 10) -> dict[str, Column]:
     return {"n24": n, "mentions": mentions, "sentiment": sentiment, "urgency": urgency, "weighted": weighted, "copies": copies, "risk": risk, "attention": attention, "chips": share(CHIPS), "macro": share(POST_MACRO)}
 
 
-def ticker_signals(mentions: DataFrame, asof: str, momentum: DataFrame, *, weights: dict[str, float] | None = None, cap: int = 10) -> DataFrame:
+def ticker_signals(mentions: DataFrame, asof: str, momentum: DataFrame, *, weights: dict[str, float] | None = None, cap: int = 10, clipped: bool = True) -> DataFrame:
     """One row for each ticker named in the 24 hours to ``asof``: counts, change, measures and the final signal; later posts never count.
 
     ``mentions`` has ticker, ts and what ``post_measures`` reads; ``momentum``
@@ -51,17 +55,17 @@ def ticker_signals(mentions: DataFrame, asof: str, momentum: DataFrame, *, weigh
     age = (F.unix_seconds(at) - F.unix_seconds(F.col("ts").cast("timestamp"))) / 3600.0
     own = mentions.withColumn("__age", age).where((F.col("__age") >= 0) & (F.col("__age") < 48))
     before = own.where(F.col("__age") >= 24).groupBy("ticker").agg(F.count(F.lit(1)).alias("__before"))
-    one = own.where(F.col("__age") < 24).groupBy("ticker").agg(F.count_if(F.col("__age") < 1).alias("n1"), *[x.alias(c) for c, x in post_measures("ticker", cap).items()])
+    one = own.where(F.col("__age") < 24).groupBy("ticker").agg(F.count_if(F.col("__age") < 1).alias("n1"), *[x.alias(c) for c, x in post_measures("ticker", cap, clipped).items()])
     both = one.join(before, "ticker", "left").join(momentum.select("ticker", F.col("momentum").alias("__m")), "ticker", "left")
     change = F.when(F.col("__before") > 0, (F.col("n24") - F.col("__before")) / F.col("__before")).otherwise(F.col("n24").cast("double"))
     both = both.withColumns({"delta": clip(change, -1, 10), "momentum": F.coalesce("__m", F.lit(0.5))})
     return both.withColumn("signal", clip(sum((F.lit(x) * F.col(c) for c, x in w.items()), F.lit(0.0)))).drop("__before", "__m")
 
 
-def market_days(posts: DataFrame, *, shift_hours: int = 9, cap: int = 10) -> DataFrame:
+def market_days(posts: DataFrame, *, shift_hours: int = 9, cap: int = 10, clipped: bool = True) -> DataFrame:
     """One row for each local date with posts: their measures, and chip and macro shares of their themes."""
     day = F.to_date(F.col("ts") + F.expr(f"interval {shift_hours} hours"))
-    return posts.groupBy(day.alias("date")).agg(*[x.alias(c) for c, x in post_measures("market", cap).items()])
+    return posts.groupBy(day.alias("date")).agg(*[x.alias(c) for c, x in post_measures("market", cap, clipped).items()])
 
 
 def article_signals(articles: DataFrame, *, days: int = 3, feed: Column | None = None, least_sources: int = 5) -> DataFrame:

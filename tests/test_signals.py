@@ -27,6 +27,15 @@ def test_ticker_signals_and_no_future_posts(spark):
     assert (b["sentiment"], b["urgency"], b["copies"], b["momentum"], b["delta"]) == (0.5, 0.0, 0.0, 0.5, 1.0)
 
 
+def test_moods_above_one_weigh_in_as_they_are_where_wanted(spark):
+    posts = spark.createDataFrame([("A", at(1), 1.2, 0.6, 1.0, "k1", [], []), ("A", at(2), 0.5, 0.0, 1.0, "k2", [], [])], POST)
+    momentum = spark.createDataFrame([], "ticker string, momentum double")
+    for clipped, mood in ((True, 1.0), (False, 1.2)):
+        want = (0.65 * mood + 0.35 * 0.6 + 0.65 * 0.5) / 2
+        assert signals.ticker_signals(posts, "2024-01-10 12:00:00", momentum, clipped=clipped).first()["weighted"] == pytest.approx(want)
+        assert signals.market_days(posts, clipped=clipped).first()["weighted"] == pytest.approx(want)
+
+
 def test_article_signals_reach_days_without_articles(spark):
     d = lambda n: dt.date(2024, 1, n)
     rows = [("m", d(1), "s1", "macro", 0.9, 0.5, None, ["AI"], False), ("m", d(1), "s2", None, 0.3, None, 0.2, None, None), ("m", d(2), "x", "FLOW", None, 0.1, 0.4, ["RATE"], True), ("m", d(9), " ", "", 0.5, 0.0, 0.0, [], False)]
