@@ -112,9 +112,10 @@ def unescaped(text: Column) -> Column:
     return run(text)
 
 
-def plain_text(text: Column) -> Column:
-    """Without tags, references decoded, white space collapsed; NULL counts as empty."""
-    return F.trim(F.regexp_replace(unescaped(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", "")), r"\s+", " "))
+def plain_text(text: Column, trim: bool = True) -> Column:
+    """Without tags, references decoded, white space collapsed; NULL counts as empty.  Without ``trim`` a blank at an end stays."""
+    plain = F.regexp_replace(unescaped(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", "")), r"\s+", " ")
+    return F.trim(plain) if trim else plain
 
 
 def mail_date(text: Column) -> Column:
@@ -143,22 +144,24 @@ def _iso(at: Column) -> Column:
     return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
 
 
-def feed_entries(feeds: DataFrame, *, most: int = 50, limit: int = 500) -> DataFrame:
+def feed_entries(feeds: DataFrame, *, most: int = 50, limit: int = 500, trim_titles: bool = True) -> DataFrame:
     """Articles of feeds (feed_id, source, payload): the first ``most`` entries of each, of entries with one link the first.
 
     An entry's key is its link, or what identifies it; entries without a title
     are left out.  Texts are plain, summaries cut to ``limit`` characters, times UTC.
+    Without ``trim_titles`` a title keeps a blank at its ends, as a source wrote it.
     """
     from quantloom.functions import text as T
 
     own = feeds.select("feed_id", "source", F.posexplode(records(F.col("payload"))).alias("pos", "r")).where(F.col("pos") < most)
     field = lambda *names: F.nullif(F.trim(first_of(F.col("r"), names)), F.lit(""))
+    title = plain_text(field("title")) if trim_titles else plain_text(first_of(F.col("r"), ("title",)), trim=False)
     guid = field("id", "guid")
     link = F.coalesce(field("link"), F.when(guid.startswith("http"), guid))
     read = own.select(
-        "feed_id", "source", "pos", plain_text(field("title")).alias("title"), T.excerpt(plain_text(field("summary", "description", "subtitle")), limit).alias("summary"),
+        "feed_id", "source", "pos", title.alias("title"), T.excerpt(plain_text(field("summary", "description", "subtitle")), limit).alias("summary"),
         link.alias("link"), guid.alias("guid"), mail_date(field("pubDate", "published", "updated")).alias("pub_date"),
-    ).where("title <> ''")
+    ).where("trim(title) <> ''")
     keyed = read.withColumn("key", F.lower(F.coalesce("link", "guid", F.concat_ws(":", F.col("feed_id").cast("string"), F.col("pos").cast("string")))))
     first = F.row_number().over(Window.partitionBy("key").orderBy("feed_id", "pos"))
     one = keyed.withColumn("n", first).where("n = 1")

@@ -54,6 +54,13 @@ def test_feed_entries(spark):
     assert got["A < B"].pub_date == dt.datetime(2006, 1, 2, 15, 4, 5) and len(got["A < B"].article_id) == 64
 
 
+def test_feed_titles_keep_their_blanks_where_wanted(spark):
+    payload = "<rss><item><title>&lt;b&gt;Notes&lt;/b&gt; &amp;amp;  7 </title><guid>g7</guid></item><item><title>  </title><guid>g8</guid></item></rss>"
+    feeds = spark.createDataFrame([("f", "s", payload)], "feed_id string, source string, payload string")
+    titles = lambda **how: [r.title for r in R.feed_entries(feeds, **how).collect()]
+    assert titles(trim_titles=False) == ["Notes & 7 "] and titles() == ["Notes & 7"]
+
+
 def test_published_versions_are_whole_or_not_at_all(spark, tmp_path):
     path = str(tmp_path / "universe")
     symbols = spark.createDataFrame([(f"s{i}", "M" if i < 6 else "G") for i in range(10)], "symbol string, market string")
