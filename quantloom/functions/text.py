@@ -13,6 +13,8 @@ RISKS = ("password", "secret", "token", "all rights reserved", "clown", "trash")
 SECTORS = (("energy", ("oil", "gas", "STEEL")), ("metals", ("copper", "nickel", "tin", "brass")))
 TICKER_STOP = ("A", "I", "THE", "AND", "FOR")
 WORD_TICKER = r"(?<![A-Za-z0-9])[$#]?[A-Z]{1,5}(?![A-Za-z0-9])"
+#: The same where marks belong to the word: neither ``Y$$`` nor ``##Y`` names one.
+MARKED_TICKER = r"(?<![A-Za-z0-9$#])[$#]?[A-Z]{1,5}(?![A-Za-z0-9$#])"
 
 
 def has(text: Column, word: str) -> Column:
@@ -20,9 +22,9 @@ def has(text: Column, word: str) -> Column:
     return F.lower(F.coalesce(text, F.lit(""))).contains(word.lower())
 
 
-def tickers(text: Column, stop: tuple[str, ...] = TICKER_STOP, aliases: dict[str, str] | None = None) -> Column:
+def tickers(text: Column, stop: tuple[str, ...] = TICKER_STOP, aliases: dict[str, str] | None = None, pattern: str = WORD_TICKER) -> Column:
     """Sorted upper-case tokens of up to five letters that stand alone, plus aliases by keyword."""
-    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD_TICKER), 0), lambda x: F.regexp_replace(x, r"^[$#]", ""))
+    found = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 0), lambda x: F.regexp_replace(x, r"^[$#]", ""))
     more = F.filter(F.array(*[F.when(has(text, k), F.lit(v)) for k, v in (aliases or {"\x00": ""}).items()]), lambda x: x.isNotNull())
     return F.array_sort(F.array_distinct(F.concat(F.array_except(found, F.array(*map(F.lit, stop))), more)))
 

@@ -145,7 +145,7 @@ _STOP = ", ".join(f"'{x}'" for x in T.TICKER_STOP)
 
 @query("t01_tickers", f"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_concat([x for x in [regexp_replace(y, '^[$#]', '') for y in string_split_regex(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9$#]+', ' ', 'g'), ' ')] if regexp_full_match(x, '[A-Z]{{1,5}}') AND x NOT IN ({_STOP})], [x for x in [{", ".join(f"CASE WHEN {_has(k)} THEN '{v}' END" for k, v in _ALIASES.items())}] if x IS NOT NULL]))), ',') AS tickers FROM documents""")
 def t01(p):
-    return p.table("documents").select("doc_id", F.array_join(T.tickers(F.col("text"), aliases=_ALIASES), ",").alias("tickers"))
+    return p.table("documents").select("doc_id", F.array_join(T.tickers(F.col("text"), aliases=_ALIASES, pattern=T.MARKED_TICKER), ",").alias("tickers"))
 
 
 @query("t02_themes", "SELECT doc_id, array_to_string(list_sort([x for x in [" + ", ".join(f"CASE WHEN {_any(ws)} THEN '{t}' END" for t, ws in T.THEMES.items()) + "] if x IS NOT NULL]), ',') AS themes FROM documents")

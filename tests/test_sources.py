@@ -61,6 +61,14 @@ def test_feed_titles_keep_their_blanks_where_wanted(spark):
     assert titles(trim_titles=False) == ["Notes & 7 "] and titles() == ["Notes & 7"]
 
 
+def test_tickers_with_marks(spark):
+    from quantloom.functions import text as T
+
+    texts = {"$AB #C (D) e": "AB,C,D", "Y$$ ##Q $$R S$": "", "a$T U.V": "U,V", "ñW X#Z": "W"}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.array_join(T.tickers(F.col("t"), pattern=T.MARKED_TICKER), ",")).collect()
+    assert dict(map(tuple, got)) == texts
+
+
 def test_published_versions_are_whole_or_not_at_all(spark, tmp_path):
     path = str(tmp_path / "universe")
     symbols = spark.createDataFrame([(f"s{i}", "M" if i < 6 else "G") for i in range(10)], "symbol string, market string")
