@@ -152,7 +152,7 @@ ascore AS (SELECT *, round(greatest(0.0, least(1.0, 0.30::DOUBLE * coalesce(dire
 
 @query("f16_analyst_scores", "SELECT * FROM ascore", OUT, SCORES)
 def f16(p):
-    return analyst.analyst_scores(_outcomes(p))
+    return analyst.analyst_scores(_outcomes(p), reports=p.reports)
 
 
 _W90, _W30 = ("OVER (PARTITION BY symbol ORDER BY report_date RANGE BETWEEN INTERVAL {} DAYS PRECEDING AND CURRENT ROW)".format(n) for n in (89, 29))

@@ -139,7 +139,7 @@ def m09_all(p):
     first = p.reports.groupBy("broker").agg(F.min("report_date").alias("at")).select(*entry(F.lit(0), F.col("at")))
     latest = p.reports.groupBy("broker").agg(F.count(F.lit(1)).alias("n"), F.max("report_date").alias("at")).select(*entry(F.col("n"), F.col("at")))
     registry = R.register(R.register(p.spark.createDataFrame([], shape), first), latest)
-    scores = analyst.analyst_scores(analyst.outcomes(p.reports, p.prices, p.index.where("benchmark = 'MAIN'"))).groupBy("broker").agg(F.avg("reliability").alias("q"), F.count(F.lit(1)).alias("k")).where("k >= 2")
+    scores = analyst.analyst_scores(analyst.outcomes(p.reports, p.prices, p.index.where("benchmark = 'MAIN'")), reports=p.reports).groupBy("broker").agg(F.avg("reliability").alias("q"), F.count(F.lit(1)).alias("k")).where("k >= 2")
     good = F.col("q") >= 0.5
     decided = scores.select(
         F.col("broker").alias("model_name"), F.when(good, "accepted").otherwise("rejected").alias("status"), F.when(good, 0.05).otherwise(0.0).alias("production_weight"),
