@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import json
+import re
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -53,12 +54,21 @@ def _records(text: str | None, tag: str) -> list[dict[str, str | None]]:
     return [{str(k): plain(v) for k, v in r.items()} for r in found]
 
 
-def records(payload: Column, tag: str = "item") -> Column:
-    """The records of a JSON or XML payload as maps of texts; nothing of a NULL, empty or broken one."""
+def _plain(text: str | None) -> str | None:
+    """Without tags, references decoded."""
+    return text and html.unescape(re.sub("<[^>]+>", "", text))
+
+
+def records(payload: Column, tag: str = "item", plain: tuple[str, ...] = ()) -> Column:
+    """The records of a JSON or XML payload as maps of texts; nothing of a NULL, empty or broken one.
+
+    Values of the names in ``plain`` come without tags, references decoded: a
+    task needs no further Python worker for them.
+    """
 
     @F.pandas_udf("array<map<string,string>>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _records(t, tag))
+        return texts.map(lambda t: [{k: _plain(v) if k in plain else v for k, v in r.items()} for r in _records(t, tag)])
 
     return run(payload)
 
@@ -102,22 +112,6 @@ def credit_balances(payloads: DataFrame, *, payload: str = "payload", order: str
     return with_deltas(last.select("date", "market", *[F.col(f"l.{c}").alias(c) for c in read if c not in ("date", "market")]), "balance")
 
 
-def unescaped(text: Column) -> Column:
-    """Character references decoded."""
-
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None or "&" not in t else html.unescape(t))
-
-    return run(text)
-
-
-def plain_text(text: Column, trim: bool = True) -> Column:
-    """Without tags, references decoded, white space collapsed; NULL counts as empty.  Without ``trim`` a blank at an end stays."""
-    plain = F.regexp_replace(unescaped(F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", "")), r"\s+", " ")
-    return F.trim(plain) if trim else plain
-
-
 def mail_date(text: Column) -> Column:
     """The UTC time (without zone) of a date such as ``Mon, 02 Jan 2006 15:04:05 +0900``; NULL if it is none, local if it has no zone."""
     pattern = r"^\s*(?:[A-Za-z]{3},?\s*)?(\d{1,2})\s+([A-Za-z]{3})[a-z]*\s+(\d{4})\s+(\d{1,2}:\d{2}(?::\d{2})?)\s*([+-]\d{4}|[A-Za-z]{1,3})?\s*(?:\(.*\))?\s*$"
@@ -153,13 +147,13 @@ def feed_entries(feeds: DataFrame, *, most: int = 50, limit: int = 500, trim_tit
     """
     from quantloom.functions import text as T
 
-    own = feeds.select("feed_id", "source", F.posexplode(records(F.col("payload"))).alias("pos", "r")).where(F.col("pos") < most)
+    own = feeds.select("feed_id", "source", F.posexplode(records(F.col("payload"), plain=("title", "summary", "description", "subtitle"))).alias("pos", "r")).where(F.col("pos") < most)
     field = lambda *names: F.nullif(F.trim(first_of(F.col("r"), names)), F.lit(""))
-    title = plain_text(field("title")) if trim_titles else plain_text(first_of(F.col("r"), ("title",)), trim=False)
+    title = T.squeezed(field("title")) if trim_titles else F.regexp_replace(F.coalesce(first_of(F.col("r"), ("title",)), F.lit("")), r"\s+", " ")
     guid = field("id", "guid")
     link = F.coalesce(field("link"), F.when(guid.startswith("http"), guid))
     read = own.select(
-        "feed_id", "source", "pos", title.alias("title"), T.excerpt(plain_text(field("summary", "description", "subtitle")), limit).alias("summary"),
+        "feed_id", "source", "pos", title.alias("title"), T.excerpt(field("summary", "description", "subtitle"), limit).alias("summary"),
         link.alias("link"), guid.alias("guid"), mail_date(field("pubDate", "published", "updated")).alias("pub_date"),
     ).where("trim(title) <> ''")
     keyed = read.withColumn("key", F.lower(F.coalesce("link", "guid", F.concat_ws(":", F.col("feed_id").cast("string"), F.col("pos").cast("string")))))
@@ -174,7 +168,9 @@ def feed_entries(feeds: DataFrame, *, most: int = 50, limit: int = 500, trim_tit
 
 def search_articles(results: DataFrame) -> DataFrame:
     """Articles of news searches (symbol, payload with items): plain texts, UTC times, and an id of links and title."""
-    own = results.select("symbol", F.explode(records(F.col("payload"))).alias("r"))
+    from quantloom.functions import text as T
+
+    own = results.select("symbol", F.explode(records(F.col("payload"), plain=("title", "description"))).alias("r"))
     field = lambda name: F.nullif(F.trim(F.try_element_at("r", F.lit(name))), F.lit(""))
-    read = own.select("symbol", plain_text(field("title")).alias("title"), plain_text(field("description")).alias("description"), field("originallink").alias("originallink"), field("link").alias("link"), mail_date(field("pubDate")).alias("pub_date"))
+    read = own.select("symbol", T.squeezed(field("title")).alias("title"), T.squeezed(field("description")).alias("description"), field("originallink").alias("originallink"), field("link").alias("link"), mail_date(field("pubDate")).alias("pub_date"))
     return read.select(article_id(F.col("symbol"), F.col("originallink"), F.col("link"), F.col("title"), _iso(F.col("pub_date"))).alias("article_id"), *read.columns)

@@ -61,6 +61,13 @@ def test_feed_titles_keep_their_blanks_where_wanted(spark):
     assert titles(trim_titles=False) == ["Notes & 7 "] and titles() == ["Notes & 7"]
 
 
+def test_search_articles_take_one_python_step(spark):
+    payload = '{"items": [{"title": " <b>&quot;A&quot;</b> &amp;gt; B ", "description": null, "link": "http://a", "pubDate": "Mon, 02 Jan 2006 15:04:05 GMT"}]}'
+    made = R.search_articles(spark.createDataFrame([("s", payload)], "symbol string, payload string"))
+    assert made._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert [(r.title, r.description, r.link) for r in made.collect()] == [('"A" &gt; B', "", "http://a")]
+
+
 def test_tickers_with_marks(spark):
     from quantloom.functions import text as T
 
