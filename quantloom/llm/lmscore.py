@@ -41,8 +41,8 @@ VOCABULARY, HEAVY = 1 << 15, 1 << 16
 EDGE, TOP, CLUSTERS, RARE, HIDDEN = 0, 31, 24, 8, 32
 CLASSES = 1 + TOP + CLUSTERS + RARE
 SIDES = (-2, -1, 1, 2)
-#: Training: in each round every STRIDE-th token is masked, in batches; small tasks repeat theirs.
-ROUNDS, STRIDE, BATCH, RATE, LEAST_SEEN, SEED = 2, 8, 512, 0.1, 50_000, 11
+#: Training: every token is masked in one of the rounds, which take turns, in batches; small tasks repeat theirs.
+ROUNDS, BATCH, RATE, LEAST_SEEN, SEED = 2, 512, 0.1, 50_000, 11
 #: Weight of the network's prediction beside the corpus's contexts, in tokens.
 PRIOR = 1.0
 #: Tokens that a shard holds on average, and that a task packs at once.
@@ -165,10 +165,12 @@ def descend(net: dict[str, np.ndarray], window: np.ndarray, target: np.ndarray,
         order = rng.permutation(len(target))
         for a in range(0, len(order), BATCH):
             own = order[a : a + BATCH]
-            x, hot = window[own], one[target[own]]
-            hidden, z = forward(net, x)
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            dz = p / p.sum(axis=1, keepdims=True) - hot
+            x = window[own]
+            hidden, dz = forward(net, x)
+            dz -= dz.max(axis=1, keepdims=True)
+            np.exp(dz, out=dz)
+            dz /= dz.sum(axis=1, keepdims=True)
+            dz[np.arange(len(own)), target[own]] -= 1
             dh = (dz @ net["w"].T) * (1 - hidden * hidden)
             grad = {"e": np.stack([one[x[:, k]].T @ dh for k in range(len(SIDES))]), "b": dh.sum(axis=0), "w": hidden.T @ dz, "c": dz.sum(axis=0)}
             for k, g in grad.items():
@@ -178,6 +180,11 @@ def descend(net: dict[str, np.ndarray], window: np.ndarray, target: np.ndarray,
     return net
 
 
+def masked(step: int, n: int) -> np.ndarray:
+    """Which of n tokens a round trains on: the rounds together on each one once."""
+    return np.arange(step, n, ROUNDS)
+
+
 def _flat(net: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([net[k].ravel() for k, _ in PARTS])
 
@@ -336,7 +343,7 @@ def fit(docs: DataFrame, *, text: str = "text", vocabulary: int = VOCABULARY, he
             start = own.net
             for _, _, w, tail, of in runs:
                 cls, _ = own.classes(w, tail)
-                at = np.arange(step * STRIDE // ROUNDS, len(w), STRIDE)
+                at = masked(step, len(w))
                 xs.append(np.stack([beside(cls, of, s, EDGE)[at] for s in SIDES], 1))
                 ys.append(cls[at])
                 if sum(map(len, ys)) >= LEAST_SEEN * 4:

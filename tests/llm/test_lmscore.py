@@ -128,3 +128,8 @@ def test_long_texts_in_pieces(monkeypatch):
 def test_empty_table(spark, docs):
     assert lmscore.pseudo_likelihood(docs.where("false")).count() == 0
     assert lmscore.pseudo_likelihood(spark.createDataFrame([(1, None)], "doc_id string, text string")).collect()[0].log_likelihood == 0
+
+
+def test_rounds_train_on_every_token_once():
+    for n in (0, 1, 7, 100):
+        assert sorted(np.concatenate([lmscore.masked(step, n) for step in range(lmscore.ROUNDS)]).tolist()) == list(range(n))
